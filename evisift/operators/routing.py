@@ -43,6 +43,8 @@ def policy_key(policy: str, seed: int = 7) -> Column:
         "criticality": -F.col("criticality").cast("double"),
         "random": F.lit(0.0),
     }
+    if policy in ("baseline", "candidate"):  # a router's own score column
+        keys[policy] = -F.col(policy)
     if policy not in keys:
         raise ValueError(f"unknown policy: {policy}")
     tie = F.md5(F.concat(F.lit(f"{seed}|"), "case_id")) if policy == "random" else F.col("case_id")
