@@ -121,7 +121,7 @@ def compare_routers(
     """The promotion gate of the learned router, as (check, passed, decision) rows."""
     rows = pin(long_scores(scored), "routers")
     metrics = probability_metrics(rows, ["router"])
-    routing = route(with_policies(rows, ("risk",)), ["router", "policy"], [capacity], **sizes).drop("policy")
+    routing = route(with_policies(rows, ("risk",)), ["router", "policy"], [capacity], **sizes).drop("policy", "n")
     sides = metrics.join(routing, "router")
     figures = ("brier", "pr_auc", "residual_weighted_risk", "critical_error_capture",
                "false_greenlight_rate", "review_budget_respected")

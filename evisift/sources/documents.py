@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,19 +137,25 @@ def profile_pairs(inputs: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def profile_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows per parquet shard and the shard's column names, read from file footers by the scan."""
-    names = [
-        row.path for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-        .load(folder).select("path").collect()
-    ]
-    profiles = None
-    for name in names:  # one footer-only count per shard: a scan of no columns
-        shard = spark.read.parquet(name)
-        row = shard.agg(F.count("*").alias("rows")).select(
-            F.lit(name.rsplit("/", 1)[-1]).alias("shard"), "rows", F.lit(",".join(shard.columns)).alias("columns")
-        )
-        profiles = row if profiles is None else profiles.unionByName(row)
-    return profiles
+    """Rows and column names per parquet shard.
+
+    Shard paths are listed and spread over tasks; each task reads the footers of its shards and no data.
+    """
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                files, inner = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
+                                                              if path.startswith("file:/") and not path.startswith("file://")
+                                                              else path)
+                with files.open_input_file(inner) as stream:
+                    footer = pyarrow.parquet.ParquetFile(stream).metadata
+                rows.append((path.rsplit("/", 1)[-1], footer.num_rows, ",".join(footer.schema.names)))
+            yield pd.DataFrame(rows, columns=["shard", "rows", "columns"])
+
+    return paths.mapInPandas(footers, "shard string, rows bigint, columns string")
 
 
 def shard_summary(shards: DataFrame) -> DataFrame:
