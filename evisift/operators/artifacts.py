@@ -78,7 +78,7 @@ def fingerprint(manifest: DataFrame, key: str = "run_id", buckets: int = 4096) -
     """
     entry = F.sha2(F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256"), 256)
     bucket = F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint") % buckets
-    joined = lambda digests: F.sha2(F.array_join(F.array_sort(F.collect_list(digests)), ""), 256)
+    joined = lambda digests: F.sha2(F.array_join(F.sort_array(F.collect_list(digests)), ""), 256)
     per_bucket = manifest.select(key, entry.alias("_e"), bucket.alias("_b")).groupBy(key, "_b").agg(
         joined("_e").alias("_d"), F.count("*").alias("_n")
     )

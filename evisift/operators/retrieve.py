@@ -156,6 +156,6 @@ def slot_query_mismatch(cases: DataFrame) -> DataFrame:
     """Cases whose ``query_slots`` are not exactly their ``required_slots``."""
     return cases.select(
         "case_id",
-        F.array_sort(F.array_except("required_slots", "query_slots")).alias("without_query"),
-        F.array_sort(F.array_except("query_slots", "required_slots")).alias("not_required"),
+        F.sort_array(F.array_except("required_slots", "query_slots")).alias("without_query"),
+        F.sort_array(F.array_except("query_slots", "required_slots")).alias("not_required"),
     ).filter((F.size("without_query") > 0) | (F.size("not_required") > 0))
