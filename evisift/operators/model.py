@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evisift.operators.features import FEATURES
 from evisift.operators.metrics import probability_metrics
 from evisift.operators.qualify import paired_bootstrap, promotion_gate
-from evisift.operators.routing import route, with_policies
+from evisift.operators.routing import route
 from evisift.session import pin
 
 # Columns the model must never see.
@@ -121,7 +121,7 @@ def compare_routers(
     """The promotion gate of the learned router, as (check, passed, decision) rows."""
     rows = pin(long_scores(scored), "routers")
     metrics = probability_metrics(rows, ["router"])
-    routing = route(with_policies(rows, ("risk",)), ["router", "policy"], [capacity], **sizes).drop("policy", "n")
+    routing = route(rows, ["router"], ("risk",), [capacity], **sizes).drop("policy", "n")
     sides = metrics.join(routing, "router")
     figures = ("brier", "pr_auc", "residual_weighted_risk", "critical_error_capture",
                "false_greenlight_rate", "review_budget_respected")
@@ -159,5 +159,5 @@ def per_group_metrics(rows: DataFrame, capacity: float = 0.20, **sizes: int) ->
     keys = ["grp", "router"]
     rows = pin(rows, "per-group")
     rates = rows.groupBy(*keys).agg(F.round(F.avg("label"), 6).alias("error_rate"))
-    routing = route(with_policies(rows, ("risk",)), [*keys, "policy"], [capacity], **sizes).drop("policy", "n")
+    routing = route(rows, keys, ("risk",), [capacity], **sizes).drop("policy", "n")
     return rates.join(probability_metrics(rows, keys), keys).join(routing, keys)

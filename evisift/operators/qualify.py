@@ -4,17 +4,121 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.hashing import stable_draw
-from evisift.operators.prefix import MAX_GROUP_ROWS, running_totals
-from evisift.operators.routing import MICRO, micro_minutes, route, with_policies
+from evisift.operators.prefix import MAX_GROUP_ROWS, running_totals, split_large_groups
+from evisift.operators.routing import (
+    CRITICAL_FROM,
+    MICRO,
+    available_minutes,
+    micro_minutes,
+    policy_columns,
+    policy_key,
+    route,
+)
 from evisift.session import pin
 
 _TOLERANCE = 1e-12
 
 
+# Replicates that one task draws from one copy of a group.
+REPLICATES_PER_TASK = 25
+
+
+def paired_draws(
+    items: DataFrame, group: Sequence[str], champion: str, challenger: str, capacity: float,
+    replicates: int, seed: int,
+) -> DataFrame:
+    """Champion and challenger figures per (group, rep), for groups that fit a task.
+
+    Only the group's rows travel, once per ``REPLICATES_PER_TASK`` replicates. The draws themselves, their
+    two rankings and walks happen in place: a draw is a position, each ranking is sorted once per group, and
+    a replicate sorts the rank numbers of its draws.
+    """
+    keys = list(group)
+    chunk = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_PER_TASK)))
+    columns = policy_columns((champion, challenger))
+    packed = (
+        items.select(*keys, *columns, chunk.alias("_chunk"))
+        .groupBy(*keys, "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("case_id", F.struct(*columns).alias("x")))).alias("_rows"))
+    )
+
+    def ranking(policy: str) -> Column:
+        """Rows in ranking order, each with its position ``i`` in case-id order."""
+        def keyed(row: Column, i: Column) -> Column:
+            x = row["x"]
+            key = policy_key(policy, row=lambda name: x[name])
+            wrong = F.coalesce(x["error"], F.lit(False))
+            return F.struct(
+                key["sort_key"].alias("sort_key"), key["tie"].alias("tie"), i.alias("i"),
+                micro_minutes(x["expected_review_minutes"]).alias("m"),
+                F.when(wrong, x["criticality"]).otherwise(0).cast("bigint").alias("w"),
+                (wrong & (x["criticality"] >= CRITICAL_FROM)).cast("bigint").alias("c"),
+            )
+
+        return F.sort_array(F.transform("_rows", keyed))
+
+    def rank_numbers(name: str) -> Column:
+        """Rank of every position."""
+        placed = F.sort_array(F.transform(name, lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"))))
+        return F.transform(placed, lambda x: x["r"])
+
+    sides = ("champion", "challenger")
+    ranked = packed.select(
+        *keys, "_chunk", F.size("_rows").alias("_n"),
+        *[ranking(p).alias(side) for side, p in zip(sides, (champion, challenger), strict=True)],
+    )
+    ranked = ranked.select("*", *[rank_numbers(side).alias(f"_{side}_rank") for side in sides])
+    first = F.col("_chunk") * REPLICATES_PER_TASK
+    last = F.least(first + REPLICATES_PER_TASK - 1, F.lit(replicates - 1))
+    draws = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda pos: stable_draw(
+            F.col("_n"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), pos
+        ).cast("int"),
+    )
+    reps = ranked.withColumn("rep", F.explode(F.sequence(first, last))).select("*", F.inline(F.array(F.struct(draws.alias("_draws")))))
+    minutes = F.aggregate(
+        "_draws", F.lit(0).cast("bigint"),
+        lambda total, d: total + F.get(F.col("champion"), F.get(F.col("_champion_rank"), d))["m"],
+    )
+    reps = reps.withColumn("_budget", available_minutes(minutes, F.lit(capacity)))
+
+    def walk(side: str) -> Column:
+        ranks = F.sort_array(F.transform("_draws", lambda d: F.get(F.col(f"_{side}_rank"), d)))
+        zero = F.lit(0).cast("bigint")
+        start = F.struct(
+            F.col("_budget").alias("left"),
+            *[zero.alias(name) for name in ("w", "c", "all_w", "all_c")],
+        )
+
+        def step(state: Column, r: Column) -> Column:
+            x = F.get(F.col(side), r)
+            fits = x["m"] <= state["left"]
+            if_fits = lambda value: F.when(fits, value).otherwise(F.lit(0).cast("bigint"))
+            return F.struct(
+                (state["left"] - if_fits(x["m"])).alias("left"),
+                (state["w"] + if_fits(x["w"])).alias("w"), (state["c"] + if_fits(x["c"])).alias("c"),
+                (state["all_w"] + x["w"]).alias("all_w"), (state["all_c"] + x["c"]).alias("all_c"),
+            )
+
+        return F.aggregate(ranks, start, step)
+
+    ends = reps.select(*keys, "rep", F.inline(F.array(F.struct(*[walk(side).alias(f"_{side}") for side in sides]))))
+    figures = []
+    for side in sides:
+        end = F.col(f"_{side}")
+        capture = F.when(end["all_c"] > 0, F.round(end["c"] / end["all_c"], 6)).otherwise(1.0)
+        figures += [
+            (end["all_w"] - end["w"]).cast("double").alias(f"{side}_residual_weighted_risk"),
+            capture.alias(f"{side}_critical_error_capture"),
+        ]
+    return ends.select(*keys, "rep", *figures)
+
+
 def resample(
     items: DataFrame, group: Sequence[str], replicates: int, seed: int = 19,
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -66,16 +170,22 @@ def paired_bootstrap(
 ) -> DataFrame:
     """Mean and 95 % interval of (challenger - champion) residual risk, per group.
 
-    All replicates of all groups are routed in one job; a replicate of a large group is itself spread
-    over range parts, so neither many replicates nor one large group overloads a task.
+    All replicates of all groups run in one job. Groups up to ``max_group_rows`` draw in place; a replicate
+    of a larger group is spread over range parts like any other large group.
     """
     if replicates < min_replicates:
         raise ValueError(f"replicates must be at least {min_replicates}")
     keys = list(group)
-    sampled = resample(items, keys, replicates, seed)
-    ranked = with_policies(sampled, (champion, challenger))
-    outcomes = route(ranked, [*keys, "rep", "policy"], [capacity], **sizes)
-    pairs = paired_outcomes(outcomes, [*keys, "rep"], champion, challenger).select(
+    items = pin(items.select(*keys, *policy_columns((champion, challenger))), "bootstrap")
+    small, large, _ = split_large_groups(items, keys, sizes.get("max_group_rows", MAX_GROUP_ROWS))
+    outcomes = paired_draws(small, keys, champion, challenger, capacity, replicates, seed)
+    if large is not None:
+        routed = route(
+            resample(large, keys, replicates, seed), [*keys, "rep"], (champion, challenger), [capacity], **sizes
+        )
+        pairs = paired_outcomes(routed, [*keys, "rep"], champion, challenger)
+        outcomes = outcomes.unionByName(pairs.select(*outcomes.columns))
+    pairs = outcomes.select(
         *keys,
         (F.col("challenger_residual_weighted_risk") - F.col("champion_residual_weighted_risk")).alias("_diff"),
         (
@@ -110,8 +220,7 @@ def qualify_policy(
         replicates=replicates, seed=seed, **sizes,
     )
     full = paired_outcomes(
-        route(with_policies(labelled, (champion, challenger)), [*keys, "policy"], [capacity], **sizes),
-        keys, champion, challenger,
+        route(labelled, keys, (champion, challenger), [capacity], **sizes), keys, champion, challenger,
     )
     budget = cases.groupBy(*keys).agg(
         (F.sum(micro_minutes(F.col("expected_review_minutes"))) * F.lit(capacity) / MICRO + 1e-9).alias("_budget")

@@ -31,28 +31,40 @@ def micro_minutes(minutes: Column) -> Column:
     return F.round(minutes * MICRO).cast("bigint")
 
 
-def policy_key(policy: str, seed: int = 7) -> Column:
+def policy_key(policy: str, seed: int = 7, row=F.col) -> Column:
     """``struct(policy, sort_key, tie)``; ascending order of the last two is the policy's ranking.
 
-    Needs ``case_id``, ``score``, ``criticality`` and ``expected_review_minutes``. The random policy
-    orders by an MD5 of seed and case id, which any engine can repeat.
+    ``row`` maps a column name to the value: a column of the frame or a field of a packed struct. The
+    random policy orders by an MD5 of seed and case id, which any engine can repeat. Any other name than
+    the four policies is the name of a score column.
     """
-    keys = {
-        "risk": -F.col("score"),
-        "risk_per_minute": -(F.col("score") * F.col("criticality") / F.col("expected_review_minutes")),
-        "criticality": -F.col("criticality").cast("double"),
-        "random": F.lit(0.0),
-    }
-    if policy in ("baseline", "candidate"):  # a router's own score column
-        keys[policy] = -F.col(policy)
-    if policy not in keys:
+    if policy == "risk":
+        key = -row("score")
+    elif policy == "risk_per_minute":
+        key = -(row("score") * row("criticality") / row("expected_review_minutes"))
+    elif policy == "criticality":
+        key = -row("criticality").cast("double")
+    elif policy == "random":
+        key = F.lit(0.0)
+    elif policy in ("baseline", "candidate"):
+        key = -row(policy)
+    else:
         raise ValueError(f"unknown policy: {policy}")
-    tie = F.md5(F.concat(F.lit(f"{seed}|"), "case_id")) if policy == "random" else F.col("case_id")
+    tie = F.md5(F.concat(F.lit(f"{seed}|"), row("case_id"))) if policy == "random" else row("case_id")
     return F.struct(
-        F.lit(policy).alias("policy"), keys[policy].cast("double").alias("sort_key"), tie.alias("tie")
+        F.lit(policy).alias("policy"), key.cast("double").alias("sort_key"), tie.alias("tie")
     )
 
 
+def policy_columns(policies: Sequence[str]) -> list[str]:
+    """Columns that the rankings of ``policies`` and the outcome read."""
+    scores = {"risk": ["score"], "risk_per_minute": ["score"], "criticality": [], "random": []}
+    wanted = ["case_id", "criticality", "expected_review_minutes", "error"]
+    for policy in policies:
+        wanted += [c for c in scores.get(policy, [policy]) if c not in wanted]
+    return wanted
+
+
 def with_policies(items: DataFrame, policies: Sequence[str] = POLICIES, seed: int = 7) -> DataFrame:
     """One row per case and policy, in one pass, with ``minutes_u`` and ``copies``."""
     exploded = items.withColumn("_p", F.explode(F.array(*[policy_key(p, seed) for p in policies])))
@@ -104,8 +116,8 @@ def _no_limit() -> Column:
     return F.lit(2**63 - 1).cast("bigint")
 
 
-def _available(total: Column, capacity: Column) -> Column:
-    # 1e-9 minutes of slack, as micro-minutes
+def available_minutes(total: Column, capacity: Column) -> Column:
+    """Whole micro-minutes of a share of ``total``, with 1e-9 minutes of slack."""
     return F.floor(total.cast("decimal(28,0)") * capacity.cast("decimal(9,6)") + F.expr("0.001BD")).cast("bigint")
 
 
@@ -113,7 +125,7 @@ def _lanes(totals: DataFrame, capacities: Sequence[float]) -> DataFrame:
     """One row per group and capacity with its budget."""
     capacity = F.explode(F.array(*[F.lit(float(c)) for c in capacities]))
     return totals.withColumn("capacity", capacity).withColumn(
-        "available_u", _available(F.col("total_u"), F.col("capacity"))
+        "available_u", available_minutes(F.col("total_u"), F.col("capacity"))
     )
 
 
@@ -153,7 +165,7 @@ def _small_group_cutoffs(small: DataFrame, group: Sequence[str], capacities: Seq
     )
     budgets = F.array(
         *[
-            F.struct(F.lit(float(c)).alias("capacity"), _available(F.col("total_u"), F.lit(float(c))).alias("available_u"))
+            F.struct(F.lit(float(c)).alias("capacity"), available_minutes(F.col("total_u"), F.lit(float(c))).alias("available_u"))
             for c in capacities
         ]
     )
@@ -285,23 +297,11 @@ def select_within_budget(ranked: DataFrame, cutoffs: DataFrame, group: Sequence[
 # outcomes
 
 
-def routing_outcome(selection: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Budget, residual risk and safety figures per (group, capacity).
+_SUMS = ("n", "reviewed_count", "_weight", "_weight_taken", "_critical", "_critical_taken", "_errors", "_errors_taken")
 
-    ``selection`` needs ``error`` (boolean) and ``criticality`` next to the walk's columns. One
-    aggregation with map-side partial sums.
-    """
-    copies, taken = F.col("copies"), F.col("taken")
-    weight = F.when(F.col("error"), F.col("criticality")).otherwise(0)
-    critical = (F.col("error") & (F.col("criticality") >= CRITICAL_FROM)).cast("int")
-    error = F.col("error").cast("int")
-    total = lambda value, name: F.sum(value).alias(name)
-    sums = selection.groupBy(*group, "capacity", "available_u", "used_u").agg(
-        total(copies, "n"), total(taken, "reviewed_count"),
-        total(copies * weight, "_weight"), total(taken * weight, "_weight_taken"),
-        total(copies * critical, "_critical"), total(taken * critical, "_critical_taken"),
-        total(copies * error, "_errors"), total(taken * error, "_errors_taken"),
-    )
+
+def _report(sums: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Figures from the summed counts of a walk."""
     share = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 6)).otherwise(1.0)
     unsafe = F.col("_errors") - F.col("_errors_taken")
     passed_over = F.col("n") - F.col("reviewed_count")
@@ -320,15 +320,124 @@ def routing_outcome(selection: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
+def routing_outcome(selection: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Budget, residual risk and safety figures per (group, capacity) of a selection.
+
+    ``selection`` needs ``error`` (boolean) and ``criticality`` next to the walk's columns. One
+    aggregation with map-side partial sums, so it suits groups of any size.
+    """
+    copies, taken = F.col("copies"), F.col("taken")
+    weight = F.when(F.col("error"), F.col("criticality")).otherwise(0)
+    critical = (F.col("error") & (F.col("criticality") >= CRITICAL_FROM)).cast("int")
+    error = F.col("error").cast("int")
+    values = (
+        copies, taken, copies * weight, taken * weight, copies * critical, taken * critical,
+        copies * error, taken * error,
+    )
+    sums = selection.groupBy(*group, "capacity", "available_u", "used_u").agg(
+        *[F.sum(value).alias(name) for name, value in zip(_SUMS, values, strict=True)]
+    )
+    return _report(sums, group)
+
+
+def _outcome_of_small_groups(
+    items: DataFrame, group: Sequence[str], policies: Sequence[str], capacities: Sequence[float], seed: int
+) -> DataFrame:
+    """Walk groups that fit a task: pack each once, then sort and walk it per policy and capacity.
+
+    One exchange for all policies and capacities, and the outcome is summed during the walk.
+    """
+    big = lambda value: value.cast("bigint")
+    packed = items.groupBy(*group).agg(
+        F.sum(micro_minutes(F.col("expected_review_minutes"))).alias("total_u"),
+        big(F.count("*")).alias("n"),
+        big(F.sum(F.when(F.col("error"), F.col("criticality")).otherwise(0))).alias("_weight"),
+        big(F.count_if(F.col("error") & (F.col("criticality") >= CRITICAL_FROM))).alias("_critical"),
+        big(F.count_if("error")).alias("_errors"),
+        F.collect_list(F.struct(*policy_columns(policies))).alias("_items"),
+    )
+
+    def ordered(policy: str) -> Column:
+        def keyed(x: Column) -> Column:
+            key = policy_key(policy, seed, lambda name: x[name])
+            wrong = F.coalesce(x["error"], F.lit(False))
+            return F.struct(
+                key["sort_key"].alias("sort_key"), key["tie"].alias("tie"),
+                micro_minutes(x["expected_review_minutes"]).alias("m"),
+                big(F.when(wrong, x["criticality"]).otherwise(0)).alias("w"),
+                big(wrong & (x["criticality"] >= CRITICAL_FROM)).alias("c"),
+                big(wrong).alias("e"),
+            )
+
+        return F.sort_array(F.transform("_items", keyed))
+
+    def walk(rows: Column, budget: Column) -> Column:
+        names = ("n", "w", "c", "e")
+        start = F.struct(budget.alias("left"), *[big(F.lit(0)).alias(name) for name in names])
+
+        def step(state: Column, x: Column) -> Column:
+            fits = x["m"] <= state["left"]
+            add = {"n": F.lit(1), "w": x["w"], "c": x["c"], "e": x["e"]}
+            after = F.struct(
+                (state["left"] - x["m"]).alias("left"),
+                *[big(state[name] + add[name]).alias(name) for name in names],
+            )
+            return F.when(fits, after).otherwise(state)
+
+        return F.aggregate(rows, start, step)
+
+    lanes = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(p).alias("policy"), ordered(p).alias("rows"))
+                for p in policies
+            ]
+        )
+    )
+    per_policy = packed.select("*", lanes.alias("_lane")).drop("_items")
+    per_capacity = per_policy.withColumn(
+        "capacity", F.explode(F.array(*[F.lit(float(c)) for c in capacities]))
+    ).withColumn("available_u", available_minutes(F.col("total_u"), F.col("capacity")))
+    walked = per_capacity.withColumn("_end", walk(F.col("_lane.rows"), F.col("available_u")))
+    end = walked.select(
+        *group, F.col("_lane.policy").alias("policy"), "capacity", "available_u",
+        F.inline(F.array("_end")), "n", "_weight", "_critical", "_errors",
+    ).toDF(
+        *group, "policy", "capacity", "available_u", "left", "reviewed_count", "_weight_taken",
+        "_critical_taken", "_errors_taken", "n", "_weight", "_critical", "_errors",
+    )
+    return _report(end.withColumn("used_u", F.col("available_u") - F.col("left")), [*group, "policy"])
+
+
 def route(
-    ranked: DataFrame, group: Sequence[str], capacities: Sequence[float], **sizes: int
+    items: DataFrame, group: Sequence[str], policies: Sequence[str], capacities: Sequence[float], *,
+    seed: int = 7, max_group_rows: int = MAX_GROUP_ROWS, part_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Rank, fill the budget and report, for every group and capacity in one plan."""
-    narrow = pin(
-        ranked.select(
-            *group, "sort_key", "tie", "minutes_u", "copies", "criticality", "error"
+    """Rank by every policy, fill every budget and report, per (group, policy, capacity).
+
+    ``items`` has the group columns and ``policy_columns(policies)``. Groups up to ``max_group_rows`` are
+    walked inside a task; larger ones by range parts and cutoffs.
+    """
+    for capacity in capacities:
+        if not 0.0 <= capacity <= 1.0:
+            raise ValueError("capacity must be between zero and one")
+    extra = ["copies"] if "copies" in items.columns else []
+    narrow = pin(items.select(*group, *policy_columns(policies), *extra), "route")
+    small, large, _ = split_large_groups(narrow, group, max_group_rows)
+    if extra:  # repeated rows are walked by cutoffs, which know copies
+        large, small = narrow, None
+    out = None if small is None else _outcome_of_small_groups(small, group, policies, capacities, seed)
+    if large is None:
+        return out
+    keys = [*group, "policy"]
+    ranked = pin(
+        with_policies(large, policies, seed).select(
+            *keys, "sort_key", "tie", "minutes_u", "copies", "criticality", "error"
         ),
-        "route",
+        "ranked",
+    )
+    cutoffs = budget_cutoffs(
+        ranked, keys, capacities, pinned=True, max_group_rows=max_group_rows, part_rows=part_rows
     )
-    cutoffs = budget_cutoffs(narrow, group, capacities, pinned=True, **sizes)
-    return routing_outcome(select_within_budget(narrow, cutoffs, group), group)
+    spread = routing_outcome(select_within_budget(ranked, cutoffs, keys), keys)
+    return spread if out is None else out.unionByName(spread)

@@ -424,14 +424,13 @@ def budget_select(spark, sf):
 
 @query
 def routing_outcome(spark, sf):
-    ranked = routing.with_policies(known_items(spark, sf))
-    return routing.route(ranked, ["queue", "policy"], REVIEW_CAPACITIES)
+    return routing.route(known_items(spark, sf), ["queue"], routing.POLICIES, REVIEW_CAPACITIES)
 
 
 @query
 def risk_coverage(spark, sf):
-    ranked = routing.with_policies(_router_rows(spark, sf), ("risk",))
-    return routing.route(ranked, ["router", "policy"], routing.RISK_COVERAGE_CAPACITIES).drop("policy")
+    rows = _router_rows(spark, sf)
+    return routing.route(rows, ["router"], ("risk",), routing.RISK_COVERAGE_CAPACITIES).drop("policy")
 
 
 @query
@@ -485,7 +484,7 @@ def promotion_gate(spark, sf):
     items = known_items(spark, sf).withColumn("upstream_error", F.col("error").cast("int"))
     rows = pin(model.long_scores(items), "gate")
     sides = metrics.probability_metrics(rows, ["router"]).join(
-        routing.route(routing.with_policies(rows, ("risk",)), ["router", "policy"], [CAPACITY]).drop("policy", "n"),
+        routing.route(rows, ["router"], ("risk",), [CAPACITY]).drop("policy", "n"),
         "router",
     )
     figures = ("brier", "pr_auc", "residual_weighted_risk", "critical_error_capture",
