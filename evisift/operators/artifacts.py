@@ -70,7 +70,7 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("run_id").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("total_bytes"))
 
 
-def fingerprint(manifest: DataFrame, key: str = "run_id", buckets: int = 4096) -> DataFrame:
+def fingerprint(manifest: DataFrame, key: str = "run_id", buckets: int = 65_536) -> DataFrame:
     """One digest per run over its (path, bytes, sha256) entries, whatever their order.
 
     Two levels: entries are hashed into buckets by path, each bucket's sorted entry digests are hashed, then

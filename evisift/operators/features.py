@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.operators.assess import assess_long
-from evisift.schemas import STATUSES
+from evisift.operators.assess import assess_long, largest_case
+from evisift.schemas import MAX_EVIDENCE_PER_CASE, STATUSES
 
 FEATURES = (
     "evidence_count", "missing_fraction", "invalid_fraction", "contradiction_slots", "negative_slots",
@@ -30,8 +30,9 @@ def case_features(
 ) -> DataFrame:
     """One row of doubles per case. ``results`` supplies the assessed status.
 
-    Evidence is summed per (case, slot, source) first, which also gives the number of distinct
-    sources, so no task gathers a case.
+    Evidence is summed per (case, slot, source) first, which also gives the number of distinct sources. With
+    cases inside the contract all steps share the exchange of the scope join; when some case is larger, rows
+    are spread by (case, slot, source) before they are summed.
     """
     scope = cases.select("case_id", "target_system", "target_region", "max_age_days")
     e = evidence if "bbox" in evidence.columns else evidence.withColumn("bbox", F.lit(None))
@@ -51,6 +52,8 @@ def case_features(
         "approved_exception": (F.col("slot") == "exception") & F.col("approved"),
     }
     joined = e.join(scope, "case_id")
+    if largest_case(evidence) > MAX_EVIDENCE_PER_CASE:
+        joined = joined.repartition("case_id", "slot", "source_hash")
     fine = joined.groupBy("case_id", "slot", "source_hash").agg(
         *[F.count_if(test).alias(name) for name, test in tests.items()],
         F.bool_or(F.col("polarity") == "SUPPORTS").alias("s"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evisift.session import pin
 
-MAX_GROUP_ROWS = 500_000
+MAX_GROUP_ROWS = 200_000
 
 
 def split_large_groups(
@@ -23,10 +23,11 @@ def split_large_groups(
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """``(small groups, large groups or None, rows in large groups)``.
 
-    ``df`` is read twice, so callers pass a pinned table. There are fewer than
-    ``rows / max_group_rows`` large groups.
+    ``df`` is read twice, so callers pass a pinned table. There are fewer than ``rows / max_group_rows``
+    large groups; their names are written, so the planner sees that list's real size.
     """
     sizes = df.groupBy(*group).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_group_rows)
+    sizes = pin(sizes, "large-groups")
     rows = sizes.agg(F.sum("_rows")).first()[0]
     if not rows:
         return df, None, 0
@@ -43,7 +44,7 @@ def range_parts(
     """
     parts = max(2, -(-rows // part_rows))
     ranged = df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
-    return pin(ranged, "ranges")
+    return pin(ranged, "ranges", partition_by="_part")
 
 
 def running_totals(

@@ -81,39 +81,41 @@ def paired_draws(
         ).cast("int"),
     )
     reps = ranked.withColumn("rep", F.explode(F.sequence(first, last))).select("*", F.inline(F.array(F.struct(draws.alias("_draws")))))
-    minutes = F.aggregate(
-        "_draws", F.lit(0).cast("bigint"),
-        lambda total, d: total + F.get(F.col("champion"), F.get(F.col("_champion_rank"), d))["m"],
+    zero = F.lit(0).cast("bigint")
+    sums = ("m", "w", "c")
+    drawn = F.transform(
+        "_draws", lambda d: F.get(F.col("champion"), F.get(F.col("_champion_rank"), d))
     )
-    reps = reps.withColumn("_budget", available_minutes(minutes, F.lit(capacity)))
+    total = F.aggregate(
+        drawn, F.struct(*[zero.alias(n) for n in sums]),
+        lambda t, x: F.struct(*[(t[n] + x[n]).alias(n) for n in sums]),
+    )
+    reps = reps.select("*", F.inline(F.array(F.struct(total.alias("_all")))))
+    budget = available_minutes(F.col("_all.m"), F.lit(capacity))
 
     def walk(side: str) -> Column:
         ranks = F.sort_array(F.transform("_draws", lambda d: F.get(F.col(f"_{side}_rank"), d)))
-        zero = F.lit(0).cast("bigint")
-        start = F.struct(
-            F.col("_budget").alias("left"),
-            *[zero.alias(name) for name in ("w", "c", "all_w", "all_c")],
-        )
+        rows = F.transform(ranks, lambda r: F.get(F.col(side), r))
+        start = F.struct(budget.alias("left"), zero.alias("w"), zero.alias("c"))
 
-        def step(state: Column, r: Column) -> Column:
-            x = F.get(F.col(side), r)
-            fits = x["m"] <= state["left"]
-            if_fits = lambda value: F.when(fits, value).otherwise(F.lit(0).cast("bigint"))
-            return F.struct(
-                (state["left"] - if_fits(x["m"])).alias("left"),
-                (state["w"] + if_fits(x["w"])).alias("w"), (state["c"] + if_fits(x["c"])).alias("c"),
-                (state["all_w"] + x["w"]).alias("all_w"), (state["all_c"] + x["c"]).alias("all_c"),
+        def step(state: Column, x: Column) -> Column:
+            taken = F.struct(
+                (state["left"] - x["m"]).alias("left"), (state["w"] + x["w"]).alias("w"),
+                (state["c"] + x["c"]).alias("c"),
             )
+            return F.when(x["m"] <= state["left"], taken).otherwise(state)
 
-        return F.aggregate(ranks, start, step)
+        return F.aggregate(rows, start, step)
 
-    ends = reps.select(*keys, "rep", F.inline(F.array(F.struct(*[walk(side).alias(f"_{side}") for side in sides]))))
+    walks = F.struct(*[walk(side).alias(f"_{side}") for side in sides])
+    ends = reps.select(*keys, "rep", "_all", F.inline(F.array(walks)))
     figures = []
     for side in sides:
         end = F.col(f"_{side}")
-        capture = F.when(end["all_c"] > 0, F.round(end["c"] / end["all_c"], 6)).otherwise(1.0)
+        critical = F.col("_all.c")
+        capture = F.when(critical > 0, F.round(end["c"] / critical, 6)).otherwise(1.0)
         figures += [
-            (end["all_w"] - end["w"]).cast("double").alias(f"{side}_residual_weighted_risk"),
+            (F.col("_all.w") - end["w"]).cast("double").alias(f"{side}_residual_weighted_risk"),
             capture.alias(f"{side}_critical_error_capture"),
         ]
     return ends.select(*keys, "rep", *figures)
@@ -136,7 +138,7 @@ def resample(
         ).withColumn("_idx", F.col("_idx") - 1),
         "placed",
     )
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_size"))
+    sizes = pin(placed.groupBy(*keys).agg(F.count("*").alias("_size")), "sizes")
     drawn = (
         placed.select(*keys, F.col("_idx").alias("_pos"))
         .join(sizes, keys)

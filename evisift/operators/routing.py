@@ -234,9 +234,9 @@ def _large_group_cutoffs(
             *lane, F.col("_hit._part").alias("_part"),
             (F.col("_hit._upto") - F.col("_hit._need")).alias("_before"),
         )
-        walk_state = state.join(hit, lane).select(
-            *lane, "_part", F.struct((F.col("left") - F.col("_before")).alias("left"), "limit", "cutoffs").alias("_s")
-        )
+        start = F.struct((F.col("left") - F.col("_before")).alias("left"), "limit", "cutoffs")
+        # one row per open budget: written, so it is broadcast and prunes the parts that are read
+        walk_state = pin(state.join(hit, lane).select(*lane, "_part", start.alias("_s")), "walk")
         walked = (
             ranged.join(walk_state, [*group, "_part"])
             .filter(F.col("minutes_u") < F.col("_s.limit"))

@@ -634,7 +634,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN times IS NULL THEN 'unlisted_file' END]) AS problem FROM j) WHERE problem IS NOT NULL""",
     "manifest_totals": f"WITH {_PAGES} SELECT run_id, count(*) AS n_files, sum(bytes)::BIGINT AS total_bytes FROM pages_p GROUP BY run_id",
     "corpus_fingerprint": """WITH e AS (SELECT source AS run_id, sha256(doc_id || '|' || n_chars || '|' || sha256(text)) AS d,
-            CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 8) AS BIGINT) % 4096 AS b FROM documents),
+            CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 8) AS BIGINT) % 65536 AS b FROM documents),
         k AS (SELECT run_id, b, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM e GROUP BY run_id, b)
         SELECT run_id, sha256(string_agg(lpad(b::VARCHAR, 8, '0') || ':' || d, '' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n_files FROM k GROUP BY run_id""",
     "snapshot_diff": """WITH a AS (SELECT doc_id, sha256(text) AS s FROM documents WHERE source <> 'src3'),

@@ -45,14 +45,16 @@ def scratch_root(spark: SparkSession) -> str:
     )
 
 
-def pin(df: DataFrame, name: str) -> DataFrame:
+def pin(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, stops several branches from recomputing the
     same upstream, and gives the planner a measured size, so it broadcasts the table only when it
-    really is below ``spark.sql.autoBroadcastJoinThreshold``.
+    really is below ``spark.sql.autoBroadcastJoinThreshold``. With ``partition_by`` a later join on that
+    column reads only the partitions it meets.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evisift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

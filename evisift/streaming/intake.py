@@ -55,25 +55,29 @@ def intake_batch(requests: DataFrame) -> DataFrame:
 
 
 def intake_stream(requests: DataFrame, retention_days: int = RETENTION_DAYS, late: str = "1 hour") -> DataFrame:
-    """Stream twin of ``intake_batch``: one small state per key, forgotten after the retention time."""
+    """Stream twin of ``intake_batch``: one small state per key, forgotten after the retention time.
+
+    Limit the rows per trigger at the source (``maxFilesPerTrigger`` and the like): a key's rows of one
+    trigger are ordered together before they are judged.
+    """
     keep_ms = retention_days * 86_400_000
 
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            statuses = []
-            for body, at in zip(batch["body_hash"], batch["ts"], strict=True):
-                at_ms = int(at.timestamp() * 1000)
-                first_body, first_ms = state.get if state.exists else (None, 0)
-                if first_body is None or at_ms - first_ms > keep_ms:
-                    state.update((body, at_ms))
-                    statuses.append("new")
-                else:
-                    statuses.append("replayed" if body == first_body else "conflict")
-            yield batch[["idempotency_key", "event_id", "ts"]].assign(status=statuses)
+        # a key's rows may come in several Arrow batches, in no order; a trigger bounds how many there are
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        statuses = []
+        for body, at in zip(rows["body_hash"], rows["ts"], strict=True):
+            at_ms = int(at.timestamp() * 1000)
+            first_body, first_ms = state.get if state.exists else (None, 0)
+            if first_body is None or at_ms - first_ms > keep_ms:
+                state.update((body, at_ms))
+                statuses.append("new")
+            else:
+                statuses.append("replayed" if body == first_body else "conflict")
+        yield rows[["idempotency_key", "event_id", "ts"]].assign(status=statuses)
         expires = state.get[1] + keep_ms
         state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.operators.assess import assess_long, assess_nested, assess_spread, with_text_facts
+from evisift.operators.assess import assess_long, assess_nested, assess_spread, usable_rows, with_text_facts
 from evisift.schemas import CASE
 from evisift.sources.cases import explode_evidence, read_cases
 
@@ -130,8 +130,15 @@ def test_statuses_and_forms(spark):
     for name, (_, status, automation, invalid) in CASES.items():
         got = rows["nested"][name]
         assert (got["status"], got["automation_status"], got["invalid_evidence_ids"]) == (status, automation, invalid), name
-        for form in forms:
-            assert rows[form][name] == got, (form, name)
+        assert rows["packed"][name] == got, name
+        for form in ("spread", "mixed"):
+            row = rows[form][name].asDict()
+            if row["usable_evidence_ids"] is None:
+                row |= {c: got[c] for c in ("usable_evidence_ids", "invalid_evidence_ids")}
+            assert row == got.asDict(), (form, name)
+    verdicts = usable_rows(nested.drop("evidence"), with_text_facts(long)).filter("verdict <> 'USABLE'").collect()
+    for name, (_, _, _, invalid) in CASES.items():
+        assert sorted(v["evidence_id"] for v in verdicts if v["case_id"] == name) == invalid
     assert rows["nested"]["missing"]["missing_slots"] == ["operating"]
     assert rows["nested"]["no_evidence"]["risk_score"] == pytest.approx(0.57)
     assert rows["nested"]["duplicate"]["risk_score"] >= rows["nested"]["satisfied"]["risk_score"]
