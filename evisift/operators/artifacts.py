@@ -184,7 +184,8 @@ def verify_artifacts(artifacts: DataFrame, registry: DataFrame, version: str) ->
 
 
 def document_integrity(
-    specs: DataFrame, files: DataFrame, max_file_bytes: int = 25_000_000, max_total_bytes: int = 100_000_000
+    specs: DataFrame, files: DataFrame, max_file_bytes: int = 25_000_000, max_total_bytes: int = 100_000_000,
+    max_documents: int = 128,
 ) -> DataFrame:
     """Problems of manifest documents against the files: ``specs`` and ``files`` keyed by (pack_id, path).
 
@@ -208,12 +209,15 @@ def document_integrity(
             "checksum_mismatch": there & (F.col("_sha") != F.col("sha256")),
         },
     )
-    totals = joined.groupBy("pack_id").agg(F.sum("_bytes").alias("_total"))
-    return single.unionByName(
-        totals.filter(F.col("_total") > max_total_bytes).select(
-            "pack_id", F.lit(None).cast("string").alias("document_id"), F.lit("pack_too_large").alias("problem")
-        )
+    totals = joined.groupBy("pack_id").agg(F.sum("_bytes").alias("_total"), F.count("*").alias("_documents"))
+    whole = _problems(
+        totals.withColumn("document_id", F.lit(None).cast("string")), ["pack_id", "document_id"],
+        {
+            "pack_too_large": F.col("_total") > max_total_bytes,
+            "too_many_documents": F.col("_documents") > max_documents,
+        },
     )
+    return single.unionByName(whole)
 
 
 def member_audit(

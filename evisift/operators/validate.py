@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.geometry import bbox_is_valid
+from evisift.functions.paths import is_traversal
 from evisift.schemas import (
     MAX_EVIDENCE_PER_CASE,
     MAX_TEXT_CHARS,
@@ -59,6 +60,20 @@ def case_rules() -> dict[str, Column]:
     }
 
 
+def document_rules() -> dict[str, Column]:
+    """What every document of a manifest must satisfy."""
+    return {
+        "document_id_length": _length("document_id", 128),
+        "source_path_length": _length("source_path", 512),
+        "source_path_safe": ~is_traversal(F.col("source_path")),
+        "sha256_pattern": F.col("sha256").rlike(SHA256_PATTERN),
+        "document_type_length": _length("document_type", 64),
+        "system_present": F.col("system").isNotNull(),
+        "region_present": F.col("region").isNotNull(),
+        "age_days_range": _range("age_days", 0, 100_000),
+    }
+
+
 def field_audit(df: DataFrame, keys: Sequence[str], rules: dict[str, Column]) -> DataFrame:
     """One row per (record, broken rule). A single pass: no join and no shuffle."""
     broken = F.array_compact(

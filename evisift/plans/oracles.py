@@ -493,6 +493,10 @@ ORACLES: dict[str, str] = {
           CASE WHEN NOT (o_totalprice / 1000 > 0 AND o_totalprice / 1000 <= 240) THEN 'review_minutes_range' END AS d,
           CASE WHEN o_orderstatus = 'O' THEN 'gold_status_value' END AS e FROM orders)
         SELECT rule, count(*) AS n_violations FROM (SELECT unnest([a, b, c, d, e]) AS rule FROM r) WHERE rule IS NOT NULL GROUP BY rule""",
+    "document_audit": """SELECT document_id, rule FROM (SELECT 'doc-' || doc_id AS document_id, unnest([
+          CASE WHEN lang = 'es' THEN 'source_path_safe' END, CASE WHEN lang = 'fr' THEN 'sha256_pattern' END,
+          CASE WHEN source = 'src9' THEN 'region_present' END, CASE WHEN n_chars - 400 NOT BETWEEN 0 AND 100000 THEN 'age_days_range' END]) AS rule
+        FROM documents) WHERE rule IS NOT NULL""",
     "bbox_audit": """SELECT l_orderkey AS case_id, count(*) AS n_bad FROM (
           SELECT l_orderkey, l_discount AS x1, CASE WHEN l_quantity > 1 THEN l_quantity / 50.0 END AS x2,
                  CASE WHEN l_linenumber <> 7 THEN l_tax END AS y1, l_discount * 12 AS y2 FROM lineitem)
@@ -679,7 +683,8 @@ ORACLES: dict[str, str] = {
         one AS (SELECT pack_id, document_id, unnest([CASE WHEN times > 1 THEN 'duplicate_document_id' END, CASE WHEN lang = 'es' THEN 'missing_file' END,
             CASE WHEN lang <> 'es' AND bytes NOT BETWEEN 1 AND 20000 THEN 'bad_size' END, CASE WHEN lang = 'de' AND sha256(text) <> sha256(upper(replace(text, 'ß', 'SS'))) THEN 'checksum_mismatch' END]) AS problem FROM t)
         SELECT * FROM one WHERE problem IS NOT NULL
-        UNION ALL SELECT pack_id, NULL, 'pack_too_large' FROM s WHERE lang <> 'es' GROUP BY pack_id HAVING sum(bytes) > 100000""",
+        UNION ALL SELECT pack_id, NULL, 'pack_too_large' FROM s WHERE lang <> 'es' GROUP BY pack_id HAVING sum(bytes) > 100000
+        UNION ALL SELECT pack_id, NULL, 'too_many_documents' FROM s GROUP BY pack_id HAVING count(*) > 128""",
     "request_hashes": "SELECT sha256(props) AS props_hash, count(*) AS n, count(DISTINCT event_type || '|' || props || '|' || user_id) AS n_bodies FROM events GROUP BY props",
     "admission_audit": f"""WITH {_REQUESTS}, b AS (SELECT *, CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END AS body FROM req)
         SELECT CASE WHEN strlen(body) > 9 THEN 'body_too_large' WHEN length(idempotency_key) NOT BETWEEN 8 AND 128 THEN 'bad_key_length'

@@ -240,6 +240,22 @@ def case_audit(spark, sf):
     return validate.count_by_rule(validate.field_audit(raw, ["case_id"], validate.case_rules()))
 
 
+@query
+def document_audit(spark, sf):
+    """Documents read as manifest entries, values unrepaired."""
+    number = F.col("doc_id").cast("string")
+    specs = tables.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), number).alias("document_id"),
+        F.when(F.col("lang") == "es", F.concat(F.lit("../"), number)).otherwise(F.concat_ws("/", "source", number))
+        .alias("source_path"),
+        F.when(F.col("lang") == "fr", F.md5("text")).otherwise(F.sha2("text", 256)).alias("sha256"),
+        F.col("lang").alias("document_type"), F.lit("payments-prod").alias("system"),
+        F.when(F.col("source") != "src9", "us-east-1").alias("region"),
+        (F.col("n_chars") - 400).cast("int").alias("age_days"),
+    )
+    return validate.field_audit(specs, ["document_id"], validate.document_rules())
+
+
 def _line_boxes(spark, sf):
     return tables.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("evidence_id"),
