@@ -192,7 +192,7 @@ def document_integrity(
     ``files`` has ``bytes`` and ``sha256``. Totals are per pack.
     """
     if min(max_file_bytes, max_total_bytes) < 1:
-        raise ValueError("document resource limits must be positive")
+        raise ValueError("size limits start at one byte")
     ids = specs.groupBy("pack_id", "document_id").agg(F.count("*").alias("_times"))
     joined = specs.join(ids, ["pack_id", "document_id"]).join(
         files.select("pack_id", "source_path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha")),

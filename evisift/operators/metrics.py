@@ -153,7 +153,7 @@ def probability_metrics(
 def risk_gate(flagged: DataFrame, segment: Sequence[str], risk_budget: float = 0.05) -> DataFrame:
     """Exact upper bound on the error rate of automatic decisions, per segment."""
     if not 0.0 < risk_budget < 1.0:
-        raise ValueError("risk_budget must be between zero and one")
+        raise ValueError(f"risk budget {risk_budget} is outside 0 to 1")
     auto = F.col("automation_status") == "AUTO_DECISION_ELIGIBLE"
     counts = flagged.groupBy(*segment).agg(
         F.count_if(auto).alias("accepted_count"), F.count_if(auto & F.col("error")).alias("error_count")

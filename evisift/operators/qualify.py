@@ -287,6 +287,7 @@ def promotion_gate(evidence: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``ci95_high``, ``candidate_p95_ms`` and ``heldout_cases``.
     """
     c, b = (lambda n: F.col(f"candidate_{n}")), (lambda n: F.col(f"baseline_{n}"))
+    # Check names.
     checks = {
         "heldout_residual_weighted_risk_improved": c("residual_weighted_risk") < b("residual_weighted_risk"),
         "paired_bootstrap_ci_excludes_zero": F.col("ci95_high") < 0,

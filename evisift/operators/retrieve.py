@@ -38,7 +38,7 @@ def retrieve_topk(
     large to broadcast the token join shuffles and AQE splits frequent tokens.
     """
     if not 1 <= top_k <= 1000:
-        raise ValueError("top_k must be between 1 and 1000")
+        raise ValueError(f"top_k is {top_k}, expected 1 to 1000")
     rows, _ = query_tokens(queries, [*keys, *within])
     wanted = pin(rows, "query-tokens")
     sets = blocks.select(*within, F.col("block_id"), tokens(F.col("text")).alias("_tokens"))
@@ -124,7 +124,7 @@ def first_accepted(verified: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     never seen. A case that meets a violation yields no evidence at all.
     """
     if not 0.0 <= threshold <= 1.0:
-        raise ValueError("threshold must be between zero and one")
+        raise ValueError(f"confidence threshold {threshold} is outside 0 to 1")
     slot = Window.partitionBy("case_id", "slot")  # at most top_k rows
     confident = F.min(F.when(F.col("confidence") >= threshold, F.col("rank"))).over(slot)
     walked = verified.withColumn("accepted_rank", confident).filter(

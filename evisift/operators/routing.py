@@ -49,7 +49,7 @@ def policy_key(policy: str, seed: int = 7, row=F.col) -> Column:
     elif policy in ("baseline", "candidate"):
         key = -row(policy)
     else:
-        raise ValueError(f"unknown policy: {policy}")
+        raise ValueError(f"no ranking is defined for policy {policy!r}")
     tie = F.md5(F.concat(F.lit(f"{seed}|"), row("case_id"))) if policy == "random" else row("case_id")
     return F.struct(
         F.lit(policy).alias("policy"), key.cast("double").alias("sort_key"), tie.alias("tie")
@@ -148,7 +148,7 @@ def budget_cutoffs(
     """
     for capacity in capacities:
         if not 0.0 <= capacity <= 1.0:
-            raise ValueError("capacity must be between zero and one")
+            raise ValueError(f"capacity {capacity} is outside 0 to 1")
     narrow = ranked.select(*group, "sort_key", "tie", "minutes_u", "copies")
     if not pinned:
         narrow = pin(narrow, "ranked")
@@ -420,7 +420,7 @@ def route(
     """
     for capacity in capacities:
         if not 0.0 <= capacity <= 1.0:
-            raise ValueError("capacity must be between zero and one")
+            raise ValueError(f"capacity {capacity} is outside 0 to 1")
     extra = ["copies"] if "copies" in items.columns else []
     narrow = pin(items.select(*group, *policy_columns(policies), *extra), "route")
     small, large, _ = split_large_groups(narrow, group, max_group_rows)

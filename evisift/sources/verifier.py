@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,24 +11,21 @@ from pyspark.sql import functions as F
 
 from evisift.schemas import POLARITIES, VERIFIER_RESPONSE
 
-_FENCE = re.compile(r"^```json\s*(\{.*\})\s*```$", re.DOTALL | re.IGNORECASE)
+# The only wrapper a verifier may put around its JSON object.
+FENCE_OPEN, FENCE_CLOSE = "```json", "```"
 
 
 def only_json_object(text: str | None) -> tuple[str | None, str | None]:
     """``(object text, None)`` or ``(None, failure)``: exactly one JSON object, optionally fenced."""
     body = (text or "").strip()
-    fenced = _FENCE.fullmatch(body)
-    if fenced:
-        body = fenced.group(1)
+    inner = body[len(FENCE_OPEN) : -len(FENCE_CLOSE)].strip()
+    if body.lower().startswith(FENCE_OPEN) and body.endswith(FENCE_CLOSE) and inner[:1] + inner[-1:] == "{}":
+        body = inner
     try:
-        value, end = json.JSONDecoder().raw_decode(body)
-    except ValueError:
-        return None, "invalid_json"
-    if body[end:].strip():
-        return None, "trailing_text"
-    if not isinstance(value, dict):
-        return None, "not_an_object"
-    return body[:end], None
+        found = type(json.loads(body)) is dict
+    except json.JSONDecodeError as error:
+        return None, "trailing_text" if error.msg == "Extra data" else "invalid_json"
+    return (body, None) if found else (None, "not_an_object")
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
