@@ -925,7 +925,8 @@ def intake_batch(spark, sf):
 @query
 def intake_windows(spark, sf):
     daily = intake.status_windows(intake.intake_batch(tables.requests(spark, sf)))
-    return daily.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n_requests")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86_400).cast("int"))
+    return daily.select(day.cast("string").alias("day"), "status", "n_requests")
 
 
 @query

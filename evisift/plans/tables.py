@@ -112,12 +112,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessment requests from the event log."""
+    """Assessment requests from the event log; its wall-clock times are read as UTC in any session zone."""
     event_id = F.col("event_id")
     body = F.concat("event_type", F.when(event_id % 5 == 0, F.col("props")).otherwise(""))
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.expr(
+            "timestamp'1970-01-01 00:00:00Z' + (cast(ts AS timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00')"
+        ).alias("ts"),
         F.concat_ws(
             "-", F.lit("key"), F.col("user_id").cast("string"), (event_id % 7).cast("string")
         ).alias("idempotency_key"),
