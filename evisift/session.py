@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,6 @@ RECOMMENDED_CONF = {
     ),
 }
 
-_local_roots: dict[str, str] = {}
-
-
 def build_session(master: str | None = None, app: str = "evisift", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,16 +31,28 @@ def build_session(master: str | None = None, app: str = "evisift", **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for pinned tables: ``spark.checkpoint.dir``, or a temp folder in local mode only."""
+    """Shared folder for pinned tables: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session whose executors are threads of this process gets a new folder and keeps
+    it in that setting; on a cluster the setting is required.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    )
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        configured = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+def release_pins(spark: SparkSession) -> None:
+    """Delete all tables that this application pinned; results that still read them must be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_pin_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _pin_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/evisift/{spark.sparkContext.applicationId}"
 
 
 def pin(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -54,7 +64,7 @@ def pin(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     column reads only the partitions it meets.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/evisift/{name}-{uuid.uuid4().hex}"
+    path = f"{_pin_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
