@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import chat, trees, urls
+from evisift.llm import chat, neardup, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -49,3 +49,8 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id long, turn long, role string, text string",
     )
     return chat.format_conversations(given.unionByName(extra))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf, "documents"), percent=85)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +35,34 @@ def mix64(values: np.ndarray) -> np.ndarray:
         z *= np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
     return z
+
+
+class WordHashes(dict):
+    """64-bit digests of words, remembered for as many words as fit ``limit`` entries."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Digests of all windows of ``size`` words in order; a shorter text is one window, an empty one none."""
+    if not len(hashes):
+        return hashes
+    width = min(size, len(hashes))
+    n = len(hashes) - width + 1
+    total = np.full(n, width, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            # mixed between additions, so the order of the words counts
+            total = mix64(total + hashes[k:n + k])
+    return total
