@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.llm.components import components
@@ -179,6 +179,34 @@ def confirm(texts: DataFrame, by: Rule) -> DataFrame:
     )
 
 
+def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates: that of its least ``doc_id``.
+
+    Of rows with one ``doc_id`` the one with the least digest of its text stays. Rows without an id stay once per sequence of
+    words, and only if no row with an id has the same words. Rows without words link with nothing.
+    """
+    found = near_duplicates(documents, percent)
+    ids = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_llm_id")).agg(F.count("*").alias("_llm_n"))
+    joined = documents.join(ids, documents["doc_id"].cast("long") == ids["_llm_id"])
+    order = Window.partitionBy("_llm_id").orderBy(F.xxhash64("text"), "text")
+    several = joined.filter("_llm_n > 1").withColumn("_llm_row", F.row_number().over(order)).filter("_llm_row = 1")
+    columns = documents.columns
+    out = joined.filter("_llm_n = 1").select(*columns).unionByName(several.select(*columns))
+    lost = documents.filter("doc_id is null").withColumn("_llm_key", _word_key(F.col("text").cast("string")))
+    known = documents.filter("doc_id is not null").select(_word_key(F.col("text").cast("string")).alias("_llm_key"))
+    if lost.isEmpty():
+        return out
+    empty = lost.filter("_llm_key is null")
+    single = lost.filter("_llm_key is not null").join(known, "_llm_key", "left_anti").dropDuplicates(["_llm_key"])
+    return out.unionByName(empty.select(*columns)).unionByName(single.select(*columns))
+
+
+@F.pandas_udf("string")
+def _word_key(texts: pd.Series) -> pd.Series:
+    words = [lower_ascii(text).split() for text in texts]
+    return pd.Series([xxhash.xxh3_128_hexdigest(b" ".join(w)) if w else None for w in words], dtype=object)
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``documents``.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import chat, neardup, trees, urls
+from evisift.llm import chat, decontaminate, mixture, neardup, resample, secrets, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -54,3 +54,23 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf, "documents"), percent=85)
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(_table(spark, sf, "documents"))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf, "documents"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))[0]

@@ -23,6 +23,7 @@ WORD_BUCKETS = 2**16
 SHAPE_BUCKETS = 2**12
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 SAMPLE_ROWS = 20_000
+PRIOR = 100.0
 THRESHOLD_BINS = 4_096
 _OTHER = bytes(range(128, 256))
 _MARKS = b"#*$%&|<>!?\"'()[]{}:;,.-/\\+=@_~^`"
@@ -86,12 +87,13 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _log_shares(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log probability of each bucket within its space."""
-    out = np.empty(BUCKETS)
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio of the two models per bucket. The target model's prior is the raw model with ``PRIOR`` counts a bucket,
+    so a bucket that the target sample is too small to judge has a ratio near one."""
+    out = np.zeros(BUCKETS)
     for space in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, BUCKETS)):
-        smoothed = counts[space] + 0.5
-        out[space] = np.log(smoothed / smoothed.sum())
+        expected = raw[space] * (target[space].sum() / max(raw[space].sum(), 1))
+        out[space] = np.log((target[space] + PRIOR) / (expected + PRIOR))
     return out
 
 
@@ -107,7 +109,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, sample_rows: int) -
     # at most ``sample_rows`` ids are broadcast
     target = texts.join(F.broadcast(chosen.filter("_y > 0").select("_id")), "_id", "left_semi")
     raw = gram_counts(texts)
-    ratio = _log_shares(gram_counts(target)) - _log_shares(raw) if good else np.zeros(BUCKETS)
+    ratio = log_ratio(gram_counts(target), raw) if good else np.zeros(BUCKETS)
     return ratio, ((good or 0) + 1) / (n + 1)
 
 
