@@ -219,13 +219,15 @@ def is_clean(text: Column, benchmark: DataFrame) -> Column:
     """True for a text that holds no benchmark item."""
     clean = F.lit(True)
     for items in _blocks(benchmark):
-        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+        clean = clean & _holds_none(benchmark.sparkSession.sparkContext.broadcast(items))(text)
+    return clean
 
-        @F.pandas_udf("boolean")
-        def free(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = Index(shared.value)
-            for texts in batches:
-                yield pd.Series([not index.matches(t) for t in texts], dtype=bool)
 
-        clean = clean & free(text)
-    return clean
+def _holds_none(shared):
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value)
+        for texts in batches:
+            yield pd.Series([not index.matches(t) for t in texts], dtype=bool)
+
+    return free

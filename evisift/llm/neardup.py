@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.llm.components import components
@@ -201,10 +201,13 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     return out.unionByName(empty.select(*columns)).unionByName(single.select(*columns))
 
 
-@F.pandas_udf("string")
-def _word_key(texts: pd.Series) -> pd.Series:
-    words = [lower_ascii(text).split() for text in texts]
-    return pd.Series([xxhash.xxh3_128_hexdigest(b" ".join(w)) if w else None for w in words], dtype=object)
+def _word_key(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def key(texts: pd.Series) -> pd.Series:
+        words = [lower_ascii(t).split() for t in texts]
+        return pd.Series([xxhash.xxh3_128_hexdigest(b" ".join(w)) if w else None for w in words], dtype=object)
+
+    return key(text)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
