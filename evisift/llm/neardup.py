@@ -187,7 +187,7 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(documents, percent)
     ids = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_llm_id")).agg(F.count("*").alias("_llm_n"))
-    joined = documents.join(ids, documents["doc_id"].cast("long") == ids["_llm_id"])
+    joined = documents.join(ids.hint("merge"), documents["doc_id"].cast("long") == ids["_llm_id"])
     order = Window.partitionBy("_llm_id").orderBy(F.xxhash64("text"), "text")
     several = joined.filter("_llm_n > 1").withColumn("_llm_row", F.row_number().over(order)).filter("_llm_row = 1")
     columns = documents.columns
@@ -239,7 +239,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
     placed = members.join(sizes, "cluster").select("node", "cluster", "blocks")
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(placed, "node").groupBy("node", F.xxhash64("text").alias("_digest")).agg(
+    # the clustered documents grow with the corpus, so they are never broadcast
+    texts = texts.join(placed.hint("merge"), "node").groupBy("node", F.xxhash64("text").alias("_digest")).agg(
         *[F.any_value(c).alias(c) for c in ("text", "cluster", "blocks")]
     )
     links = confirm(texts, by).unionByName(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import chat, decontaminate, mixture, neardup, resample, secrets, trees, urls
+from evisift.llm import chat, decontaminate, mixture, neardup, resample, secrets, toxicity, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -74,3 +74,8 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return resample.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))[0]
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
