@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import chat, decontaminate, mixture, neardup, resample, secrets, toxicity, trees, urls
+from evisift.llm import chat, decontaminate, hmm, mixture, neardup, resample, secrets, toxicity, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -79,3 +79,8 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query
+def op7_hmm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf, "documents"))
