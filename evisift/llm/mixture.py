@@ -209,7 +209,7 @@ def copies(rows: DataFrame, seed: int) -> DataFrame:
     units = keyed.groupBy("id").agg(
         F.any_value("source").alias("source"), F.sum("size").cast("double").alias("size")
     )
-    rate = F.col("target") / F.col("source_size")
+    rate = F.try_divide(F.col("target"), F.col("source_size"))
     named = per_source.withColumnRenamed("source", "_source")
     units = pin(units.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_part", rate - F.floor(rate)).filter(
         (F.col("_part") > _EDGE) & (F.col("_part") < 1 - _EDGE)
