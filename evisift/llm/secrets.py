@@ -3,9 +3,9 @@
 Runs of 20 or more key characters are candidates. Each is read in the narrowest encoding that holds its characters, and
 tested for being drawn at random from that alphabet: chi-squared uniformity of its characters, number of runs above
 and below the middle, serial correlation of neighbours. A candidate is a secret if no test rejects randomness, at a level shared
-among the three, and if prose is rejected: under prose, whose character frequencies are counted over the whole corpus, the
-chi-squared statistic grows in proportion to the length. Prose is rejected with false discoveries controlled
-(Benjamini and Hochberg) within each class of lengths.
+among the three, and if prose is rejected: the surprisal of its characters, by their frequencies in the long words of the
+whole corpus, has a mean and a variance in proportion to the length under prose. Prose is rejected with false discoveries
+controlled (Benjamini and Hochberg) within each class of lengths.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ ENCODINGS = (
 )
 RANDOM_LEVEL = 0.003
 DISCOVERY_RATE = 0.01
+PROSE_FLOOR = 0.01
 LENGTH_CLASSES = (32, 48, 80)
 P_BINS = 400
 
@@ -136,11 +137,10 @@ def battery(candidates: DataFrame) -> DataFrame:
     ).drop("codes", "letters", "spread", "lagged", "high", "runs")
 
 
-def prose_moments(texts: DataFrame) -> DataFrame:
-    """One row per encoding: moments of the frequencies of its characters in the long words of all texts.
+def prose_model(texts: DataFrame) -> DataFrame:
+    """One row: the surprisal of each key character in the long words of all texts, and its mean and variance there.
 
-    Under prose a candidate of n characters has a chi-squared statistic with mean ``n (size s2 - 1) + size (1 - s2)`` and
-    variance about ``4 n size**2 (s3 - s2**2)``, where ``sk`` is the sum of the k-th powers of the frequencies.
+    No character surprises more than one with a share of ``PROSE_FLOOR``, so a few digits or marks in a word don't tell.
     """
     characters = sorted(set("".join(alphabet for _, alphabet, _ in ENCODINGS)))
     long_words = texts.select(F.array_join(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0)), "").alias("w"))
@@ -148,15 +148,15 @@ def prose_moments(texts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.length("w") - F.length(F.replace("w", F.lit(c), F.lit("")))), F.lit(0)).alias(f"c{ord(c)}")
         for c in characters
     ])
-    rows = []
-    for k, (_, alphabet, _) in enumerate(ENCODINGS):
-        shares = F.array(*[F.col(f"c{ord(c)}") + 1.0 for c in alphabet])
-        rows.append(F.struct(F.lit(k).alias("encoding"), shares.alias("shares")))
     add = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
-    by_code = counts.select(F.inline(F.array(*rows)))
-    share = by_code.select("encoding", F.transform("shares", lambda x: x / add(F.col("shares"))).alias("f"))
-    return share.select(
-        "encoding", add(F.transform("f", lambda x: x * x)).alias("s2"), add(F.transform("f", lambda x: x * x * x)).alias("s3")
+    counted = counts.select(F.array(*[F.col(f"c{ord(c)}") + 1.0 for c in characters]).alias("k"))
+    shares = counted.select(F.transform("k", lambda x: x / add(F.col("k"))).alias("q"))
+    told = shares.select("q", F.transform("q", lambda x: -F.log(F.greatest(x, F.lit(PROSE_FLOOR)))).alias("s"))
+    mean = add(F.zip_with("q", "s", lambda q, x: q * x))
+    square = add(F.zip_with("q", "s", lambda q, x: q * x * x))
+    return told.select(
+        F.map_from_arrays(F.array(*[F.lit(c) for c in characters]), "s").alias("surprisal"), mean.alias("mean"),
+        F.greatest(square - mean * mean, F.lit(1e-3)).alias("variance"),
     )
 
 
@@ -195,10 +195,11 @@ def find_spans(texts: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
         lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     tested = battery(spans.select("_key", F.inline(loose)))
-    tested = tested.join(F.broadcast(prose_moments(texts)), "encoding")  # one row per encoding
-    n, size, s2, s3 = (F.col(c) for c in ("n", "size", "s2", "s3"))
-    z = (F.col("chi") - n * (size * s2 - 1) - size * (1 - s2)) / F.sqrt(4 * n * size * size * (s3 - s2 * s2) + 2 * size)
-    tested = pin(tested.withColumn("p_prose", F.greatest(normal_cdf(z), F.lit(1e-16))), "secret-candidates")
+    tested = tested.crossJoin(F.broadcast(prose_model(texts)))  # one row
+    surprise = F.aggregate(F.split("match", ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.element_at("surprisal", c), F.lit(0.0)))
+    z = (surprise - F.col("n") * F.col("mean")) / F.sqrt(F.col("n") * F.col("variance"))
+    tested = tested.withColumn("p_prose", F.greatest(normal_cdf(-z), F.lit(1e-16))).drop("surprisal")
+    tested = pin(tested, "secret-candidates")
     added = discoveries(tested, rate).filter("secret").select("_key", "start", F.lit(3).alias("kind"), "end")
     known = spans.select("_key", F.inline(F.transform(base, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")
