@@ -106,22 +106,26 @@ class LabelModel:
     """Firing rates of every voter in both classes, the classes' shares, and what correlation takes off each voter."""
 
     def __init__(self) -> None:
-        self.rates = np.array([np.full(VOTERS, 0.02), np.full(VOTERS, 0.3)])
-        self.prior, self.damping = 0.1, np.ones(VOTERS)
+        # at first every vote multiplies the odds by 12, and silence tells nothing
+        self.fires, self.silent = np.full(VOTERS, np.log(12.0)), np.zeros(VOTERS)
+        self.rates, self.prior, self.damping = np.zeros((2, VOTERS)), 0.1, np.ones(VOTERS)
 
     def posterior(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
         """P(toxic); where a label is known (not NaN) it is that."""
-        fired = _bits(votes)
-        clean, toxic = self.rates
-        weight = np.where(fired, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))) / self.damping
+        weight = np.where(_bits(votes), self.fires, self.silent) / self.damping
         logit = np.log(self.prior / (1 - self.prior)) + weight.sum(axis=1)
         return np.where(np.isnan(known), 1 / (1 + np.exp(-np.clip(logit, -50, 50))), known)
 
-    def update(self, moments: np.ndarray) -> None:
-        """``moments[y]``: expected counts of pairs of firing voters in class y, with a last row and column for all rows."""
+    def update(self, moments: np.ndarray, correlated: bool) -> None:
+        """``moments[y]``: expected counts of pairs of firing voters in class y, with a last row and column for all rows.
+        While the classes are still mixed, correlation inside them means little, so it counts in later rounds only."""
         totals = moments[:, -1, -1]
         self.prior = float((totals[1] + 1) / (totals.sum() + 10))
         self.rates = (moments[:, -1, :-1] + [[0.1], [1.0]]) / (totals[:, None] + [[10.0], [4.0]])
+        clean, toxic = self.rates
+        self.fires, self.silent = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
+        if not correlated:
+            return
         positive = np.zeros(VOTERS)
         for y in (0, 1):
             p = self.rates[y]
@@ -140,7 +144,7 @@ def _bits(votes: np.ndarray) -> np.ndarray:
 def fit_label_model(patterns: DataFrame) -> LabelModel:
     """EM over a pinned table of ``votes, known, n``; a round sums (voters + 1)**2 moments over all partitions."""
     model = LabelModel()
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
 
         def moments(batches: Iterator[pd.DataFrame], now=model) -> Iterator[pd.DataFrame]:
             total = np.zeros((2, VOTERS + 1, VOTERS + 1))
@@ -157,7 +161,7 @@ def fit_label_model(patterns: DataFrame) -> LabelModel:
         total = np.zeros(2 * (VOTERS + 1) ** 2)
         total[rows["at"].to_numpy(dtype=int)] = rows["s"]
         after = LabelModel()
-        after.update(total.reshape(2, VOTERS + 1, VOTERS + 1))
+        after.update(total.reshape(2, VOTERS + 1, VOTERS + 1), correlated=turn >= ROUNDS - 3)
         model = after
     return model
 

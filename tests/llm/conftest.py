@@ -20,3 +20,10 @@ def labels(spark):
         return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
     return make
+
+
+@pytest.fixture
+def benchmark_folder(spark, labels, tmp_path):
+    labels((3, 1, 0)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "five words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
