@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Device names that are reserved on Windows, in any letter case.
 RESERVED_NAMES = (
     "con", "prn", "aux", "nul",
-    *(f"com{digit}" for digit in range(1, 10)),
-    *(f"lpt{digit}" for digit in range(1, 10)),
+    "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9",
+    "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9",
 )
 
 

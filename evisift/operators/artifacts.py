@@ -152,12 +152,17 @@ REGISTRY_FIELDS = (
 
 
 def register(registry: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Per incoming artifact: ``registered``, ``no_op`` or ``conflict``. Registered ids never change."""
+    """Per incoming artifact: ``registered``, ``no_op`` or ``conflict``. Registered ids never change.
+
+    A batch has no order, so unlike entries for one new id are all conflicts; like ones register once.
+    """
     entry = F.struct(*REGISTRY_FIELDS)
     known = registry.select("artifact_id", entry.alias("_known"))
-    joined = incoming.select("artifact_id", entry.alias("_new")).join(known, "artifact_id", "left")
+    offered = incoming.select("artifact_id", entry.alias("_new"))
+    unlike = offered.distinct().groupBy("artifact_id").agg((F.count("*") > 1).alias("_unlike"))
+    joined = offered.join(unlike, "artifact_id").join(known, "artifact_id", "left")
     verdict = (
-        F.when(F.col("_known").isNull(), "registered")
+        F.when(F.col("_known").isNull(), F.when(F.col("_unlike"), "conflict").otherwise("registered"))
         .when(F.col("_known").eqNullSafe(F.col("_new")), "no_op")
         .otherwise("conflict")
     )

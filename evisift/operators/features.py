@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.operators.assess import assess_long, largest_case
-from evisift.schemas import MAX_EVIDENCE_PER_CASE, STATUSES
+from evisift.operators.assess import assess_long
+from evisift.schemas import STATUSES
 
 # Feature names, in model order.
 FEATURES = (
@@ -52,9 +52,8 @@ def case_features(
         "no_box": F.col("bbox").isNull(),
         "approved_exception": (F.col("slot") == "exception") & F.col("approved"),
     }
-    joined = e.join(scope, "case_id")
-    if largest_case(evidence) > MAX_EVIDENCE_PER_CASE:
-        joined = joined.repartition("case_id", "slot", "source_hash")
+    # dealt by the finer key, so one case's rows are spread whatever its size
+    joined = e.join(scope, "case_id").repartition("case_id", "slot", "source_hash")
     fine = joined.groupBy("case_id", "slot", "source_hash").agg(
         *[F.count_if(test).alias(name) for name, test in tests.items()],
         F.bool_or(F.col("polarity") == "SUPPORTS").alias("s"),

@@ -54,7 +54,8 @@ def paired_draws(
             wrong = F.coalesce(x["error"], F.lit(False))
             return F.struct(
                 key["sort_key"].alias("sort_key"), key["tie"].alias("tie"), i.alias("i"),
-                micro_minutes(x["expected_review_minutes"]).alias("m"),
+                # a draw without a gold status weighs nothing: it is dropped inside the replicate
+                F.when(x["error"].isNull(), 0).otherwise(micro_minutes(x["expected_review_minutes"])).cast("bigint").alias("m"),
                 F.when(wrong, x["criticality"]).otherwise(0).cast("bigint").alias("w"),
                 (wrong & (x["criticality"] >= CRITICAL_FROM)).cast("bigint").alias("c"),
             )
@@ -172,7 +173,8 @@ def paired_bootstrap(
 ) -> DataFrame:
     """Mean and 95 % interval of (challenger - champion) residual risk, per group.
 
-    All replicates of all groups run in one job. Groups up to ``max_group_rows`` draw in place; a replicate
+    Draws are made from all cases of a group, and those without a gold status (null ``error``) are dropped inside
+    each replicate. All replicates of all groups run in one job. Groups up to ``max_group_rows`` draw in place; a replicate
     of a larger group is spread over range parts like any other large group.
     """
     if replicates < min_replicates:
@@ -183,7 +185,8 @@ def paired_bootstrap(
     outcomes = paired_draws(small, keys, champion, challenger, capacity, replicates, seed)
     if large is not None:
         routed = route(
-            resample(large, keys, replicates, seed), [*keys, "rep"], (champion, challenger), [capacity], **sizes
+            resample(large, keys, replicates, seed).filter("error is not null"),
+            [*keys, "rep"], (champion, challenger), [capacity], **sizes
         )
         pairs = paired_outcomes(routed, [*keys, "rep"], champion, challenger)
         outcomes = outcomes.unionByName(pairs.select(*outcomes.columns))
@@ -211,14 +214,14 @@ def qualify_policy(
 ) -> DataFrame:
     """PROMOTE, REJECT or INCONCLUSIVE_KEEP_CHAMPION per group.
 
-    Routing sees only cases with a gold status (``error`` is not null); the budget check uses the
-    minutes of all cases of the group.
+    Routing sees only cases with a gold status (``error`` is not null); the bootstrap draws from, and the budget
+    check uses the minutes of, all cases of the group.
     """
     keys = list(group)
     cases = pin(cases, "qualify")
     labelled = cases.filter("error is not null")
     boot = paired_bootstrap(
-        labelled, keys, champion=champion, challenger=challenger, capacity=capacity,
+        cases, keys, champion=champion, challenger=challenger, capacity=capacity,
         replicates=replicates, seed=seed, **sizes,
     )
     full = paired_outcomes(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,58 +19,57 @@ from evisift.schemas import (
 from evisift.session import pin
 
 
-def _length(name: str, most: int) -> Column:
-    return F.length(name).between(1, most)
+Fields = Callable[[str], Column]
 
 
-def _range(name: str, least: float, most: float) -> Column:
-    return F.col(name).between(least, most)
+def _length(value: Column, most: int) -> Column:
+    return F.length(value).between(1, most)
 
 
-def evidence_rules() -> dict[str, Column]:
-    """What every evidence row must satisfy; nulls fail unless the field is optional."""
+def evidence_rules(field: Fields = F.col) -> dict[str, Column]:
+    """What every evidence row must satisfy; nulls fail unless the field is optional. ``field`` finds a column by name."""
     return {
-        "evidence_id_length": _length("evidence_id", 128),
-        "slot_length": _length("slot", 64),
-        "text_length": _length("text", MAX_TEXT_CHARS),
-        "polarity_value": F.col("polarity").isin(*POLARITIES),
-        "system_length": _length("system", 128),
-        "region_length": _length("region", 64),
-        "age_days_range": _range("age_days", 0, 100_000),
-        "page_range": _range("page", 1, 100_000),
-        "source_hash_pattern": F.col("source_hash").rlike(SHA256_PATTERN),
+        "evidence_id_length": _length(field("evidence_id"), 128),
+        "slot_length": _length(field("slot"), 64),
+        "text_length": _length(field("text"), MAX_TEXT_CHARS),
+        "polarity_value": field("polarity").isin(*POLARITIES),
+        "system_length": _length(field("system"), 128),
+        "region_length": _length(field("region"), 64),
+        "age_days_range": field("age_days").between(0, 100_000),
+        "page_range": field("page").between(1, 100_000),
+        "source_hash_pattern": field("source_hash").rlike(SHA256_PATTERN),
     }
 
 
-def case_rules() -> dict[str, Column]:
-    minutes = F.col("expected_review_minutes")
+def case_rules(field: Fields = F.col) -> dict[str, Column]:
+    minutes, slots = field("expected_review_minutes"), field("required_slots")
     return {
-        "case_id_length": _length("case_id", 128),
-        "control_id_length": _length("control_id", 128),
-        "required_slots_present": F.size("required_slots") > 0,
-        "required_slots_unique": F.size(F.array_distinct("required_slots")) == F.size("required_slots"),
-        "target_system_length": _length("target_system", 128),
-        "target_region_length": _length("target_region", 64),
-        "max_age_days_range": _range("max_age_days", 1, 10_000),
-        "criticality_range": _range("criticality", 1, 5),
+        "case_id_length": _length(field("case_id"), 128),
+        "control_id_length": _length(field("control_id"), 128),
+        "required_slots_present": F.size(slots) > 0,
+        "required_slots_unique": F.size(F.array_distinct(slots)) == F.size(slots),
+        "target_system_length": _length(field("target_system"), 128),
+        "target_region_length": _length(field("target_region"), 64),
+        "max_age_days_range": field("max_age_days").between(1, 10_000),
+        "criticality_range": field("criticality").between(1, 5),
         "review_minutes_range": (minutes > 0) & (minutes <= 240),
-        "split_length": _length("split", 32),
-        "mutation_length": _length("mutation", 128),
-        "gold_status_value": F.col("gold_status").isNull() | F.col("gold_status").isin(*STATUSES),
+        "split_length": _length(field("split"), 32),
+        "mutation_length": _length(field("mutation"), 128),
+        "gold_status_value": field("gold_status").isNull() | field("gold_status").isin(*STATUSES),
     }
 
 
 def document_rules() -> dict[str, Column]:
     """What every document of a manifest must satisfy."""
     return {
-        "document_id_length": _length("document_id", 128),
-        "source_path_length": _length("source_path", 512),
+        "document_id_length": _length(F.col("document_id"), 128),
+        "source_path_length": _length(F.col("source_path"), 512),
         "source_path_safe": ~is_traversal(F.col("source_path")),
         "sha256_pattern": F.col("sha256").rlike(SHA256_PATTERN),
-        "document_type_length": _length("document_type", 64),
+        "document_type_length": _length(F.col("document_type"), 64),
         "system_present": F.col("system").isNotNull(),
         "region_present": F.col("region").isNotNull(),
-        "age_days_range": _range("age_days", 0, 100_000),
+        "age_days_range": F.col("age_days").between(0, 100_000),
     }
 
 
@@ -121,7 +120,7 @@ def supersession_refs(evidence: DataFrame) -> DataFrame:
 def supersession_cycles(evidence: DataFrame) -> DataFrame:
     """Evidence rows that lie on a supersession cycle.
 
-    Every row has at most one outgoing link. Pointer doubling: after k joins each surviving row points
+    A row has at most one outgoing link; rows may repeat, and links are made distinct in every round. Pointer doubling: after k joins each surviving row points
     2^k links ahead, and rows whose chain has ended are gone. Rows still there after more links than the
     table has can only be chasing a cycle, and what they point at lies on one. An acyclic table is empty
     after log2(longest chain) joins.
@@ -130,7 +129,7 @@ def supersession_cycles(evidence: DataFrame) -> DataFrame:
     hops = pin(
         evidence.filter("supersedes is not null")
         .select("case_id", "evidence_id", F.col("supersedes").alias("ahead"))
-        .join(ids.withColumnRenamed("evidence_id", "ahead"), ["case_id", "ahead"], "left_semi"),
+        .join(ids.withColumnRenamed("evidence_id", "ahead"), ["case_id", "ahead"], "left_semi").distinct(),
         "hops",
     )
     # a cycle stays inside a case, so chains longer than the largest case are not needed
@@ -141,7 +140,7 @@ def supersession_cycles(evidence: DataFrame) -> DataFrame:
         hops = pin(
             hops.join(onward, ["case_id", "ahead"]).select(
                 "case_id", "evidence_id", F.col("_next").alias("ahead")
-            ),
+            ).distinct(),
             "hops",
         )
         reach *= 2

@@ -201,7 +201,7 @@ draws AS (
   FROM placed_b, (SELECT unnest(range({replicates})) AS rep)),
 drawn AS (SELECT {keys}, rep, hit, count(*) AS copies FROM draws GROUP BY ALL),
 sampled AS (
-  SELECT p.*, d.rep, d.copies FROM drawn d JOIN placed_b p ON {" AND ".join(f"d.{c} = p.{c}" for c in cols)} AND d.hit = p.idx),
+  SELECT p.*, d.rep, d.copies FROM drawn d JOIN placed_b p ON {" AND ".join(f"d.{c} = p.{c}" for c in cols)} AND d.hit = p.idx WHERE p.error IS NOT NULL),
 {_policies("sampled", keys + ", rep", (champion, challenger), "copies", "bpol")},
 {_walk("bpol", keys + ", rep, policy", "[0.2]", "bwalk")},
 bpair AS (
@@ -216,7 +216,7 @@ boot AS (
   FROM bpair GROUP BY {keys})"""
 
 
-_QUALIFIED = f"""{GOLD},{_bootstrap("items", "queue, desk", "risk", "risk_per_minute")},
+_QUALIFIED = f"""{GOLD},{_bootstrap("all_items", "queue, desk", "risk", "risk_per_minute")},
 {_policies("items", "queue, desk", ("risk", "risk_per_minute"), name="qpol")},
 {_walk("qpol", "queue, desk, policy", "[0.2]", "qwalk")},
 qbudget AS (SELECT queue, desk, sum(minutes) * 0.2 + 1e-9 AS budget FROM all_items GROUP BY queue, desk),
@@ -574,7 +574,7 @@ ORACLES: dict[str, str] = {
                 coalesce(sum(w * n) OVER (PARTITION BY queue, capacity ORDER BY criticality / w DESC, w, criticality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
               FROM cls JOIN t USING (queue), (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS capacity))
         SELECT queue, capacity, round(sum({_capped("(room - before) / (w * n)")} * criticality * n), 6) AS captured_weight_bound, max(total_weight) AS total_weight FROM f GROUP BY queue, capacity""",
-    "paired_bootstrap": f"WITH {GOLD},{_bootstrap('items', 'desk', 'risk', 'risk_per_minute')} SELECT * FROM boot",
+    "paired_bootstrap": f"WITH {GOLD},{_bootstrap('all_items', 'desk', 'risk', 'risk_per_minute')} SELECT * FROM boot",
     "policy_decision": f"WITH {_QUALIFIED} SELECT * FROM qualified",
     "scenario_stability": f"""WITH {_QUALIFIED}, c AS (
           SELECT queue, count(*) AS scenarios, count(*) FILTER (WHERE decision = 'PROMOTE') AS promote, count(*) FILTER (WHERE decision = 'REJECT') AS reject,
@@ -585,9 +585,10 @@ ORACLES: dict[str, str] = {
                        WHEN reject > 0 OR critical_regression_scenarios > 0 THEN 'KEEP_CHAMPION' ELSE 'KEEP_CHAMPION_INCONCLUSIVE' END AS recommended_action,
                CASE WHEN promote = scenarios AND critical_regression_scenarios = 0 THEN challenger ELSE champion END AS selected_policy FROM c""",
     "promotion_gate": f"""WITH {GOLD},{_prob('routers', 'router')}, rpol AS (SELECT router, case_id, -s AS k, case_id AS tie, minutes, 1 AS copies, criticality, error FROM routers),
-        {_walk("rpol", "router", "[0.2]", "rwalk")},{_bootstrap('items', 'desk', 'baseline', 'candidate')},
+        {_walk("rpol", "router", "[0.2]", "rwalk")},
+        everyone AS (SELECT *, 'all' AS grp_all FROM all_items),{_bootstrap('everyone', 'grp_all', 'baseline', 'candidate')},
         b AS (SELECT * FROM prob JOIN rwalk USING (router) WHERE router = 'baseline'), c AS (SELECT * FROM prob JOIN rwalk USING (router) WHERE router = 'candidate'),
-        x AS (SELECT (SELECT max(ci_high) FROM boot) AS hi, (SELECT round(quantile_cont(value, 0.95), 6) FROM events) AS p95),
+        x AS (SELECT (SELECT ci_high FROM boot) AS hi, (SELECT round(quantile_cont(value, 0.95), 6) FROM events) AS p95),
         g AS (SELECT unnest([
           {{'check': 'heldout_residual_weighted_risk_improved', 'passed': c.residual_weighted_risk < b.residual_weighted_risk}},
           {{'check': 'paired_bootstrap_ci_excludes_zero', 'passed': hi < 0}},

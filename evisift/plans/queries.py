@@ -471,7 +471,7 @@ def knapsack_bound(spark, sf):
 @query
 def paired_bootstrap(spark, sf):
     return qualify.paired_bootstrap(
-        known_items(spark, sf), ["desk"], champion="risk", challenger="risk_per_minute", capacity=CAPACITY,
+        review_items(spark, sf), ["desk"], champion="risk", challenger="risk_per_minute", capacity=CAPACITY,
         replicates=BOOTSTRAP_REPLICATES,
     )
 
@@ -508,10 +508,11 @@ def promotion_gate(spark, sf):
     pick = lambda router: sides.filter(F.col("router") == router).select(
         *[F.col(f).alias(f"{router}_{f}") for f in figures], F.col("n").alias(f"{router}_n")
     )
+    # one interval over all cases
     boot = qualify.paired_bootstrap(
-        items, ["desk"], champion="baseline", challenger="candidate", capacity=CAPACITY,
-        replicates=BOOTSTRAP_REPLICATES,
-    ).agg(F.max("ci_high").alias("ci95_high"))
+        review_items(spark, sf).withColumn("all", F.lit("all")), ["all"], champion="baseline", challenger="candidate",
+        capacity=CAPACITY, replicates=BOOTSTRAP_REPLICATES,
+    ).select(F.col("ci_high").alias("ci95_high"))
     p95 = metrics.latency_summary(
         tables.requests(spark, sf).withColumn("scorer", F.lit("candidate")), ["scorer"]
     ).select(F.col("p95_ms").alias("candidate_p95_ms"))
@@ -638,7 +639,7 @@ def assess_documents(spark, sf):
         F.lit("payments-prod").alias("target_system"), F.lit("us-east-1").alias("target_region"),
         F.lit(365).alias("max_age_days"),
     )
-    return assess.assess_long(cases, _built(spark, sf), within_contract=True).select(
+    return assess.assess_long(cases, _built(spark, sf)).select(
         "case_id", "status", "automation_status", "risk_score", "n_usable", "n_invalid",
         F.col("reasons")[0].alias("reason"),
     )

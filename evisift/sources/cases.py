@@ -4,38 +4,90 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evisift.functions.geometry import bbox_is_valid
-from evisift.operators.validate import case_rules
+from evisift.functions.json import is_object, kind
+from evisift.operators.validate import case_rules, evidence_rules
 from evisift.schemas import CASE, EVIDENCE, MAX_EVIDENCE_PER_CASE
 
 _CASE_FIELDS = [f.name for f in CASE.fields]
 _EVIDENCE_FIELDS = [f.name for f in EVIDENCE.fields]
-# Defaults of optional fields.
+# Defaults of optional fields; a field without one is required unless it may be null.
 _CASE_DEFAULTS = {
     "max_age_days": 365, "criticality": 1, "expected_review_minutes": 5.0, "split": "test", "mutation": "none",
 }
 _EVIDENCE_DEFAULTS = {
     "approved": False, "checksum_valid": True, "provenance_valid": True, "prompt_injection": False, "page": 1,
 }
+_NULLABLE = ("gold_status", "supersedes", "bbox")
+# JSON types that a field of a Spark type may have.
+_KINDS = {
+    T.StringType: ("STRING",), T.BooleanType: ("BOOLEAN",), T.IntegerType: ("BIGINT",), T.ArrayType: ("ARRAY",),
+    T.DoubleType: ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), T.StructType: ("OBJECT",),
+}
+
+
+def _field_fault(record: Column, schema: T.StructType, defaults: dict) -> Column:
+    """The first fault of a variant record's fields: ``missing_field`` or ``wrong_type``."""
+    faults = []
+    for field in schema.fields:
+        found = kind(record, field.name)
+        good = found.isin(*_KINDS[type(field.dataType)])
+        if field.name in _NULLABLE:
+            good = good | (found == "VOID")
+        if field.name not in defaults and field.name not in _NULLABLE:
+            faults.append(F.when(found.isNull(), "missing_field"))
+        faults.append(F.when(found.isNotNull() & ~good, "wrong_type"))
+    return F.coalesce(*faults)
 
 
 def _unknown(raw: Column, known: list[str]) -> Column:
     return F.size(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(k) for k in known]))) > 0
 
 
+def _broken(rules: dict[str, Column]) -> Column:
+    broken = F.lit(False)
+    for rule in rules.values():
+        broken = broken | ~F.coalesce(rule, F.lit(False))
+    return broken
+
+
+def _supersession_fault(evidence: Column) -> Column:
+    """A link to the row itself, to no row of the case, or to another slot."""
+    links = F.filter(evidence, lambda e: e["supersedes"].isNotNull())
+
+    def bad(e: Column) -> Column:
+        same = F.filter(evidence, lambda t: (t["evidence_id"] == e["supersedes"]) & (t["slot"] == e["slot"]))
+        return (e["supersedes"] == e["evidence_id"]) | (F.size(same) == 0)
+
+    return F.exists(links, bad)
+
+
+def _supersession_cycle(evidence: Column) -> Column:
+    """Rows left after taking away, as often as there are rows, those whose link leads to no row left."""
+    ids = F.transform(F.filter(evidence, lambda e: e["supersedes"].isNotNull()), lambda e: F.struct(
+        e["evidence_id"].alias("a"), e["supersedes"].alias("b")
+    ))
+    left = F.aggregate(ids, ids, lambda rest, _: F.filter(
+        rest, lambda link: F.exists(rest, lambda other: other["a"] == link["b"])
+    ))
+    return F.size(left) > 0
+
+
 def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
     """Add ``case`` (typed, defaults filled) and ``reason`` (null when the row is acceptable).
 
-    Spark drops unknown JSON fields silently, so the object keys are compared with the schema as well, at
-    both levels. Everything is a column expression, so this runs in a stream too.
+    A row is refused for text beside its one JSON object, unknown fields, absent required fields, values of another
+    JSON type, broken constraints of the case or of any evidence row, and bad supersession links. A default stands
+    only for an absent field. Column expressions throughout, so this runs in a stream too.
     """
     text = F.col(column)
-    parsed = F.from_json(text, CASE, {"mode": "PERMISSIVE"})
-    items = F.from_json(
-        F.get_json_object(text, "$.evidence"), "array<string>", {"mode": "PERMISSIVE"}
-    )
-    df = raw.withColumns({"_keys": F.json_object_keys(text), "_case": parsed, "_items": items})
+    items = F.from_json(F.get_json_object(text, "$.evidence"), "array<string>", {"mode": "PERMISSIVE"})
+    df = raw.withColumns({
+        "_case": F.from_json(text, CASE, {"mode": "PERMISSIVE"}), "_items": items, "_record": F.try_parse_json(text),
+        "_whole": is_object(text),
+    })
     fill = lambda record, name, default: (
         F.coalesce(record[name], F.lit(default)) if default is not None else record[name]
     )
@@ -49,30 +101,36 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
             for n in _CASE_FIELDS
         ]
     )
-    df = df.withColumn("case", case)
-    unknown = _unknown(text, _CASE_FIELDS) | F.exists("_items", lambda i: _unknown(i, _EVIDENCE_FIELDS))
-    ids = F.transform("case.evidence", lambda e: e["evidence_id"])
+    item_faults = F.transform("_items", lambda i: F.when(~is_object(i), "wrong_type").otherwise(
+        _field_fault(F.try_parse_json(i), EVIDENCE, _EVIDENCE_DEFAULTS)
+    ))
+    df = df.withColumns({"case": case, "_item_fault": F.get(F.array_compact(item_faults), F.lit(0))})
+    unknown = _unknown(text, _CASE_FIELDS) | F.exists("_items", lambda i: F.coalesce(_unknown(i, _EVIDENCE_FIELDS), F.lit(False)))
+    slots = F.from_json(F.get_json_object(text, "$.required_slots"), "array<variant>")
+    rows = F.col("case.evidence")
+    ids = F.transform(rows, lambda e: e["evidence_id"])
+    at = lambda record: lambda name: record[name]
     reason = (
-        F.when(F.col("_keys").isNull() | F.col("_case").isNull(), "malformed")
+        F.when(~F.col("_whole") | F.col("_record").isNull(), "malformed")
         .when(unknown, "unknown_field")
-        .when(F.col("case.case_id").isNull() | F.col("case.evidence").isNull(), "missing_field")
-        .when(F.size("case.evidence") > MAX_EVIDENCE_PER_CASE, "too_many_evidence_rows")
+        .when(_field_fault(F.col("_record"), CASE, _CASE_DEFAULTS).isNotNull(), _field_fault(F.col("_record"), CASE, _CASE_DEFAULTS))
+        .when(F.exists(slots, lambda s: F.schema_of_variant(s) != "STRING"), "wrong_type")
+        .when(F.col("_item_fault").isNotNull(), F.col("_item_fault"))
+        .when(F.size(rows) > MAX_EVIDENCE_PER_CASE, "too_many_evidence_rows")
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_evidence_id")
-        .when(F.exists("case.evidence", lambda e: ~bbox_is_valid(e["bbox"])), "bad_bbox")
+        .when(F.exists(rows, lambda e: ~F.coalesce(bbox_is_valid(e["bbox"]), F.lit(False))), "bad_bbox")
+        .when(_broken(case_rules(at(F.col("case")))) | F.exists(rows, lambda e: _broken(evidence_rules(at(e)))), "constraint")
+        .when(_supersession_fault(rows), "bad_supersession")
+        .when(_supersession_cycle(rows), "supersession_cycle")
     )
-    return df.withColumn("reason", reason).drop("_keys", "_case", "_items")
+    return df.withColumn("reason", reason).drop("_case", "_items", "_record", "_whole", "_item_fault")
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(good, rejects)``: typed nested cases, and raw rows with the reason they were refused."""
     checked = parse_cases(spark.read.text(path))
     good = checked.filter("reason is null").select("case.*")
-    broken = F.lit(False)
-    for rule in case_rules().values():
-        broken = broken | ~F.coalesce(rule, F.lit(False))
-    return good.filter(~broken), checked.filter("reason is not null").select("value", "reason").unionByName(
-        good.filter(broken).select(F.to_json(F.struct("*")).alias("value"), F.lit("constraint").alias("reason"))
-    )
+    return good, checked.filter("reason is not null").select("value", "reason")
 
 
 def explode_evidence(cases: DataFrame) -> DataFrame:
@@ -80,5 +138,3 @@ def explode_evidence(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.posexplode("evidence").alias("_at", "_e")).select(
         "case_id", (F.col("_at") + 1).alias("ord"), "_e.*"
     )
-
-

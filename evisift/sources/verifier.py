@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evisift.functions.json import is_object, sole_value
 from evisift.schemas import POLARITIES, VERIFIER_RESPONSE
 
-# The only wrapper a verifier may put around its JSON object.
-FENCE_OPEN, FENCE_CLOSE = "```json", "```"
-
+# Fixed value: the only wrapper a verifier may put around its JSON object (RE2 and Java syntax).
+FENCE = r"(?is)^```json\s*(\{.*\})\s*```$"
 
-def only_json_object(text: str | None) -> tuple[str | None, str | None]:
-    """``(object text, None)`` or ``(None, failure)``: exactly one JSON object, optionally fenced."""
-    body = (text or "").strip()
-    inner = body[len(FENCE_OPEN) : -len(FENCE_CLOSE)].strip()
-    if body.lower().startswith(FENCE_OPEN) and body.endswith(FENCE_CLOSE) and inner[:1] + inner[-1:] == "{}":
-        body = inner
-    try:
-        found = type(json.loads(body)) is dict
-    except json.JSONDecodeError as error:
-        return None, "trailing_text" if error.msg == "Extra data" else "invalid_json"
-    return (body, None) if found else (None, "not_an_object")
 
+def _body(raw: Column) -> Column:
+    """The answer without white space at its ends and without the wrapper."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
 
-def parse_responses(raw: DataFrame) -> DataFrame:
-    """``case_id, slot, raw`` to typed response columns and ``failure`` (null when the answer is usable).
 
-    Spark's JSON functions accept text after the value, so finding the single object is a small Arrow-batched
-    step; typing and the schema checks are built-in expressions.
-    """
+def _form_fault(body: Column) -> Column:
+    """Why the body isn't exactly one JSON object; null when it is."""
+    starts = F.json_object_keys(body).isNotNull()
+    return (
+        F.when(is_object(body), None)
+        .when(sole_value(body).isNotNull(), "not_an_object")
+        .when(starts, "trailing_text")
+        .otherwise("invalid_json")
+    )
 
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [only_json_object(text) for text in batch["raw"]]
-            yield batch.assign(body=[b for b, _ in found], failure=[f for _, f in found])
 
-    located = raw.select("case_id", "slot", "raw").mapInPandas(
-        locate, "case_id string, slot string, raw string, body string, failure string"
-    )
+def parse_responses(raw: DataFrame) -> DataFrame:
+    """``case_id, slot, raw`` to typed response columns and ``failure`` (null when the answer is usable)."""
+    located = raw.select("case_id", "slot", _body(F.col("raw")).alias("body"))
+    located = located.withColumn("failure", _form_fault(F.col("body")))
     known = F.array(*[F.lit(f.name) for f in VERIFIER_RESPONSE.fields])
     required = F.array(*[F.lit(f.name) for f in VERIFIER_RESPONSE.fields if f.name != "bbox"])
     # bbox arrives as a list of four numbers

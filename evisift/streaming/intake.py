@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evisift.functions.json import is_object
 from evisift.operators.assess import assess_nested
 from evisift.sources.cases import parse_cases
 
@@ -17,13 +18,18 @@ MAX_RECORDS = 100_000
 MAX_BODY_BYTES = 1_000_000
 
 
-def admission(requests: DataFrame, body: str = "body", max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """Add ``reason``, null when a request may go on: body size, key length, JSON."""
+def admission(
+    requests: DataFrame, body: str = "body", max_body_bytes: int = MAX_BODY_BYTES, fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add ``reason``, null when a request may go on: body size, key length, one JSON object, known ``fields`` only."""
     text = F.col(body)
+    known = F.array(*[F.lit(f) for f in fields or ()])
+    surplus = F.size(F.array_except(F.json_object_keys(text), known)) > 0 if fields is not None else F.lit(False)
     reason = (
         F.when(F.octet_length(text) > max_body_bytes, "body_too_large")
         .when(~F.length("idempotency_key").between(8, 128), "bad_key_length")
-        .when(F.json_object_keys(text).isNull(), "malformed_json")
+        .when(~is_object(text), "malformed_json")
+        .when(surplus, "unknown_field")
     )
     return requests.withColumn("reason", reason)
 

@@ -101,3 +101,11 @@ def test_run_sink(spark, tmp_path):
     assert {r["run_id"] for r in back.collect()} == {"one", "two"}
     stamped = back.withColumns({"gate_status": F.lit("PASS"), "release_passed": F.lit(True)})
     assert all(r["consistent"] for r in artifacts.run_identity(stamped).collect())
+
+
+def test_unlike_entries_of_one_batch_conflict(spark):
+    fields = "artifact_id string, artifact_type string, filename string, sha256 string, bytes long, project_version string, training_manifest_hash string"
+    entry = lambda name, sha: (name, "model", "f", sha, 1, "1", None)
+    batch = spark.createDataFrame([entry("new", "a"), entry("new", "b"), entry("twice", "a"), entry("twice", "a")], fields)
+    got = sorted(tuple(r) for r in artifacts.register(spark.createDataFrame([], fields), batch).collect())
+    assert got == [("new", "conflict"), ("new", "conflict"), ("twice", "registered"), ("twice", "registered")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evisift.operators.assess import assess_long, assess_nested, assess_spread, usable_rows, with_text_facts
 from evisift.schemas import CASE
-from evisift.sources.cases import explode_evidence, read_cases
+from evisift.sources.cases import explode_evidence, parse_cases, read_cases
 
 SLOTS = ["design", "implementation", "operating"]
 
@@ -124,18 +124,13 @@ def test_statuses_and_forms(spark):
         "nested": assess_nested(nested),
         "packed": assess_long(nested.drop("evidence"), long),
         "spread": assess_spread(nested.drop("evidence"), with_text_facts(long)),
-        "mixed": assess_long(nested.drop("evidence"), long, max_packed=3),
     }
     rows = {name: by_id(df) for name, df in forms.items()}
     for name, (_, status, automation, invalid) in CASES.items():
         got = rows["nested"][name]
         assert (got["status"], got["automation_status"], got["invalid_evidence_ids"]) == (status, automation, invalid), name
         assert rows["packed"][name] == got, name
-        for form in ("spread", "mixed"):
-            row = rows[form][name].asDict()
-            if row["usable_evidence_ids"] is None:
-                row |= {c: got[c] for c in ("usable_evidence_ids", "invalid_evidence_ids")}
-            assert row == got.asDict(), (form, name)
+        assert rows["spread"][name] == got, name
     verdicts = usable_rows(nested.drop("evidence"), with_text_facts(long)).filter("verdict <> 'USABLE'").collect()
     for name, (_, _, _, invalid) in CASES.items():
         assert sorted(v["evidence_id"] for v in verdicts if v["case_id"] == name) == invalid
@@ -177,3 +172,53 @@ def test_read_cases_rejects(spark, tmp_path):
     assert sorted(r["reason"] for r in rejects.collect()) == [
         "bad_bbox", "constraint", "duplicate_evidence_id", "malformed", "unknown_field", "unknown_field",
     ]
+
+
+def test_case_above_the_ingest_limit(spark):
+    """1100 rows of one case: ids and figures are whole in every form, and equal a walk over the rows."""
+    evidence = []
+    for k in range(1100):
+        item = row(f"e{k:04d}", ("design", "implementation", "operating")[k % 3], "SUPPORTS" if k % 7 else "NEUTRAL")
+        item["checksum_valid"] = k % 11 != 0
+        item["text"] = f"statement {k % 500}"
+        item["source_hash"] = f"{k % 500:064x}"
+        evidence.append(item)
+    usable, seen = [], set()
+    for item in evidence:
+        assertion = (item["source_hash"], item["slot"], item["text"], item["polarity"])
+        if item["checksum_valid"] and assertion not in seen:
+            seen.add(assertion)
+            usable.append(item["evidence_id"])
+    nested = frame(spark, [case("large", evidence), case("small", full())])
+    long, cases = explode_evidence(nested), nested.drop("evidence")
+    for got in (assess_nested(nested), assess_long(cases, long), assess_spread(cases, with_text_facts(long))):
+        found = by_id(got)["large"]
+        assert found["usable_evidence_ids"] == sorted(usable)
+        assert found["invalid_evidence_ids"] == sorted({e["evidence_id"] for e in evidence} - set(usable))
+        assert (found["status"], found["n_evidence"]) == ("SATISFIED", 1100)
+
+
+@pytest.mark.parametrize(("changes", "evidence_changes", "tail", "reason"), [
+    ({}, {}, " trailing", "malformed"), ({}, {}, "] [", "malformed"), ({}, {"approved": "yes"}, "", "wrong_type"),
+    ({}, {"checksum_valid": "no"}, "", "wrong_type"), ({"max_age_days": "abc"}, {}, "", "wrong_type"),
+    ({"max_age_days": None}, {}, "", "wrong_type"), ({}, {"polarity": "MAYBE"}, "", "constraint"), ({}, {"source_hash": "zz"}, "", "constraint"),
+    ({}, {"supersedes": "d"}, "", "bad_supersession"), ({}, {"supersedes": "nowhere"}, "", "bad_supersession"),
+    ({}, {"supersedes": "i"}, "", "bad_supersession"), ({}, {"age_days": -1}, "", "constraint"), ({"required_slots": ["a", 1]}, {}, "", "wrong_type"),
+    ({"evidence": ["text"]}, {}, "", "wrong_type"), ({"evidence": None}, {}, "", "wrong_type"), ({"criticality": 2.5}, {}, "", "wrong_type"),
+    ({}, {"text": "the end"}, "", None), ({"mutation": None}, {}, "", "wrong_type"), ({}, {"page": 0}, "", "constraint"),
+])
+def test_strict_ingest(spark, changes, evidence_changes, tail, reason):
+    """Batch and stream share ``parse_cases``; each broken record is refused with its reason."""
+    record = {**case("c", [{**full()[0], **evidence_changes}, *full()[1:]]), **changes}
+    raw = spark.createDataFrame([(json.dumps(record) + tail,)], "value string")
+    assert parse_cases(raw).first()["reason"] == reason
+
+
+def test_ingest_refuses_cycles_and_absent_fields(spark):
+    ring = [{**full()[0], "evidence_id": f"r{k}", "supersedes": f"r{(k + 1) % 3}"} for k in range(3)]
+    chain = [{**full()[0], "evidence_id": f"r{k}", "supersedes": f"r{k + 1}" if k < 9 else None} for k in range(10)]
+    absent = case("c", full())
+    del absent["evidence"][0]["polarity"]
+    lines = [json.dumps(x) for x in (case("ring", ring), case("chain", chain), absent)]
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r["reason"] for r in parse_cases(raw).collect()] == ["supersession_cycle", None, "missing_field"]

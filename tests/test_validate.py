@@ -30,6 +30,9 @@ def test_supersession(spark):
     cycles = {(r["case_id"], r["evidence_id"]) for r in validate.supersession_cycles(df).collect()}
     assert cycles == {("c", "a"), ("c", "b"), ("c", "self")} | {("ring", f"r{i}") for i in range(9)}
     assert validate.supersession_cycles(df.filter("case_id = 'long'")).count() == 0
+    repeated = df.filter("evidence_id in ('a', 'b')").filter("case_id = 'c'").unionByName(df.filter("case_id = 'long'"))
+    again = validate.supersession_cycles(repeated.unionByName(repeated).unionByName(repeated))
+    assert sorted(r["evidence_id"] for r in again.collect()) == ["a", "b"]
 
 
 def test_duplicates_alignment_and_sets(spark):
