@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.paths import is_portable, is_traversal, is_windows_invalid, posix_path
+from evisift.functions.text import casefold
 from evisift.schemas import SHA256_PATTERN
 
 # Line patterns of the hygiene scan, named.
@@ -122,9 +123,9 @@ def republish_verdict(existing: DataFrame, staged: DataFrame) -> DataFrame:
     )
 
 
-def latest_valid_run(runs: DataFrame, problems: DataFrame) -> DataFrame:
-    """The most recently committed run, and whether its manifest is valid; an invalid latest run yields none."""
-    latest = runs.agg(F.max_by("run_id", "committed_at").alias("run_id"))
+def latest_valid_run(runs: DataFrame, problems: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Per ``group`` the most recently committed run, if its manifest is valid; an invalid latest run yields none."""
+    latest = runs.groupBy(*group).agg(F.max_by("run_id", "committed_at").alias("run_id"))
     return latest.join(problems.select("run_id").distinct(), "run_id", "left_anti")
 
 
@@ -264,9 +265,13 @@ def line_findings(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _problems(lines, keys, rules).withColumnRenamed("problem", "pattern")
 
 
+# Fixed value: every line end that Unicode knows, a carriage return with its line feed as one.
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def numbered_lines(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Lines of each text, counted from one."""
-    return texts.select(*keys, F.posexplode(F.split(text, r"\r\n|[\n\r]")).alias("_at", "line")).select(
+    return texts.select(*keys, F.posexplode(F.split(text, LINE_END)).alias("_at", "line")).select(
         *keys, (F.col("_at") + 1).alias("line_number"), "line"
     )
 
@@ -274,7 +279,7 @@ def numbered_lines(texts: DataFrame, keys: Sequence[str], text: str = "text") ->
 def case_collisions(paths: DataFrame) -> DataFrame:
     """Paths that differ only in letter case; counted, not gathered."""
     return (
-        paths.select("path").distinct().groupBy(F.lower("path").alias("folded_path"))
+        paths.select("path").distinct().groupBy(casefold(F.col("path")).alias("folded_path"))
         .agg(F.count("*").alias("n_paths")).filter("n_paths > 1")
     )
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evisift.operators.routing import MICRO, micro_minutes
+
 TENTHS = 10
 
 
@@ -22,12 +24,12 @@ def error_classes(items: DataFrame, group: Sequence[str]) -> DataFrame:
     tenths = F.greatest(F.lit(1), F.bround(F.col("expected_review_minutes") * TENTHS, 0).cast("bigint"))
     per_class = items.withColumn("tenths", tenths).groupBy(*group, "criticality", "tenths").agg(
         F.count_if("error").alias("n_errors"),
-        F.sum("expected_review_minutes").alias("_minutes"),
+        F.sum(micro_minutes(F.col("expected_review_minutes"))).alias("_minutes"),
     )
     whole = Window.partitionBy(*group)
     return per_class.select(
         *group, "criticality", "tenths", "n_errors",
-        F.sum("_minutes").over(whole).alias("total_minutes"),
+        (F.sum("_minutes").over(whole) / MICRO).alias("total_minutes"),
         F.sum(F.col("criticality") * F.col("n_errors")).over(whole).alias("total_weight"),
     )
 
@@ -101,7 +103,7 @@ def knapsack_bound(items: DataFrame, group: Sequence[str], capacities: Sequence[
         + ["capacity double", "captured_weight double", "used_minutes double", "residual_weighted_risk double"]
     )
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         capacity = float(key[-1])
         room = max(0, round(float(part["total_minutes"].iloc[0]) * capacity * TENTHS))
         value, used = best_capture(

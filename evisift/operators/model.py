@@ -67,10 +67,10 @@ def raw_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def fit_calibrator(rows: DataFrame, score: str):
     """Isotonic fit of the label on a score. Predictions interpolate and clip outside the fitted range.
 
-    The fit ends on the driver with one point per distinct score, so rows are first merged to the mean label
-    and count per score of six decimals: at most a million points, with the same solution.
+    Rows of one score are merged to their mean label and count first, which leaves the solution as it is. MLlib pools
+    neighbours inside each partition and ends on the driver with the pooled points.
     """
-    data = rows.groupBy(F.round(score, 6).alias("feature")).agg(
+    data = rows.groupBy(F.col(score).alias("feature")).agg(
         F.avg(F.col("upstream_error").cast("double")).alias("label"),
         F.count("*").cast("double").alias("weight"),
     )
@@ -89,7 +89,7 @@ def calibrated_scores(
     """Held-out rows with ``baseline`` and ``candidate`` calibrated probabilities."""
     parts = group_split(pin(features, "features"), train, calibration, heldout)
     model = fit_risk_model(parts["train"], max_iter=max_iter, seed=seed)
-    calibration_rows = raw_scores(model, parts["calibration"])
+    calibration_rows = pin(raw_scores(model, parts["calibration"]), "calibration")
     base = fit_calibrator(calibration_rows, "frozen_risk_score")
     cand = fit_calibrator(calibration_rows, "candidate_raw")
     scored = raw_scores(model, parts["heldout"])

@@ -79,18 +79,23 @@ def duplicate_documents(documents: DataFrame) -> DataFrame:
     return documents.groupBy("document_id").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
-def pack_budget(blocks: DataFrame) -> DataFrame:
-    """Packs and documents over their block or text limit. Packs are summed from per-document sums."""
-    per_document = blocks.groupBy("pack_id", "document_id").agg(
+def pack_budget(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Packs and documents over their block or text limit, and documents without any parseable text.
+
+    ``documents`` lists ``pack_id, document_id``. Packs are summed from per-document sums.
+    """
+    counted = blocks.groupBy("pack_id", "document_id").agg(
         F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars")
     )
+    listed = documents.select("pack_id", "document_id").distinct()
+    per_document = listed.join(counted, ["pack_id", "document_id"], "left").fillna(0, ["n_blocks", "n_chars"])
     per_pack = per_document.groupBy("pack_id").agg(
         F.sum("n_blocks").alias("n_blocks"), F.sum("n_chars").alias("n_chars")
     ).withColumn("document_id", F.lit(None).cast("string"))
     verdict = lambda df, scope, most_blocks, most_chars: df.select(
         F.lit(scope).alias("scope"), "pack_id", "document_id", "n_blocks", "n_chars",
         (F.col("n_blocks") > most_blocks).alias("blocks_exceeded"),
-        (F.col("n_chars") > most_chars).alias("chars_exceeded"),
+        (F.col("n_chars") > most_chars).alias("chars_exceeded"), (F.col("n_blocks") == 0).alias("no_text"),
     )
     return verdict(per_document, "document", MAX_DOCUMENT_BLOCKS, MAX_DOCUMENT_CHARS).unionByName(
         verdict(per_pack, "pack", MAX_PACK_BLOCKS, MAX_PACK_CHARS)

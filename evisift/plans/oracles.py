@@ -614,9 +614,19 @@ ORACLES: dict[str, str] = {
     "text_blocks": r"""SELECT 'doc-' || doc_id || ':p1:b0' AS block_id, length(t) AS n_chars FROM (
         SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''""",
     "unknown_documents": f"WITH {_BLOCKS} SELECT DISTINCT document_id FROM blocks WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "pack_budget": f"""WITH {_BLOCKS} SELECT 'document' AS scope, pack_id, document_id, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars,
-          count(*) > 10000 AS blocks_exceeded, sum(length(text)) > 5000000 AS chars_exceeded FROM blocks GROUP BY pack_id, document_id
-        UNION ALL SELECT 'pack', pack_id, NULL, count(*), sum(length(text))::BIGINT, count(*) > 50000, sum(length(text)) > 20000000 FROM blocks GROUP BY pack_id""",
+    "pack_budget": f"""WITH {_BLOCKS}, d AS (
+          SELECT s.source AS pack_id, 'doc-' || s.doc_id AS document_id, count(b.block_id) AS n_blocks, coalesce(sum(length(b.text)), 0)::BIGINT AS n_chars
+          FROM documents s LEFT JOIN blocks b ON b.document_id = 'doc-' || s.doc_id GROUP BY ALL)
+        SELECT 'document' AS scope, pack_id, document_id, n_blocks, n_chars, n_blocks > 10000 AS blocks_exceeded, n_chars > 5000000 AS chars_exceeded,
+          n_blocks = 0 AS no_text FROM d
+        UNION ALL SELECT 'pack', pack_id, NULL, sum(n_blocks)::BIGINT, sum(n_chars)::BIGINT, sum(n_blocks) > 50000, sum(n_chars) > 20000000, sum(n_blocks) = 0
+        FROM d GROUP BY pack_id""",
+    "verifier_json": r"""WITH t AS (SELECT *, json_object('candidate_id', conv_id::VARCHAR, 'document_id', role, 'page', turn + 1, 'text', text,
+            'polarity', 'SUPPORTS', 'confidence', 0.9)::VARCHAR AS answer FROM conversations),
+        r AS (SELECT role = 'user' AS plain, turn % 4 AS k, text, trim(text, E' \t\n\r') AS body FROM t)
+        SELECT CASE WHEN (plain OR k = 1) AND length(text) BETWEEN 1 AND 50000 THEN 'ok' WHEN plain OR k = 1 THEN 'bad_text'
+            WHEN k = 3 AND body = '' THEN 'ok' WHEN k = 3 THEN 'trailing_text'
+            WHEN body = '' OR NOT json_valid(body) THEN 'invalid_json' ELSE 'not_an_object' END AS outcome, count(*) AS n_responses FROM r GROUP BY 1""",
     "pair_parity": """SELECT conv_id AS split, count(*) FILTER (WHERE role = 'user') AS documents, count(*) FILTER (WHERE role = 'assistant') AS expected_rows,
           count(*) FILTER (WHERE role = 'user') = count(*) FILTER (WHERE role = 'assistant') AS matches
         FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""",
@@ -652,8 +662,8 @@ ORACLES: dict[str, str] = {
     "registry_verify": f"""WITH {_PARTS_REGISTRY} SELECT i.artifact_id, CASE WHEN r.artifact_id IS NULL THEN 'unregistered' WHEN r.project_version <> '0.1.0' THEN 'version_mismatch'
           WHEN r.sha256 <> i.sha256 THEN 'hash_mismatch' ELSE 'ok' END AS verdict FROM incoming i LEFT JOIN reg r USING (artifact_id)""",
     "republish_verdict": """SELECT DISTINCT c_mktsegment AS run_id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'new' WHEN 'BUILDING' THEN 'conflict' ELSE 'no_op' END AS verdict FROM customer""",
-    "latest_valid_run": """WITH l AS (SELECT o_custkey AS run_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
-        SELECT run_id FROM l WHERE run_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+    "latest_valid_run": """WITH l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run_id FROM orders GROUP BY 1)
+        SELECT o_custkey, run_id FROM l WHERE run_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""",
     "run_identity": """WITH c AS (SELECT o_custkey AS run_id, count(*) AS n_artifacts, count(DISTINCT CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END) AS n_versions,
           count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS n_config_hashes, true AS gate_agrees FROM orders GROUP BY o_custkey)
         SELECT *, n_versions = 1 AND n_config_hashes = 1 AND gate_agrees AS consistent FROM c""",
@@ -670,15 +680,16 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT archive, 'total_size', count(*) FROM m GROUP BY archive HAVING sum(size) > 2000000""",
     "path_safety": rf"""SELECT page_id, {_CLEAN.format('p')} AS path, {_TRAVERSAL.format('p')} AS traversal, {_PORTABLE.format('p')} AS portable, {_WINDOWS.format('p')} AS windows_invalid
         FROM (SELECT page_id, regexp_replace(url, '^https?:/', '') AS p FROM pages)""",
-    "hygiene_scan": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) AS line_number FROM documents)
+    "hygiene_scan": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'), 1) AS line_number FROM documents)
         SELECT doc_id, line_number, pattern FROM (SELECT doc_id, line_number, unnest([
           CASE WHEN regexp_matches(line, '-----BEGIN (?:RSA|OPENSSH|EC) PRIVATE KEY-----') THEN 'private_key' END,
           CASE WHEN regexp_matches(line, '\bgh[pousr]_[A-Za-z0-9]{20,}\b') THEN 'github_token' END,
           CASE WHEN regexp_matches(line, '\bAKIA[0-9A-Z]{16}\b') THEN 'aws_access_key' END,
           CASE WHEN regexp_matches(line, '(?i)\b(?:api[_-]?key|secret|token)\s*[:=]\s*[''"][^''"]{12,}[''"]') THEN 'generic_secret_assignment' END,
           CASE WHEN regexp_matches(line, '/mnt/data/|[A-Za-z]:\\Users\\') THEN 'machine_path' END]) AS pattern FROM l) WHERE pattern IS NOT NULL""",
-    "path_collisions": r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS path FROM documents)
-        SELECT lower(path) AS folded_path, count(*) AS n_paths FROM w WHERE regexp_matches(path, '^[A-Za-z]+$') GROUP BY 1 HAVING count(*) > 1""",
+    "path_collisions": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages),
+        shown AS (SELECT array_to_string(list_transform(string_split(path, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS path FROM p WHERE page_id % 2 = 1)
+        SELECT lower(path) AS folded_path, count(DISTINCT path) AS n_paths FROM (SELECT path FROM p UNION ALL SELECT path FROM shown) GROUP BY 1 HAVING count(DISTINCT path) > 1""",
     "doc_integrity": """WITH s AS (SELECT source AS pack_id, 'doc-' || (doc_id - doc_id % 100 % 2) AS document_id, lang, text, strlen(text) AS bytes FROM documents),
         t AS (SELECT *, count(*) OVER (PARTITION BY pack_id, document_id) AS times FROM s),
         one AS (SELECT pack_id, document_id, unnest([CASE WHEN times > 1 THEN 'duplicate_document_id' END, CASE WHEN lang = 'es' THEN 'missing_file' END,

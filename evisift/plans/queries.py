@@ -25,6 +25,7 @@ _REGISTRY: dict[str, Query] = {}
 CAPACITY = 0.2
 REVIEW_CAPACITIES = (0.1, 0.2, 0.3)
 BOOTSTRAP_REPLICATES = 50
+LARGE_ORDER = 110
 TRAIN_GROUPS, CALIBRATION_GROUPS, HELDOUT_GROUPS = range(10), range(10, 13), range(13, 16)
 _CARRY = (
     "order_key", "queue", "desk", "grp", "split", "mutation", "criticality", "expected_review_minutes",
@@ -525,17 +526,22 @@ def promotion_gate(spark, sf):
 
 
 def _model_features(spark, sf):
+    """Case features, with a large order as the outcome to foretell: its quantity shows in them only through the number and
+    the age of evidence rows."""
     base = labelled(spark, sf).filter("gold_status is not null")
+    large = tables.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(
+        (F.sum("l_quantity") > LARGE_ORDER).cast("int").alias("upstream_error")
+    )
     return features.case_features(
         tables.cases(spark, sf), tables.evidence(spark, sf),
         base.select("case_id", "status", "risk_score"), carry=["grp", "order_key"],
-    ).withColumn("upstream_error", (F.col("order_key") % 11 == 0).cast("int")).drop("order_key")
+    ).join(large, "order_key").drop("order_key")
 
 
 def _calibrated(spark, sf):
     return model.calibrated_scores(
         _model_features(spark, sf), train=TRAIN_GROUPS, calibration=CALIBRATION_GROUPS,
-        heldout=HELDOUT_GROUPS, max_iter=40,
+        heldout=HELDOUT_GROUPS,
     )
 
 
@@ -546,9 +552,10 @@ def calibrated_scores(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    return model.compare_routers(
-        _calibrated(spark, sf), capacity=CAPACITY, replicates=100, candidate_p95_ms=None
-    )
+    p95 = metrics.latency_summary(
+        tables.requests(spark, sf).withColumn("scorer", F.lit("candidate")), ["scorer"]
+    ).first()["p95_ms"]
+    return model.compare_routers(_calibrated(spark, sf), capacity=CAPACITY, candidate_p95_ms=p95)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -676,7 +683,8 @@ def unknown_documents(spark, sf):
 
 @query
 def pack_budget(spark, sf):
-    return retrieve.pack_budget(tables.blocks(spark, sf))
+    listed = tables.document_specs(spark, sf).select("pack_id", "document_id")
+    return retrieve.pack_budget(tables.blocks(spark, sf), listed)
 
 
 @query
@@ -818,11 +826,11 @@ def republish_verdict(spark, sf):
 
 @query
 def latest_valid_run(spark, sf):
-    """Per-customer runs committed at order time; a run is broken when one of its orders is pending."""
+    """Orders as runs of their customer, committed at order time; a pending order is a broken run."""
     orders = tables.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("run_id"), F.struct("o_orderdate", "o_orderkey").alias("committed_at"), "o_orderstatus"
+        "o_custkey", F.col("o_orderkey").alias("run_id"), F.struct("o_orderdate", "o_orderkey").alias("committed_at"), "o_orderstatus"
     )
-    return artifacts.latest_valid_run(orders, orders.filter("o_orderstatus = 'P'"))
+    return artifacts.latest_valid_run(orders, orders.filter("o_orderstatus = 'P'"), ["o_custkey"])
 
 
 @query
@@ -870,8 +878,11 @@ def hygiene_scan(spark, sf):
 
 @query
 def path_collisions(spark, sf):
-    words = tables.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("path"))
-    return artifacts.case_collisions(words.filter("path rlike '^[A-Za-z]+$'"))
+    """Addresses of all pages as stored paths, in the letter case of their title where the page id is odd."""
+    path = F.regexp_replace("url", r"^https?://", "")
+    shown = F.when(F.col("page_id") % 2 == 1, F.initcap(path)).otherwise(path)
+    pages = tables.table(spark, sf, "pages")
+    return artifacts.case_collisions(pages.select(path.alias("path")).unionByName(pages.select(shown.alias("path"))))
 
 
 @query
