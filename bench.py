@@ -23,9 +23,9 @@ HEADLINE = (
 
 
 def bootstrap_200(spark, sf):
-    """Paired bootstrap with 200 replicates per desk over every labelled case."""
+    """Paired bootstrap with 200 replicates per desk over every case."""
     return qualify.paired_bootstrap(
-        queries.known_items(spark, sf), ["desk"], champion="risk", challenger="risk_per_minute",
+        queries.review_items(spark, sf), ["desk"], champion="risk", challenger="risk_per_minute",
         capacity=0.2, replicates=200,
     )
 

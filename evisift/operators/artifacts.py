@@ -71,20 +71,21 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("run_id").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("total_bytes"))
 
 
-def fingerprint(manifest: DataFrame, key: str = "run_id", buckets: int = 65_536) -> DataFrame:
+def fingerprint(manifest: DataFrame, key: str = "run_id") -> DataFrame:
     """One digest per run over its (path, bytes, sha256) entries, whatever their order.
 
-    Two levels: entries are hashed into buckets by path, each bucket's sorted entry digests are hashed, then
-    the sorted bucket digests. No task gathers more than one bucket or ``buckets`` digests.
+    A tree over the first hex digits of the path's MD5: sorted entry digests are hashed per six digits, those per three
+    digits, those per run. A task gathers 4096 digests on the upper levels, and on the lowest one entry in 16 million.
     """
     entry = F.sha2(F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256"), 256)
-    bucket = F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint") % buckets
-    joined = lambda digests: F.sha2(F.array_join(F.sort_array(F.collect_list(digests)), ""), 256)
-    per_bucket = manifest.select(key, entry.alias("_e"), bucket.alias("_b")).groupBy(key, "_b").agg(
-        joined("_e").alias("_d"), F.count("*").alias("_n")
+    joined = lambda digests: F.sha2(F.array_join(F.sort_array(F.collect_list(digests)), ""), 256).alias("_d")
+    level = manifest.select(key, F.substring(F.md5("path"), 1, 6).alias("_p"), entry.alias("_d"), F.lit(1).alias("_n"))
+    level = level.groupBy(key, "_p").agg(joined("_d"), F.sum("_n").alias("_n"))
+    tagged = F.concat_ws(":", "_p", "_d")
+    level = level.groupBy(key, F.substring("_p", 1, 3).alias("_q")).agg(joined(tagged), F.sum("_n").alias("_n"))
+    return level.groupBy(key).agg(joined(F.concat_ws(":", "_q", "_d")), F.sum("_n").alias("n_files")).select(
+        key, F.col("_d").alias("fingerprint"), "n_files"
     )
-    tagged = F.concat_ws(":", F.format_string("%08d", "_b"), "_d")
-    return per_bucket.groupBy(key).agg(joined(tagged).alias("fingerprint"), F.sum("_n").alias("n_files"))
 
 
 def snapshot_diff(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

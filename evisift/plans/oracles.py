@@ -648,10 +648,12 @@ ORACLES: dict[str, str] = {
           CASE WHEN times IS NOT NULL AND sha256 IS NOT NULL AND NOT (low.b = bytes AND low.s = sha256 AND high.b = bytes AND high.s = sha256) THEN 'content_mismatch' END,
           CASE WHEN times IS NULL THEN 'unlisted_file' END]) AS problem FROM j) WHERE problem IS NOT NULL""",
     "manifest_totals": f"WITH {_PAGES} SELECT run_id, count(*) AS n_files, sum(bytes)::BIGINT AS total_bytes FROM pages_p GROUP BY run_id",
-    "corpus_fingerprint": """WITH e AS (SELECT source AS run_id, sha256(doc_id || '|' || n_chars || '|' || sha256(text)) AS d,
-            CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 8) AS BIGINT) % 65536 AS b FROM documents),
-        k AS (SELECT run_id, b, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM e GROUP BY run_id, b)
-        SELECT run_id, sha256(string_agg(lpad(b::VARCHAR, 8, '0') || ':' || d, '' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n_files FROM k GROUP BY run_id""",
+    "corpus_fingerprint": """WITH e AS (SELECT source AS run_id, sha256(doc_id || '|' || n_chars || '|' || sha256(text)) AS d, left(md5(doc_id::VARCHAR), 6) AS p FROM documents),
+        k AS (SELECT run_id, p, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM e GROUP BY run_id, p),
+        j AS (SELECT run_id, left(p, 3) AS q, sha256(string_agg(p || ':' || d, '' ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM k GROUP BY 1, 2)
+        SELECT run_id, sha256(string_agg(q || ':' || d, '' ORDER BY q || ':' || d)) AS fingerprint, sum(n)::BIGINT AS n_files FROM j GROUP BY run_id""",
+    "ingest_rejects": """SELECT CASE o_orderkey % 13 WHEN 1 THEN 'malformed' WHEN 2 THEN 'unknown_field' WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'constraint'
+          WHEN 5 THEN 'missing_field' ELSE 'accepted' END AS reason, count(*) AS n_cases FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "snapshot_diff": """WITH a AS (SELECT doc_id, sha256(text) AS s FROM documents WHERE source <> 'src3'),
         b AS (SELECT doc_id, sha256(CASE WHEN source = 'src5' THEN text || chr(10) ELSE text END) AS s FROM documents WHERE lang <> 'de')
         SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS path, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'deleted' ELSE 'modified' END AS status,

@@ -17,6 +17,7 @@ from evisift.plans import tables
 from evisift.session import pin, scratch_root
 from evisift.sources import documents as docs
 from evisift.sources import verifier
+from evisift.sources.cases import parse_cases
 from evisift.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -972,9 +973,8 @@ def intake_stream(spark, sf):
     return _run_stream(spark, statuses, "intake").select("event_id", "idempotency_key", "status")
 
 
-@query
-def assess_stream(spark, sf):
-    """Cases arrive as JSON text and leave as results; same rows as the batch query."""
+def _raw_cases(spark, sf, *keys):
+    """Cases with their evidence as JSON text in ``value``."""
     evidence = tables.evidence(spark, sf)
     columns = [c for c in evidence.columns if c not in ("case_id", "ord")]
     packed = evidence.groupBy("case_id").agg(
@@ -984,10 +984,33 @@ def assess_stream(spark, sf):
     )
     wanted = ("case_id", "control_id", "required_slots", "target_system", "target_region", "max_age_days",
               "criticality", "expected_review_minutes", "split", "mutation")
-    cases = tables.cases(spark, sf).select(*wanted).join(packed, "case_id", "left").withColumn(
+    cases = tables.cases(spark, sf).select(*keys, *wanted).join(packed, "case_id", "left").withColumn(
         "evidence", F.coalesce("evidence", F.array().cast(packed.schema["evidence"].dataType))
     )
-    raw = cases.select(F.to_json(F.struct(*cases.columns)).alias("value"))
+    return cases.select(*keys, F.to_json(F.struct(*wanted, "evidence")).alias("value"))
+
+
+@query
+def ingest_rejects(spark, sf):
+    """Cases as JSON text, five in thirteen of them broken in one way each, by the reason of their refusal."""
+    part = F.col("order_key") % 13
+    value = (
+        F.when(part == 1, F.concat("value", F.lit(" {}")))
+        .when(part == 2, F.replace("value", F.lit('"control_id":'), F.lit('"note":1,"control_id":')))
+        .when(part == 3, F.replace("value", F.lit('"checksum_valid":true'), F.lit('"checksum_valid":"yes"')))
+        .when(part == 4, F.regexp_replace("value", r'"criticality":\d', '"criticality":9'))
+        .when(part == 5, F.replace("value", F.lit('"target_region":"us-east-1",'), F.lit("")))
+        .otherwise(F.col("value"))
+    )
+    value = F.when(part == 3, F.replace(value, F.lit('"max_age_days":365'), F.lit('"max_age_days":"365"'))).otherwise(value)
+    checked = parse_cases(_raw_cases(spark, sf, "order_key").withColumn("value", value))
+    return checked.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_cases"))
+
+
+@query
+def assess_stream(spark, sf):
+    """Cases arrive as JSON text and leave as results; same rows as the batch query."""
+    raw = _raw_cases(spark, sf)
     out = intake.assess_stream(_as_stream(spark, raw, "raw-cases")).select(
         "case_id", "status", "automation_status", "risk_score", "n_usable", "n_invalid",
         F.col("reasons")[0].alias("reason"),

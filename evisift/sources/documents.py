@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,28 +18,44 @@ from evisift.functions.text import collapse_spaces
 from evisift.schemas import DOCUMENT_MANIFEST, EVIDENCE_FILE, FORM_FILE
 
 
-def file_hashes(spark: SparkSession, folder: str, max_file_bytes: int = 25_000_000) -> DataFrame:
-    """Path below ``folder``, size and SHA-256 of every file.
+# A larger file is read in chunks by its task instead of becoming one row.
+ROW_FILE_BYTES = 25_000_000
+_CHUNK_BYTES = 1 << 20
 
-    The size filter is pushed to the file source, so the content of an oversized file is never read; its
-    hash is null.
-    """
+
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Path below ``folder``, size and SHA-256 of every file, whatever its size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     relative = F.regexp_replace(F.col("path"), r"^file:/*", "/")
     root = folder.rstrip("/") + "/"
     name = F.when(relative.startswith(root), F.substring(relative, len(root) + 1, 10_000)).otherwise(F.col("path"))
-    small = files.filter(F.col("length") <= max_file_bytes).select(
+    # the size filters are pushed to the file source, so the content of a large file never becomes a row
+    small = files.filter(F.col("length") <= ROW_FILE_BYTES).select(
         name.alias("path"), F.col("length").alias("bytes"), sha256(F.col("content")).alias("sha256")
     )
-    large = files.filter(F.col("length") > max_file_bytes).select(
-        name.alias("path"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")
-    )
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[_streamed_hash(uri) for uri in batch["uri"]]).drop(columns="uri")
+
+    large = files.filter(F.col("length") > ROW_FILE_BYTES).select(
+        name.alias("path"), F.col("length").alias("bytes"), F.col("path").alias("uri")
+    ).mapInPandas(hashed, "path string, bytes long, sha256 string")
     return small.unionByName(large)
 
 
-def run_manifest(spark: SparkSession, folder: str, run_id: str, max_file_bytes: int = 2_000_000_000) -> DataFrame:
+def _streamed_hash(uri: str) -> str:
+    source, inner = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    digest = hashlib.sha256()
+    with source.open_input_stream(inner) as stream:
+        while chunk := stream.read(_CHUNK_BYTES):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def run_manifest(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     """Manifest rows of a run folder; the manifest file itself is left out."""
-    return file_hashes(spark, folder, max_file_bytes).filter(
+    return file_hashes(spark, folder).filter(
         ~F.col("path").rlike(r"(^|/)artifact_manifest\.json$")
     ).select(F.lit(run_id).alias("run_id"), "path", "bytes", "sha256")
 
@@ -137,25 +155,32 @@ def profile_pairs(inputs: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def profile_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and column names per parquet shard.
+    """Rows and column names per parquet shard: ``shard, rows, columns``.
 
-    Shard paths are listed and spread over tasks; each task reads the footers of its shards and no data.
+    One scan that reads no column counts the rows of every shard, whatever its schema; the names come from the
+    shards' footers, read in tasks.
     """
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    listing = lambda reader: reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    paths = listing(spark.read.format("binaryFile")).load(folder).select("path")
+    uri = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    rows = listing(spark.read.schema("none int")).parquet(folder).groupBy(uri.alias("_uri")).agg(F.count("*").alias("rows"))
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                files, inner = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                                              if path.startswith("file:/") and not path.startswith("file://")
-                                                              else path)
-                with files.open_input_file(inner) as stream:
-                    footer = pyarrow.parquet.ParquetFile(stream).metadata
-                rows.append((path.rsplit("/", 1)[-1], footer.num_rows, ",".join(footer.schema.names)))
-            yield pd.DataFrame(rows, columns=["shard", "rows", "columns"])
-
-    return paths.mapInPandas(footers, "shard string, rows bigint, columns string")
+            yield batch.assign(columns=[",".join(_column_names(path)) for path in batch["path"]])
+
+    named = paths.mapInPandas(footers, "path string, columns string").withColumn(
+        "_uri", F.regexp_replace("path", "^file:/+", "file:/")
+    )
+    return named.join(rows, "_uri", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("shard"), F.coalesce("rows", F.lit(0)).alias("rows"), "columns"
+    )
+
+
+def _column_names(uri: str) -> list[str]:
+    source, inner = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    with source.open_input_file(inner) as stream:
+        return pyarrow.parquet.ParquetFile(stream).schema_arrow.names
 
 
 def shard_summary(shards: DataFrame) -> DataFrame:

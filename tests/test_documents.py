@@ -128,13 +128,14 @@ def test_form_profile_and_pairs(spark, tmp_path):
     assert got == {"a": True, "b": False, "c": False}
 
 
-def test_manifest_hashes_and_shards(spark, tmp_path):
+def test_manifest_hashes_and_shards(spark, tmp_path, monkeypatch):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "a.txt").write_text("hello")
-    hashes = {r["path"]: r for r in documents.file_hashes(spark, str(tmp_path / "docs"), max_file_bytes=10).collect()}
+    hashes = {r["path"]: r for r in documents.file_hashes(spark, str(tmp_path / "docs")).collect()}
     assert hashes["a.txt"]["bytes"] == 5
     assert hashes["a.txt"]["sha256"] == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
-    assert documents.file_hashes(spark, str(tmp_path / "docs"), max_file_bytes=3).first()["sha256"] is None
+    monkeypatch.setattr(documents, "ROW_FILE_BYTES", 3)
+    assert documents.file_hashes(spark, str(tmp_path / "docs")).first() == hashes["a.txt"]
     manifest = tmp_path / "m.json"
     spec = {"document_id": "a", "source_path": "a.txt", "sha256": hashes["a.txt"]["sha256"], "document_type": "text",
             "system": "s", "region": "r", "age_days": 1}
