@@ -189,7 +189,7 @@ def _policies(source: str, columns: str, names: tuple[str, ...], copies: str = "
     ) + ")"
 
 
-def _bootstrap(source: str, keys: str, champion: str, challenger: str, replicates: int = 50, seed: int = 19) -> str:
+def _bootstrap(source: str, keys: str, champion: str, challenger: str, replicates: int = 1000, seed: int = 19) -> str:
     """CTEs ending in ``boot``: the paired bootstrap of ``source`` per ``keys``."""
     cols = [k.strip() for k in keys.split(",")]
     tagged = " || '|' || ".join(["'%d'" % seed, *cols, "rep::VARCHAR", "idx::VARCHAR"])
@@ -204,11 +204,14 @@ sampled AS (
   SELECT p.*, d.rep, d.copies FROM drawn d JOIN placed_b p ON {" AND ".join(f"d.{c} = p.{c}" for c in cols)} AND d.hit = p.idx WHERE p.error IS NOT NULL),
 {_policies("sampled", keys + ", rep", (champion, challenger), "copies", "bpol")},
 {_walk("bpol", keys + ", rep, policy", "[0.2]", "bwalk")},
-bpair AS (
-  SELECT {", ".join("a." + c for c in cols)}, b.residual_weighted_risk - a.residual_weighted_risk AS diff,
+bmet AS (
+  SELECT {", ".join("a." + c for c in cols)}, a.rep, b.residual_weighted_risk - a.residual_weighted_risk AS diff,
          b.critical_error_capture + 1e-12 >= a.critical_error_capture AS ok
   FROM bwalk a JOIN bwalk b ON {" AND ".join(f"a.{c} = b.{c}" for c in cols)} AND a.rep = b.rep
   WHERE a.policy = '{champion}' AND b.policy = '{challenger}'),
+bpair AS (
+  SELECT {keys}, coalesce(diff, 0) AS diff, coalesce(ok, true) AS ok
+  FROM (SELECT DISTINCT {keys}, rep FROM drawn) LEFT JOIN bmet USING ({keys}, rep)),
 boot AS (
   SELECT {keys}, count(*) AS bootstrap_samples, round(avg(diff), 6) AS paired_difference_mean,
          round(quantile_cont(diff, 0.025), 6) AS ci_low, round(quantile_cont(diff, 0.975), 6) AS ci_high,
@@ -216,7 +219,8 @@ boot AS (
   FROM bpair GROUP BY {keys})"""
 
 
-_QUALIFIED = f"""{GOLD},{_bootstrap("all_items", "queue, desk", "risk", "risk_per_minute")},
+def _qualified(replicates: int) -> str:
+    return f"""{GOLD},{_bootstrap("all_items", "queue, desk", "risk", "risk_per_minute", replicates)},
 {_policies("items", "queue, desk", ("risk", "risk_per_minute"), name="qpol")},
 {_walk("qpol", "queue, desk, policy", "[0.2]", "qwalk")},
 qbudget AS (SELECT queue, desk, sum(minutes) * 0.2 + 1e-9 AS budget FROM all_items GROUP BY queue, desk),
@@ -575,8 +579,8 @@ ORACLES: dict[str, str] = {
               FROM cls JOIN t USING (queue), (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS capacity))
         SELECT queue, capacity, round(sum({_capped("(room - before) / (w * n)")} * criticality * n), 6) AS captured_weight_bound, max(total_weight) AS total_weight FROM f GROUP BY queue, capacity""",
     "paired_bootstrap": f"WITH {GOLD},{_bootstrap('all_items', 'desk', 'risk', 'risk_per_minute')} SELECT * FROM boot",
-    "policy_decision": f"WITH {_QUALIFIED} SELECT * FROM qualified",
-    "scenario_stability": f"""WITH {_QUALIFIED}, c AS (
+    "policy_decision": f"WITH {_qualified(1000)} SELECT * FROM qualified",
+    "scenario_stability": f"""WITH {_qualified(300)}, c AS (
           SELECT queue, count(*) AS scenarios, count(*) FILTER (WHERE decision = 'PROMOTE') AS promote, count(*) FILTER (WHERE decision = 'REJECT') AS reject,
                  count(*) FILTER (WHERE decision = 'INCONCLUSIVE_KEEP_CHAMPION') AS inconclusive_keep_champion,
                  count(*) FILTER (WHERE challenger_critical_capture + 1e-12 < champion_critical_capture) AS critical_regression_scenarios,

@@ -25,7 +25,7 @@ _REGISTRY: dict[str, Query] = {}
 
 CAPACITY = 0.2
 REVIEW_CAPACITIES = (0.1, 0.2, 0.3)
-BOOTSTRAP_REPLICATES = 50
+BOOTSTRAP_REPLICATES, SCENARIO_REPLICATES = 1000, 300
 LARGE_ORDER = 110
 TRAIN_GROUPS, CALIBRATION_GROUPS, HELDOUT_GROUPS = range(10), range(10, 13), range(13, 16)
 _CARRY = (
@@ -478,22 +478,22 @@ def paired_bootstrap(spark, sf):
     )
 
 
-def _qualified(spark, sf):
+def _qualified(spark, sf, replicates):
     return qualify.qualify_policy(
         review_items(spark, sf), ["queue", "desk"], champion="risk", challenger="risk_per_minute",
-        capacity=CAPACITY, replicates=BOOTSTRAP_REPLICATES,
+        capacity=CAPACITY, replicates=replicates,
     )
 
 
 @query
 def policy_decision(spark, sf):
-    return _qualified(spark, sf)
+    return _qualified(spark, sf, BOOTSTRAP_REPLICATES)
 
 
 @query
 def scenario_stability(spark, sf):
     """Every desk of a queue is one scenario of that queue."""
-    return qualify.scenario_stability(_qualified(spark, sf), ["queue"])
+    return qualify.scenario_stability(_qualified(spark, sf, SCENARIO_REPLICATES), ["queue"])
 
 
 @query
