@@ -59,17 +59,17 @@ def case_rules(field: Fields = F.col) -> dict[str, Column]:
     }
 
 
-def document_rules() -> dict[str, Column]:
+def document_rules(field: Fields = F.col) -> dict[str, Column]:
     """What every document of a manifest must satisfy."""
     return {
-        "document_id_length": _length(F.col("document_id"), 128),
-        "source_path_length": _length(F.col("source_path"), 512),
-        "source_path_safe": ~is_traversal(F.col("source_path")),
-        "sha256_pattern": F.col("sha256").rlike(SHA256_PATTERN),
-        "document_type_length": _length(F.col("document_type"), 64),
-        "system_present": F.col("system").isNotNull(),
-        "region_present": F.col("region").isNotNull(),
-        "age_days_range": F.col("age_days").between(0, 100_000),
+        "document_id_length": _length(field("document_id"), 128),
+        "source_path_length": _length(field("source_path"), 512),
+        "source_path_safe": ~is_traversal(field("source_path")),
+        "sha256_pattern": field("sha256").rlike(SHA256_PATTERN),
+        "document_type_length": _length(field("document_type"), 64),
+        "system_present": field("system").isNotNull(),
+        "region_present": field("region").isNotNull(),
+        "age_days_range": field("age_days").between(0, 100_000),
     }
 
 

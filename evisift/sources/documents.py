@@ -9,13 +9,16 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs
 import pyarrow.parquet
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evisift.functions.geometry import bbox_is_valid
 from evisift.functions.hashing import sha256
+from evisift.functions.json import is_object
 from evisift.functions.paths import path_parts
 from evisift.functions.text import collapse_spaces
-from evisift.schemas import DOCUMENT_MANIFEST, EVIDENCE_FILE, FORM_FILE
+from evisift.operators.validate import document_rules
+from evisift.schemas import DOCUMENT_MANIFEST, DOCUMENT_SPEC, EVIDENCE_FILE, FORM_FILE, MAX_TEXT_CHARS
 
 
 # A larger file is read in chunks by its task instead of becoming one row.
@@ -60,12 +63,43 @@ def run_manifest(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     ).select(F.lit(run_id).alias("run_id"), "path", "bytes", "sha256")
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of every JSON manifest under ``path``; ``pack_id`` is the manifest file."""
-    manifests = spark.read.schema(DOCUMENT_MANIFEST).option("multiLine", "true").json(path)
-    return manifests.select(
-        F.col("_metadata.file_path").alias("pack_id"), F.explode("documents").alias("_d")
-    ).select("pack_id", "_d.*")
+# Limits of a document manifest.
+MAX_MANIFEST_BYTES, MAX_MANIFEST_DOCUMENTS = 1_000_000, 128
+
+
+def load_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(documents, rejects)`` of every JSON manifest under ``path``; ``pack_id`` is the manifest file.
+
+    A manifest is taken whole or refused whole, with ``pack_id, reason``: too large, not exactly one JSON object, unknown
+    or absent fields, no or too many documents, a document id twice, a broken rule of a document.
+    """
+    text = F.col("value")
+    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("pack_id"), "value")
+    items = F.from_json(F.get_json_object(text, "$.documents"), "array<string>")
+    parsed = raw.withColumns({"_m": F.from_json(text, DOCUMENT_MANIFEST), "_items": items, "_keys": F.json_object_keys(text)})
+    names = F.array(*[F.lit(f.name) for f in DOCUMENT_SPEC.fields])
+    differs = lambda keys: F.coalesce(F.size(F.array_except(keys, names)) + F.size(F.array_except(names, keys)) > 0, F.lit(True))
+    documents = F.col("_m.documents")
+    ids = F.transform(documents, lambda d: d["document_id"])
+
+    def broken(d: Column) -> Column:
+        out = F.lit(False)
+        for rule in document_rules(lambda name: d[name]).values():
+            out = out | ~F.coalesce(rule, F.lit(False))
+        return out
+
+    reason = (
+        F.when(F.octet_length(text) > MAX_MANIFEST_BYTES, "manifest_too_large")
+        .when(~is_object(text) | F.col("_m").isNull(), "malformed")
+        .when(F.size(F.array_except("_keys", F.array(F.lit("documents")))) > 0, "unknown_field")
+        .when(documents.isNull() | ~F.size("_items").between(1, MAX_MANIFEST_DOCUMENTS), "bad_document_count")
+        .when(F.exists("_items", lambda i: differs(F.json_object_keys(i))), "bad_document_fields")
+        .when(F.exists(documents, broken), "constraint")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_document_id")
+    )
+    checked = parsed.withColumn("reason", reason)
+    good = checked.filter("reason is null").select("pack_id", F.explode("_m.documents").alias("_d")).select("pack_id", "_d.*")
+    return good, checked.filter("reason is not null").select("pack_id", "reason")
 
 
 def json_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +108,16 @@ def json_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     The block index counts blocks without text too, so ids do not move when text is missing.
     """
     parsed = files.withColumn("_doc", F.from_json("raw", EVIDENCE_FILE))
+    with_text = lambda p: F.filter(p["blocks"], lambda b: collapse_spaces(b["text"]) != "")
+    any_block = lambda rule: F.exists("_doc.pages", lambda p: F.exists(with_text(p), rule))
+    bad_box = lambda b: b["bbox"].isNotNull() & ((F.size(b["bbox"]) != 4) | ~bbox_is_valid(_box(b["bbox"])))
     reason = (
-        F.when(F.col("_doc").isNull() | F.json_object_keys("raw").isNull(), "malformed")
+        F.when(F.col("_doc").isNull() | ~is_object(F.col("raw")), "malformed")
         .when(F.col("_doc.pages").isNull(), "no_pages")
         .when(F.exists("_doc.pages", lambda p: p["page"].isNull() | (p["page"] < 1)), "bad_page")
         .when(F.exists("_doc.pages", lambda p: p["blocks"].isNull()), "no_blocks")
+        .when(any_block(lambda b: F.length(collapse_spaces(b["text"])) > MAX_TEXT_CHARS), "text_too_long")
+        .when(any_block(bad_box), "bad_bbox")
     )
     parsed = parsed.withColumn("reason", reason)
     rows = (
@@ -86,11 +125,7 @@ def json_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("document_id", F.explode("_doc.pages").alias("_p"))
         .select("document_id", F.col("_p.page").alias("page"), F.posexplode("_p.blocks").alias("_i", "_b"))
     )
-    corner = lambda i: F.get("_b.bbox", F.lit(i))
-    box = F.when(
-        F.col("_b.bbox").isNotNull(),
-        F.struct(corner(0).alias("x1"), corner(1).alias("y1"), corner(2).alias("x2"), corner(3).alias("y2")),
-    )
+    box = F.when(F.col("_b.bbox").isNotNull(), _box(F.col("_b.bbox")))
     blocks = rows.select(
         "document_id",
         F.concat("document_id", F.lit(":p"), F.col("page").cast("string"), F.lit(":b"), F.col("_i").cast("string")).alias("block_id"),
@@ -101,6 +136,10 @@ def json_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, parsed.filter("reason is not null").select("document_id", "reason")
 
 
+def _box(corners: Column) -> Column:
+    return F.struct(*[F.get(corners, F.lit(i)).alias(name) for i, name in enumerate(("x1", "y1", "x2", "y2"))])
+
+
 def text_blocks(files: DataFrame) -> DataFrame:
     """One block per non-empty text document: ``files`` has ``document_id`` and ``raw``."""
     return files.select(

@@ -140,7 +140,31 @@ def test_manifest_hashes_and_shards(spark, tmp_path, monkeypatch):
     spec = {"document_id": "a", "source_path": "a.txt", "sha256": hashes["a.txt"]["sha256"], "document_type": "text",
             "system": "s", "region": "r", "age_days": 1}
     manifest.write_text(json.dumps({"documents": [spec]}))
-    assert documents.load_manifest(spark, str(manifest)).first()["source_path"] == "a.txt"
+    good, rejects = documents.load_manifests(spark, str(manifest))
+    assert good.first()["source_path"] == "a.txt" and rejects.isEmpty()
+    (tmp_path / "bad").mkdir()
+    short = {k: v for k, v in spec.items() if k != "region"}
+    for name, body in {
+        "malformed": json.dumps({"documents": [spec]}) + " x", "unknown_field": json.dumps({"documents": [spec], "more": 1}),
+        "bad_document_count": json.dumps({"documents": []}), "bad_document_fields": json.dumps({"documents": [short]}),
+        "constraint": json.dumps({"documents": [{**spec, "source_path": "../a"}]}),
+        "duplicate_document_id": json.dumps({"documents": [spec, spec]}), "manifest_too_large": "{}" + " " * 1_000_000,
+    }.items():
+        (tmp_path / "bad" / f"{name}.json").write_text(body)
+    good, rejects = documents.load_manifests(spark, str(tmp_path / "bad"))
+    assert good.isEmpty()
+    rows = rejects.collect()
+    assert len(rows) == 7 and all(r["pack_id"].endswith(f"/{r['reason']}.json") for r in rows)
     spark.range(7).coalesce(1).write.parquet(str(tmp_path / "shards"))
     row = documents.shard_summary(documents.profile_shards(spark, str(tmp_path / "shards"))).first()
     assert tuple(row) == (1, 7, 1)
+
+
+@pytest.mark.parametrize(("block", "reason"), [
+    ({"text": "a", "bbox": [0, 0, 1, 1]}, None), ({"text": "a", "bbox": [0, 0, 1]}, "bad_bbox"), ({"text": "a", "bbox": [0.5, 0, 0.2, 1]}, "bad_bbox"),
+    ({"text": "a", "bbox": [0, 0, 2, 1]}, "bad_bbox"), ({"text": " ", "bbox": [3]}, None), ({"text": "x" * 50_001}, "text_too_long"), ({"text": "x" * 50_000}, None),
+])
+def test_block_schema(spark, block, reason):
+    raw = json.dumps({"pages": [{"page": 1, "blocks": [{"text": "fine"}, block]}]})
+    _, rejects = documents.json_blocks(spark.createDataFrame([("d", raw)], "document_id string, raw string"))
+    assert [r["reason"] for r in rejects.collect()] == ([reason] if reason else [])
