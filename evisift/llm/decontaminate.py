@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over windows as long as the benchmark items.
 
-Every window that shares a shingle with an item gets a 64-bit SimHash of its weighted shingles (windows that share none
-have similarity zero, so leaving them out loses nothing). Four 16-bit blocks index the items' fingerprints: within
+Every window that shares a shingle with an item of its length gets a 64-bit SimHash of its weighted shingles (windows that
+share none have similarity zero, so leaving them out loses nothing). Four 16-bit blocks index the items' fingerprints: within
 ``RADIUS`` bits at least one block differs in at most ``RADIUS // 4`` bits, so looking up each block among the values that
 near to an item's block finds every fingerprint within the radius. A candidate is confirmed by its exact weighted
 similarity: the sum of the lesser over the sum of the greater shingle counts.
@@ -16,6 +16,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +41,22 @@ def _near_values(radius: int) -> np.ndarray:
 
 
 def shingle_codes(ids: np.ndarray, width: int) -> np.ndarray:
-    """Digests of the windows of ``width`` word numbers; 0 where a word is in no item."""
+    """Digests of the windows of ``width`` word digests; 0 where a word's is 0, as it is in no item."""
     n = len(ids) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     code, known = np.full(n, width, np.uint64), np.ones(n, bool)
     with np.errstate(over="ignore"):
         for k in range(width):
-            code = mix64(code + ids[k:n + k].astype(np.uint64))
+            code = mix64(code + ids[k:n + k])
             known &= ids[k:n + k] > 0
     return np.where(known, code | np.uint64(1), np.uint64(0))
 
 
+def _digest(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) | 1
+
+
 def _bits(codes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of the 64 bits of each code."""
     raw = mix64(codes).astype(">u8").view(np.uint8).reshape(len(codes), 8)
@@ -70,19 +75,20 @@ class _Length:
     prints: np.ndarray
     counts: list[Counter]
     tables: list[tuple[np.ndarray, np.ndarray]]
+    holds: np.ndarray
 
 
 class Index:
-    """Word numbers, item shingles and the multi-index of one block of items."""
+    """Word digests, item shingles and the multi-index of one block of items."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.numbers: dict[bytes, int] = {}
+        self.digests: dict[bytes, int] = {}
         self.widths: dict[int, np.ndarray] = {}
         self.lengths: dict[int, _Length] = {}
         near, shingle_sets = _near_values(RADIUS // BLOCKS), {}
         grouped: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, words in items:
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
+            ids = np.array([self.digests.setdefault(w, _digest(w)) for w in words], np.uint64)
             codes = shingle_codes(ids, min(SHINGLE_WORDS, len(ids)))
             grouped.setdefault(len(ids), []).append((item, codes))
             shingle_sets.setdefault(min(SHINGLE_WORDS, len(ids)), []).append(codes)
@@ -95,38 +101,43 @@ class Index:
                 values = (mine[:, None] ^ near).ravel()
                 order = np.argsort(values, kind="stable")
                 tables.append((values[order], np.repeat(np.arange(len(mine)), len(near))[order]))
+            holds = np.isin(self.widths[min(SHINGLE_WORDS, length)], np.concatenate([codes for _, codes in members]))
             self.lengths[length] = _Length(
-                [i for i, _ in members], prints, [Counter(codes.tolist()) for _, codes in members], tables
+                [i for i, _ in members], prints, [Counter(codes.tolist()) for _, codes in members], tables, holds
             )
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float, int, int]]:
         """``(item, first word, words, similarity, differing bits, windows)`` of each item found in a whole text: its best
         window, the first of equals."""
         words = lower_ascii(text).split()
-        ids = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.digests.get, words, repeat(0)), np.uint64, len(words))
         found = []
         coded = {}
         for width, known in self.widths.items():
             codes = shingle_codes(ids, width)
-            at = np.searchsorted(known, codes)
-            hits = np.flatnonzero((codes > 0) & (known[np.minimum(at, len(known) - 1)] == codes))
-            coded[width] = (codes, hits)
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hits = np.flatnonzero((codes > 0) & (known[at] == codes))
+            coded[width] = (hits, at[hits], len(codes))
         for length, group in self.lengths.items():
             width = min(SHINGLE_WORDS, length)
-            codes, hits = coded[width]
+            hits, which, n_codes = coded[width]
+            hits = hits[group.holds[which]] if len(hits) else hits
             if not len(hits) or len(ids) < length:
                 continue
             inner = length - width + 1
             # windows that hold a hit, as a 0/1 mark over their first words
-            marks = np.zeros(len(codes) + 1, np.int64)
+            marks = np.zeros(n_codes + 1, np.int64)
             np.add.at(marks, np.maximum(hits - inner + 1, 0), 1)
             np.add.at(marks, hits + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks)[: len(ids) - length + 1] > 0)
             best: dict[int, tuple[float, int, int]] = {}
             windows = Counter()
             for piece in _pieces(starts):
+                first = int(piece[0])
+                there = np.array([_digest(w) for w in words[first:int(piece[-1]) + length]], np.uint64)
+                codes = shingle_codes(there, width)
                 for start, member, bits in self._candidates(group, codes, piece, inner):
-                    mine, counts = Counter(codes[start:start + inner].tolist()), group.counts[member]
+                    mine, counts = Counter(codes[start - first:start - first + inner].tolist()), group.counts[member]
                     low, high = sum((mine & counts).values()), sum((mine | counts).values())
                     if low >= SIMILARITY * high:
                         windows[member] += 1
@@ -139,13 +150,10 @@ class Index:
 
     @staticmethod
     def _candidates(group: _Length, codes: np.ndarray, starts: np.ndarray, inner: int) -> Iterator[tuple[int, int, int]]:
-        first, last = int(starts[0]), int(starts[-1])
-        # words in no item have code 0; they get a bit pattern from their place, as they equal no shingle of an item
-        here = codes[first:last + inner]
-        here = np.where(here > 0, here, mix64(np.arange(first, first + len(here)).astype(np.uint64) + np.uint64(2**63)))
-        total = np.zeros((len(here) + 1, 64), np.int32)
-        np.cumsum(_bits(here), axis=0, out=total[1:])
-        at = starts - first
+        """Windows and items whose fingerprints are within the radius; ``codes`` begins at the first start."""
+        total = np.zeros((len(codes) + 1, 64), np.int32)
+        np.cumsum(_bits(codes), axis=0, out=total[1:])
+        at = starts - starts[0]
         prints = _fingerprints(total[at + inner] - total[at])
         pairs = []
         for block, (values, members) in enumerate(group.tables):
