@@ -31,6 +31,8 @@ MINED_ITEMS = 4_096
 PREFIX_BYTES = (4, 5)
 SAMPLE_ROWS = 20_000
 ROUNDS = 8
+# What a posterior without a known label counts for in the classifier, beside one anchored by a label.
+INFERRED_WEIGHT = 0.1
 _COMPILED = [re.compile(p) for p in PATTERNS]
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -47,7 +49,9 @@ def _in_training(doc_id: Column, folds: int) -> Column:
 
 
 def mine(documents: DataFrame, labels: DataFrame, label: str, folds: int, rows: int) -> list[bytes]:
-    """At most ``MINED_ITEMS`` items that tell toxic training rows, from at most ``rows`` labelled ones."""
+    """At most ``MINED_ITEMS`` items that tell toxic training rows, from at most ``rows`` labelled ones.
+
+    An item stays if at most one of all items would be that one-sided by chance (Chernoff's bound on its toxic rows)."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).dropna()
         .filter(_in_training(F.col("_id"), folds)).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -67,8 +71,13 @@ def mine(documents: DataFrame, labels: DataFrame, label: str, folds: int, rows:
     texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # at most ``rows`` ids are broadcast
     counts = texts.join(F.broadcast(chosen), "_id").mapInPandas(count, "item binary, clean long, toxic long")
-    summed = counts.groupBy("item").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    good = (F.col("toxic") >= 3) & (F.col("toxic") >= 4 * F.col("clean"))
+    summed = pin(counts.groupBy("item").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-items")
+    n, positive = chosen.agg(F.count("*"), F.sum("_y")).first()
+    base = ((positive or 0) + 1) / (n + 2)
+    kinds = summed.filter("clean + toxic >= 3").count()
+    seen, share = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    odds = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    good = (seen >= 3) & (F.col("toxic") >= 4 * F.col("clean")) & (share > base) & (odds >= float(np.log(kinds + 1)))
     score = F.col("toxic") / (F.col("clean") + 1.0)
     return [bytes(r.item) for r in summed.filter(good).orderBy(score.desc(), "item").limit(MINED_ITEMS).collect()]
 
@@ -103,16 +112,20 @@ def hits(documents: DataFrame, mined: list[bytes]) -> DataFrame:
 
 
 class LabelModel:
-    """Firing rates of every voter in both classes, the classes' shares, and what correlation takes off each voter."""
+    """Firing rates of every voter in both classes, the classes' shares, and the voters' correlations inside a class.
+
+    A vote counts less by the votes beside it that it is correlated with, and silence by all of them."""
 
     def __init__(self) -> None:
         # at first every vote multiplies the odds by 12, and silence tells nothing
         self.fires, self.silent = np.full(VOTERS, np.log(12.0)), np.zeros(VOTERS)
-        self.rates, self.prior, self.damping = np.zeros((2, VOTERS)), 0.1, np.ones(VOTERS)
+        self.rates, self.prior = np.zeros((2, VOTERS)), 0.1
+        self.correlation, self.damping = np.zeros((VOTERS, VOTERS)), np.ones(VOTERS)
 
     def posterior(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
         """P(toxic); where a label is known (not NaN) it is that."""
-        weight = np.where(_bits(votes), self.fires, self.silent) / self.damping
+        fired = _bits(votes)
+        weight = np.where(fired, self.fires / (1 + fired @ self.correlation), self.silent / self.damping)
         logit = np.log(self.prior / (1 - self.prior)) + weight.sum(axis=1)
         return np.where(np.isnan(known), 1 / (1 + np.exp(-np.clip(logit, -50, 50))), known)
 
@@ -126,15 +139,14 @@ class LabelModel:
         self.fires, self.silent = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
         if not correlated:
             return
-        positive = np.zeros(VOTERS)
         for y in (0, 1):
             p = self.rates[y]
             joint = moments[y, :-1, :-1] / max(totals[y], 1)
             spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
             correlation = (joint - np.outer(p, p)) / spread
             np.fill_diagonal(correlation, 0)
-            positive = np.maximum(positive, np.clip(correlation, 0, 1).sum(axis=1))
-        self.damping = 1 + positive
+            self.correlation = np.maximum(self.correlation, np.clip(correlation, 0, 1))
+        self.damping = 1 + self.correlation.sum(axis=1)
 
 
 def _bits(votes: np.ndarray) -> np.ndarray:
@@ -166,10 +178,10 @@ def fit_label_model(patterns: DataFrame) -> LabelModel:
     return model
 
 
-def fit_linear(found: list[np.ndarray], y: np.ndarray, size: int, l2: float = 3e-5, steps: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels over sparse 0/1 hits, by Adam; the last weight is the intercept."""
+def fit_linear(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: int, l2: float = 1e-6, steps: int = 600) -> np.ndarray:
+    """Logistic regression on weighted soft labels over sparse 0/1 hits, by Adam; the last weight is the intercept."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    share = (y.sum() + 0.5) / (len(y) + 5)
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 5)
     w[-1] = np.log(share / (1 - share))
     if not len(y):
         return w
@@ -177,7 +189,7 @@ def fit_linear(found: list[np.ndarray], y: np.ndarray, size: int, l2: float = 3e
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
     for step in range(1, steps + 1):
         z = np.bincount(row, w[flat], len(found)) + w[-1]
-        error = (1 / (1 + np.exp(-z)) - y) / len(y)
+        error = (1 / (1 + np.exp(-z)) - y) * weight / weight.sum()
         g = np.append(np.bincount(flat, error[row], size), error.sum()) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -206,7 +218,8 @@ def score_toxicity(
     ).limit(sample_rows).toPandas()
     y = model.posterior(sample["votes"].to_numpy(dtype=np.int64), sample["known"].to_numpy(dtype=float))
     size = len(LEXICON) + len([m for m in mined if m.decode("utf-8", "replace") not in LEXICON]) + len(PATTERNS)
-    weights = fit_linear(list(sample["hits"]), y, size)
+    trust = np.where(sample["known"].isna(), INFERRED_WEIGHT, 1.0)
+    weights = fit_linear(list(sample["hits"]), y, trust, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -65,6 +65,6 @@ def test_label_model_finds_rates_and_correlation(spark):
     model = toxicity.fit_label_model(rows)
     for v, (clean, toxic) in rates.items():
         assert abs(model.rates[0][v] - clean) < 0.06 and abs(model.rates[1][v] - toxic) < 0.12
-    assert model.damping[0] > 1.8 and model.damping[4] > 1.8 and model.damping[3] < 1.4
+    assert model.correlation[0, 4] > 0.8 and model.correlation[0, 3] < 0.3
     p = model.posterior(votes, np.full(len(votes), np.nan))
     assert ((p > 0.5) == y).mean() > 0.93
