@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evisift.llm.resample import kth_greatest
 from evisift.llm.words import lower_ascii
 from evisift.session import pin
 
@@ -162,8 +163,16 @@ class Lexicon:
 
 
 def build_lexicon(words: DataFrame, ends: int) -> Lexicon:
-    """From a pinned table of ``word, c``. The driver holds ``FREQUENT_WORDS`` words and ``CLASSES`` rows."""
-    frequent = [(bytes(r.word), r.c) for r in words.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS).collect()]
+    """From a pinned table of ``word, c``. The driver holds at most ``FREQUENT_WORDS`` words and ``CLASSES`` rows.
+
+    The least count of a frequent word is found first, so tasks send those words only, not a list of their own each;
+    words that tie with the first one left out are left out too.
+    """
+    top = words
+    if words.count() > FREQUENT_WORDS:
+        counts = words.select(F.col("c").cast("double").alias("c"))
+        top = words.filter(F.col("c") > kth_greatest(counts, "c", FREQUENT_WORDS + 1))
+    frequent = sorted(((bytes(r.word), r.c) for r in top.collect()), key=lambda x: (-x[1], x[0]))
     of_class = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(CLASSES)).cast("int")
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, n, v in words.groupBy(of_class.alias("k")).agg(F.sum("c"), F.count("*")).collect():
