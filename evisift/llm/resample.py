@@ -7,6 +7,7 @@ top-k: each log weight gets Gumbel noise from a hash of the id, and the k greate
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 SAMPLE_ROWS = 20_000
 PRIOR = 100.0
 THRESHOLD_BINS = 4_096
+GRAMS_AT_ONCE = 1_000_000
 _OTHER = bytes(range(128, 256))
 _MARKS = b"#*$%&|<>!?\"'()[]{}:;,.-/\\+=@_~^`"
 
@@ -35,18 +37,18 @@ def _shape(word: bytes) -> int:
     case = 0 if letters.islower() else 1 if letters.isupper() and len(letters) > 1 else 2 if letters[:1].isupper() else 3
     last = word[-1:]
     end = b".,!?|".find(last) + 1 if last in b".,!?|" else 6 if last in b"#*$%&<>" else 7 if last.isdigit() else 0
-    size = int(np.searchsorted((1, 3, 6, 10, 20), len(word)))
+    size = bisect_left((1, 3, 6, 10, 20), len(word))
     odd = len(word) - len(word.translate(None, b"#*$%&|<>!"))
     return ((case * 8 + end) * 6 + size) * 4 + min(odd, 3)
 
 
 class _Codes(dict):
-    """Word -> (digest, shape), for as many words as fit ``limit`` entries."""
+    """Word -> 54 bits of its digest above 10 bits of its shape, for as many words as fit ``limit`` entries."""
 
     limit = 400_000
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        self[word] = value = (xxhash.xxh3_64_intdigest(word), _shape(word))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word) >> 10 << 10 | _shape(word)
         return value
 
     def grams(self, text: str | None) -> np.ndarray:
@@ -56,8 +58,8 @@ class _Codes(dict):
             return np.zeros(0, np.int64)
         if len(self) > self.limit:
             self.clear()
-        coded = np.array([self[w] for w in words], dtype=np.uint64)
-        digest, shape = coded[:, 0], coded[:, 1]
+        coded = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        digest, shape = coded >> np.uint64(10), coded & np.uint64(1023)
         same = np.zeros(len(words), np.uint64)
         same[1:] = digest[1:] == digest[:-1]
         with np.errstate(over="ignore"):
@@ -74,10 +76,16 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
     """How often each bucket occurs in all texts: one sum per partition, then sums of sums."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, total = _Codes(), np.zeros(BUCKETS, np.int64)
+        codes, total, pending, size = _Codes(), np.zeros(BUCKETS, np.int64), [], 0
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount(codes.grams(text), minlength=BUCKETS)
+                pending.append(codes.grams(text))
+                size += len(pending[-1])
+                if size > GRAMS_AT_ONCE:
+                    total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
+                    pending, size = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
