@@ -39,6 +39,14 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def stateless(template: Template) -> Template:
+    """Declares that a template writes each turn without looking at the others, so a long conversation may be rendered in
+    segments."""
+    template.stateless = True
+    return template
+
+
+@stateless
 def render(turns: list[Turn]) -> str:
     """The template of ``op9_chat_format``."""
     out = []
@@ -104,7 +112,7 @@ class _Digest:
     def add(self, turn: Turn, template: Template) -> None:
         self.pending.append(turn)
         # the last turn stays as the context of the next segment
-        if len(self.pending) > SEGMENT_TURNS:
+        if getattr(template, "stateless", False) and len(self.pending) > SEGMENT_TURNS:
             self._close(self.pending[:-1], template)
             self.pending = self.pending[-2:]
 
@@ -143,8 +151,9 @@ def format_conversations(conversations: DataFrame, template: Template = render)
 
     Turns go by (turn, role, text), nulls first; a null role or text is empty, a null ``conv_id`` is a conversation of
     its own, repeated rows are repeated turns, other columns are ignored and an empty table gives no row. Rows arrive
-    sorted, one turn after another, so a task holds ``SEGMENT_TURNS`` turns at most: a longer conversation is
-    rendered in segments, each begun with the last turn of the segment before.
+    sorted, one turn after another. With a template declared ``stateless`` a task holds ``SEGMENT_TURNS`` turns at most: a
+    longer conversation is rendered in segments, each begun with the last turn of the segment before. Any other template
+    sees every prefix of the whole conversation, which a task then holds, with work that grows with its square.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"),

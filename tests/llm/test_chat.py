@@ -56,3 +56,15 @@ def test_query_rows_equal_brute_force(spark):
         assert row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert row.formatted_chars == len(chat.render(mine)) and row.rewritten_turns == 0
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_templates_with_history_see_whole_conversations(spark):
+    def thoughtless(given):
+        """A template that drops what earlier assistants thought, but for the ten turns after the first system text."""
+        return chat.render([(r, t.split("#")[-1] if 10 < k < len(given) - 1 else t) for k, (r, t) in enumerate(given)])
+
+    given = [("system", "be kind"), *((("user", "assistant")[k % 2], f"hm{k}#{k}") for k in range(150))]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(given)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(df, thoughtless).first()
+    assert row.formatted_chars == len(thoughtless(given))
+    assert row.rewritten_turns == len(chat.render_incrementally(given, thoughtless).rewrites) == 139
