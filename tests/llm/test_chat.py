@@ -68,3 +68,35 @@ def test_templates_with_history_see_whole_conversations(spark):
     row = chat.format_conversations(df, thoughtless).first()
     assert row.formatted_chars == len(thoughtless(given))
     assert row.rewritten_turns == len(chat.render_incrementally(given, thoughtless).rewrites) == 139
+
+
+def test_rewriting_template_through_data_frames(spark):
+    def strips(given):
+        last = len(given) - 1
+        return "".join(f"<{r}>{t.split('#')[-1] if r == 'assistant' and k < last else t}" for k, (r, t) in enumerate(given))
+
+    def reader(formatted):
+        return [tuple(part.split(">")) for part in formatted.split("<")[1:]]
+
+    given = [("user", "q"), ("assistant", "hm#a"), ("user", "r"), ("assistant", "b")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(given)], "conv_id long, turn long, role string, text string")
+    out = ""
+    rows = chat.format_turns(df, strips).orderBy("place").collect()
+    for n, row in enumerate(rows):
+        out = out[:row.start] + row.formatted
+        assert (row.role, out, row.end) == (given[n][0], strips(given[:n + 1]), len(out))
+        assert out[row.text_start:row.text_end] == row.formatted_text == given[n][1]
+    assert [r.rewrites for r in rows] == [False, False, True, False] and [r.loss for r in rows] == [False, True, False, True]
+    row = chat.format_conversations(df, strips, reader, str).first()
+    digest = hashlib.sha256(b"user\nq\nassistant\na\nuser\nr\nassistant\nb\n").hexdigest()
+    assert (row.n_turns, row.turns_sha256, row.rewritten_turns, row.formatted_chars) == (4, digest, 1, len(out))
+    assert row.loss_sha256 == hashlib.sha256(b"hm#ab").hexdigest()
+
+
+def test_spans_of_segments_count_from_the_begin(spark):
+    given = turns(200)
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(given)], "conv_id long, turn long, role string, text string")
+    whole = chat.render_incrementally(given, chat.render)
+    got = chat.format_turns(df).orderBy("place").collect()
+    assert [(r.start, r.end) for r in got] == whole.turns and [(r.text_start, r.text_end) for r in got] == whole.texts
+    assert "".join(r.formatted for r in got) == whole.text
