@@ -82,3 +82,22 @@ def test_index_finds_every_fingerprint_within_the_radius():
             other ^= 1 << int(bit)
         blocks = [((print_ >> 16 * b) & 65535) ^ ((other >> 16 * b) & 65535) for b in range(dc.BLOCKS)]
         assert any(d in set(near.tolist()) for d in blocks)
+
+
+def test_documents_shorter_than_an_item(documents, benchmark):
+    """The whole document is the one window, as long as its words allow."""
+    item, long_item = words(901, 20), words(902, 55)
+    data = [(20, item[1:]), (21, item[:-3]), (22, item[:-4]), (23, long_item[:50]), (24, long_item[5:30]), (25, item[2:-1] + ["x"]), (26, ["three", "short"]), (27, item[:4])]
+    want = {}
+    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    for doc, have in data:
+        for number, wanted in ((1, item), (2, long_item)):
+            a, b = grams(have), grams(wanted)
+            if (score := sum((a & b).values()) / sum((a | b).values())) >= 0.8:
+                want[(doc, number)] = (round(score, 9), 0, len(have), 1)
+    table = documents(*((doc, " ".join(have)) for doc, have in data))
+    rows = dc.find_leaks(table, benchmark).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.window_words, r.n_windows) for r in rows} == want
+    assert {d for d, _ in want} == {20, 21, 23}
+    kept = table.filter(dc.is_clean(table["text"], benchmark)).collect()
+    assert {r.doc_id for r in kept} == {22, 24, 25, 26, 27}
