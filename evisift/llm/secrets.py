@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests, with DataFrame operations only.
 
-Runs of 20 or more key characters are candidates. Each is read in the narrowest encoding that holds its characters, and
+Runs of 20 or more key characters are candidates; where fixed patterns cover part of a run, each other piece of 20 or more is
+one. Each is read in the narrowest encoding that holds its characters, and
 tested for being drawn at random from that alphabet: chi-squared uniformity of its characters, number of runs above
 and below the middle, serial correlation of neighbours. A candidate is a secret if no test rejects randomness, at a level shared
 among the three, and if prose is rejected: the surprisal of its characters, by their frequencies in the long words of the
@@ -24,7 +25,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LONG_WORD = r"[A-Za-z0-9+/_-]{12,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_CANDIDATE = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 # Encodings from narrow to wide: name, alphabet in value order, pattern.
@@ -182,6 +184,24 @@ def discoveries(tested: DataFrame, rate: float) -> DataFrame:
     )
 
 
+def _pieces(run: Column, base: Column) -> Column:
+    """What base spans, ordered by their start, leave of a run of key characters, in pieces as long as a candidate."""
+    def piece(begin: Column, end: Column) -> Column:
+        match = F.substring(run["match"], begin - run["start"] + 1, end - begin)
+        whole = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(3).alias("kind"), match.alias("match")))
+        none = F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>")
+        return F.when(end - begin >= LEAST_CANDIDATE, whole).otherwise(none)
+
+    def step(state: Column, b: Column) -> Column:
+        fresh = F.concat(state["out"], piece(state["at"], b["start"]))
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), fresh.alias("out"))
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>")
+    start = F.struct(run["start"].alias("at"), none.alias("out"))
+    return F.aggregate(touching, start, step, lambda state: F.concat(state["out"], piece(state["at"], run["end"])))
+
+
 def find_spans(texts: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     """``_key, spans`` for each distinct text that holds any: its digest, and (start, kind, end) in order.
 
@@ -190,10 +210,8 @@ def find_spans(texts: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     found = texts.select("_key", _spans(F.col("text")).alias("found")).filter(F.size("found") > 0)
     spans = pin(found.groupBy("_key").agg(F.any_value("found").alias("found")), "secrets")
     base = F.filter("found", lambda s: s["kind"] < 3)
-    loose = F.filter(
-        F.filter("found", lambda s: s["kind"] == 3),
-        lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    ordered = F.array_sort(base)
+    loose = F.flatten(F.transform(F.filter("found", lambda s: s["kind"] == 3), lambda run: _pieces(run, ordered)))
     tested = battery(spans.select("_key", F.inline(loose)))
     tested = tested.crossJoin(F.broadcast(prose_model(texts)))  # one row
     surprise = F.aggregate(F.split("match", ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.element_at("surprisal", c), F.lit(0.0)))

@@ -90,3 +90,20 @@ def test_battery_levels(spark):
     got = secrets.battery(df).collect()
     assert sum(r.p_random <= 0.003 for r in got if not r.bad) <= 8
     assert all(r.p_random <= 0.003 for r in got if r.bad)
+
+
+def test_keys_beside_base_spans(documents):
+    """A run that a fixed pattern covers in part is tested in its other parts."""
+    access, short = "AKIA" + "Q7" * 8, KEY[:19]
+    texts = [
+        f"é {access}/{KEY} end", f"😀 {DIGEST}-{KEY}", f"{KEY}-{DIGEST}-{KEY[::-1]}", f"{KEY}/token={DIGEST}", f"{DIGEST}-{short[:-1]} x",
+        f"{DIGEST}-internationalisationalities-{DIGEST}",
+    ]
+    data = [*enumerate(texts), *PROSE]
+    got = {r.doc_id: r for r in secrets.scan_secrets(documents(*data)).collect()}
+    want = {0: [(22, 67)], 1: [(42, 87)], 2: [(0, 45), (85, 130)], 3: [(0, 45)], 4: [], 5: []}
+    for k, spans in want.items():
+        assert got[k].spans == line(sorted(brute(texts[k]) + [(a, 3, b) for a, b in spans])), k
+    out = {r.doc_id: r.text for r in secrets.redact(documents(*data)).collect()}
+    assert not any(KEY in v or KEY[::-1] in v for v in out.values())
+    assert out[4] == f"[SECRET]-{short[:-1]} x"
