@@ -3,7 +3,8 @@
 Voters are lexicons (a stated one, and words and word beginnings mined from labelled training rows, dealt to groups) and
 patterns. A generative label model with a latent class estimates how often each voter fires in either class, and
 how pairs of voters correlate inside a class, by expectation maximisation over counts of vote patterns; known training labels
-anchor it. Its posterior labels train a linear classifier over lexicon hits, which scores every document.
+anchor it. A linear classifier over lexicon hits, which scores every document, learns from the known labels where there are
+any, and from the label model's posterior, at a tenth of the weight, elsewhere.
 """
 
 from __future__ import annotations
@@ -202,7 +203,7 @@ def score_toxicity(
     """``doc_id, held_out, score, predicted`` for every row of ``documents``.
 
     Rows with ``crc32(doc_id) % folds = 0`` teach nothing. Items are mined, and the classifier is fitted, on at most
-    ``sample_rows`` training rows each; the label model counts all training rows. Null and empty texts hit nothing and get the
+    ``sample_rows`` training rows each, labelled ones first; the label model counts all training rows. Null and empty texts hit nothing and get the
     intercept's score. A null id is neither held out nor learned from; an id labelled twice counts by its greatest label;
     repeated rows get equal scores; other columns are ignored; without labels the stated lexicon and the label model remain.
     """
@@ -214,7 +215,7 @@ def score_toxicity(
     patterns = pin(taught.groupBy("votes", "known").agg(F.count("*").alias("n")), "toxicity-votes")
     model = fit_label_model(patterns)
     sample = taught.select("votes", "hits", "known").orderBy(
-        F.xxhash64("doc_id", F.lit(37)), "votes", "hits"
+        F.col("known").isNull(), F.xxhash64("doc_id", F.lit(37)), "votes", "hits"
     ).limit(sample_rows).toPandas()
     y = model.posterior(sample["votes"].to_numpy(dtype=np.int64), sample["known"].to_numpy(dtype=float))
     size = len(LEXICON) + len([m for m in mined if m.decode("utf-8", "replace") not in LEXICON]) + len(PATTERNS)

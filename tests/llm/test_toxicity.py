@@ -68,3 +68,20 @@ def test_label_model_finds_rates_and_correlation(spark):
     assert model.correlation[0, 4] > 0.8 and model.correlation[0, 3] < 0.3
     p = model.posterior(votes, np.full(len(votes), np.nan))
     assert ((p > 0.5) == y).mean() > 0.93
+
+
+def test_sample_takes_labelled_rows_first(documents, labels, monkeypatch):
+    """Few labels among many rows: the bounded sample holds them all before any row without one."""
+    rows, marks = corpus()
+    sparse = [m for m in marks if zlib.crc32(str(m[0]).encode()) % 5][::8]
+    seen, fit = [], toxicity.fit_linear
+
+    def spy(found, y, weight, size):
+        seen.append((y, weight))
+        return fit(found, y, weight, size)
+
+    monkeypatch.setattr(toxicity, "fit_linear", spy)
+    toxicity.score_toxicity(documents(*rows), labels(*sparse), sample_rows=len(sparse) + 5).count()
+    y, weight = seen[0]
+    assert len(y) == len(sparse) + 5 and (weight == 1).sum() == len(sparse)
+    assert sorted(y[weight == 1]) == sorted(float(t) for _, _, t in sparse)
