@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evisift.llm import chat, decontaminate, hmm, mixture, neardup, resample, secrets, toxicity, trees, urls
+from evisift.llm import bpe, chat, decontaminate, hmm, mixture, neardup, resample, secrets, toxicity, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -84,3 +86,15 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_hmm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_texts(_table(spark, sf, "documents"))
+
+
+@query
+def op13_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    file = bpe.VocabularyFile(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    packed = _table(spark, sf, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), bpe.encode(F.col("text"), file, public_tokenizers.PATTERN).alias("ids")
+    ).withColumn("decoded", bpe.decode(F.col("ids"), file, public_tokenizers.PATTERN))
+    return packed.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
