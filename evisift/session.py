@@ -45,17 +45,34 @@ def scratch_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def release_pins(spark: SparkSession) -> None:
-    """Delete all tables that this application pinned; results that still read them must be written before."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_pin_folder(spark))
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one intermediate table of this application."""
+    return f"{_pin_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_pins(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must be written before."""
+    discard(spark, _pin_folder(spark))
+
+
 def _pin_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/evisift/{spark.sparkContext.applicationId}"
 
 
-def pin(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def store(df: DataFrame, path: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back with its schema."""
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, stops several branches from recomputing the
@@ -63,8 +80,4 @@ def pin(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     really is below ``spark.sql.autoBroadcastJoinThreshold``. With ``partition_by`` a later join on that
     column reads only the partitions it meets.
     """
-    spark = df.sparkSession
-    path = f"{_pin_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, scratch_path(df.sparkSession, name), partition_by, compression)
