@@ -16,9 +16,9 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
@@ -26,7 +26,7 @@ NONE = np.int32(2**31 - 1)
 BUCKET_BYTES, LENGTH_STEP, CELLS = 256, 4, 1_000_000
 LINE = 512
 # Pieces that a Python worker remembers, characters of text that it cuts at once.
-KNOWN_PIECES, CUT_CHARS = 300_000, 2_000_000
+KNOWN_PIECES, CUT_CHARS = 200_000, 1_000_000
 
 
 class PairTable:
@@ -74,8 +74,8 @@ class Vocabulary:
 
     @classmethod
     def from_ranks(cls, data: bytes) -> Vocabulary:
-        """Lines of a token in base 64 and its rank, which is also its id; two neighbours merge if together they are a token."""
-        tokens = {int(b): base64.b64decode(a) for a, b in (line.split() for line in data.splitlines() if line)}
+        """Two neighbours merge if together they are a token; a token's rank is its id."""
+        tokens = ranked_tokens(data)
         id_of = {token: number for number, token in tokens.items()}
         pairs = [
             (id_of[token[:k]], id_of[token[k:]], number, number)
@@ -86,13 +86,23 @@ class Vocabulary:
     @classmethod
     def from_merges(cls, data: bytes) -> Vocabulary:
         """A JSON model with a vocabulary and an ordered list of merges, both in the printable form of bytes."""
-        model = json.loads(data)["model"]
-        back = {char: byte for byte, char in printable_bytes().items()}
-        pairs = []
+        model, pairs = json.loads(data)["model"], []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             pairs.append((model["vocab"][a], model["vocab"][b], rank, model["vocab"][a + b]))
-        return cls({number: bytes(map(back.get, token)) for token, number in model["vocab"].items() if set(token) <= set(back)}, pairs, whole=False)
+        return cls(printed_tokens(data), pairs, whole=False)
+
+
+def ranked_tokens(data: bytes) -> dict[int, bytes]:
+    """Tokens by id from lines of a token in base 64 and its rank."""
+    return {int(b): base64.b64decode(a) for a, b in (line.split() for line in data.splitlines() if line)}
+
+
+def printed_tokens(data: bytes) -> dict[int, bytes]:
+    """Tokens by id from a JSON model in the printable form of bytes."""
+    back = {char: byte for byte, char in printable_bytes().items()}
+    vocabulary = json.loads(data)["model"]["vocab"]
+    return {number: bytes(map(back.get, token)) for token, number in vocabulary.items() if set(token) <= set(back)}
 
 
 def printable_bytes() -> dict[int, str]:
@@ -244,7 +254,12 @@ class Codec:
             yield b"".join(map(self.known.__getitem__, found))
 
     def decode(self, ids: bytes | None) -> bytes | None:
-        return None if ids is None else b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return spell(self.vocabulary.tokens, ids)
+
+
+def spell(tokens: dict[int, bytes], ids: bytes | None) -> bytes | None:
+    """The bytes of packed ids."""
+    return None if ids is None else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class VocabularyFile:
@@ -268,6 +283,9 @@ class VocabularyFile:
     def codec(self, pattern: str) -> Codec:
         return _codec(self, pattern)
 
+    def tokens(self) -> dict[int, bytes]:
+        return _tokens(self)
+
 
 @lru_cache(maxsize=2)
 def _codec(file: VocabularyFile, pattern: str) -> Codec:
@@ -275,28 +293,44 @@ def _codec(file: VocabularyFile, pattern: str) -> Codec:
     return Codec(make(file.shared.value), pattern)
 
 
-def encode(text: Column, file: VocabularyFile, pattern: str) -> Column:
-    """The token ids of a text as binary: little-endian unsigned 32-bit integers.
+@lru_cache(maxsize=2)
+def _tokens(file: VocabularyFile) -> dict[int, bytes]:
+    return (printed_tokens if file.kind == "merges" else ranked_tokens)(file.shared.value)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose values in ``column`` have about ``size`` bytes together, one row at least."""
+    ends = np.cumsum([len(value or "") + 1 for value in batch[column].to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield batch.slice(at, end - at)
+        at = end
 
-    Null and empty texts have no tokens; texts of any length are read whole; strings of special tokens are ordinary text.
-    """
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = file.codec(pattern)
-        for texts in batches:
-            yield pd.Series(list(codec.encode(texts.tolist())), dtype=object)
+def _mapped(data: DataFrame, column: str, out: str, kind: str, values) -> DataFrame:
+    """``data`` with ``column`` replaced by a new binary column ``out`` as the last one."""
+    kept = [c for c in data.columns if c not in (column, out)]
 
-    return run(text.cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column, CUT_CHARS):
+                made = pa.array(list(values(part[column].to_pylist())), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), made], [*kept, out])
 
+    typed = data.select(*kept, F.col(column).cast(kind).alias(column))
+    return typed.mapInArrow(run, typed.select(*kept, F.lit(None).cast("binary").alias(out)).schema)
 
-def decode(ids: Column, file: VocabularyFile, pattern: str) -> Column:
-    """The bytes that packed ids stand for; null stays null, an unknown id is an error."""
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = file.codec(pattern)
-        for packed in batches:
-            yield pd.Series([codec.decode(x) for x in packed], dtype=object)
+def encode_texts(data: DataFrame, file: VocabularyFile, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """``data`` with the column ``text`` replaced by its token ids: little-endian unsigned 32-bit integers, packed.
+
+    Null and empty texts have no tokens; texts of any length are read whole; strings of special tokens are ordinary text. All
+    other columns stay, but one named ``out``; rows may repeat; an empty table gives no rows.
+    """
+    return _mapped(data, text, out, "string", lambda texts: file.codec(pattern).encode(texts))
+
 
-    return run(ids)
+def decode_ids(data: DataFrame, file: VocabularyFile, ids: str = "ids", out: str = "bytes") -> DataFrame:
+    """``data`` with packed ``ids`` replaced by the bytes that they stand for; null stays null, an unknown id is an error."""
+    return _mapped(data, ids, out, "binary", lambda packed: (spell(file.tokens(), x) for x in packed))

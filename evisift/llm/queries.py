@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evisift.llm import bpe, chat, decontaminate, hmm, mixture, neardup, resample, secrets, toxicity, trees, urls
+from evisift.llm import alignment, bpe, chat, codebooks, decontaminate, hmm, mixture, neardup, resample, secrets, toxicity, trees, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -91,10 +91,24 @@ def op7_hmm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op13_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     file = bpe.VocabularyFile(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    packed = _table(spark, sf, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"), bpe.encode(F.col("text"), file, public_tokenizers.PATTERN).alias("ids")
-    ).withColumn("decoded", bpe.decode(F.col("ids"), file, public_tokenizers.PATTERN))
-    return packed.select(
-        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    texts = _table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packed = bpe.encode_texts(texts, file, public_tokenizers.PATTERN).select(
+        "doc_id", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+    )
+    return bpe.decode_ids(packed, file).withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("bytes")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes, books, _ = codebooks.compress(_table(spark, sf, "embeddings"))
+    return codebooks.with_label_error(codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256")
+    )
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.score_alignment(
+        _table(spark, sf, "documents"), bpe.VocabularyFile(spark, public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN,
+        alignment.PieceFile(spark, public_tokenizers.path("piece_bpe_32k.model")),
     )

@@ -102,8 +102,11 @@ def test_query_equals_library(spark, documents, library, odd, tmp_path):
 def test_columns_stay_and_empty_table(spark, documents):
     file = bpe.VocabularyFile(spark, RANKS)
     data = documents((1, "one two"), (2, None)).withColumn("ids", F.lit("theirs"))
-    out = data.withColumn("packed", bpe.encode(F.col("text"), file, PATTERN))
-    assert out.columns == [*data.columns, "packed"]
-    assert {r.doc_id: len(r.packed) for r in out.collect()} == {1: 8, 2: 0}
-    assert out.filter("false").withColumn("back", bpe.decode(F.col("packed"), file, PATTERN)).count() == 0
-    assert data.limit(0).withColumn("packed", bpe.encode(F.col("text"), file, PATTERN)).count() == 0
+    out = bpe.encode_texts(data, file, PATTERN)
+    assert out.columns == [*[c for c in data.columns if c not in ("text", "ids")], "ids"]
+    assert {r.doc_id: len(r.ids) for r in out.collect()} == {1: 8, 2: 0}
+    back = bpe.decode_ids(bpe.encode_texts(data, file, PATTERN, out="packed"), file, "packed", "text")
+    assert back.columns == [*[c for c in data.columns if c != "text"], "text"]
+    assert {(r.doc_id, bytes(r.text), r.ids) for r in back.collect()} == {(1, b"one two", "theirs"), (2, b"", "theirs")}
+    assert bpe.decode_ids(data.select("doc_id", F.lit(None).cast("binary").alias("ids")), file).filter("bytes is null").count() == 2
+    assert bpe.decode_ids(bpe.encode_texts(data.limit(0), file, PATTERN), file).count() == 0
