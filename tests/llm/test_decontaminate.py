@@ -10,15 +10,27 @@ ITEMS = [(1, text(901, 20)), (2, text(902, 55)), (3, "Three short words"), (4, t
 
 
 def brute(value, item):
-    """Best similarity over all windows as long as the item."""
+    """``(similarity, first word, words, windows that reach 0.8)`` of the best window, the first of equals. Windows have as many words
+    as the item; a document shorter than the item is its only window."""
     have, want = (value or "").encode().lower().split(), item.encode().lower().split()
-    size = min(5, len(want))
+    size, words_in = min(5, len(want)), min(len(have), len(want))
     grams = lambda w: Counter(tuple(w[i:i + size]) for i in range(len(w) - size + 1))
-    best = 0
-    for at in range(len(have) - len(want) + 1):
-        a, b = grams(have[at:at + len(want)]), grams(want)
-        best = max(best, sum((a & b).values()) / sum((a | b).values()))
-    return best
+    wanted, scores = grams(want), []
+    for at in range(len(have) - words_in + 1):
+        mine = grams(have[at:at + words_in])
+        scores.append(sum((mine & wanted).values()) / sum((mine | wanted).values()))
+    best = max(scores, default=0)
+    return best, scores.index(best) if scores else 0, words_in, sum(s >= 0.8 for s in scores)
+
+
+def leaks_of(rows):
+    """``(document, item, similarity, first word, words, windows)`` of every leak among ``rows``, with repeats."""
+    out = Counter()
+    for doc_id, value in rows:
+        for item, wanted in dict(ITEMS).items():
+            if wanted and (found := brute(value, wanted))[0] >= 0.8:
+                out[(doc_id, item, round(found[0], 9), *found[1:])] += 1
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -40,21 +52,17 @@ def docs():
 
 def test_matches_equal_brute_force(documents, benchmark):
     rows = dc.find_leaks(documents(*docs()), benchmark).collect()
-    got = Counter((r.doc_id, r.item_id, round(r.similarity, 9)) for r in rows)
-    want = Counter()
-    for doc_id, value in docs():
-        for item, wanted in dict(ITEMS).items():
-            if wanted and (score := brute(value, wanted)) >= 0.8:
-                want[(doc_id, item, round(score, 9))] += 1
-    assert got == want
-    assert {d for d, _, _ in got} >= {2, 3, 5, None, 8, 9, 11} and not {1, 4, 6, 7} & {d for d, _, _ in got}
+    got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.window_words, r.n_windows) for r in rows)
+    assert got == leaks_of(docs())
+    found = {key[0] for key in got}
+    assert found >= {2, 3, 5, None, 8, 9, 10, 11} and not {1, 4, 6, 7} & found
 
 
 def test_rows_that_stay(documents, benchmark):
     data = documents(*docs())
     kept = data.filter(dc.is_clean(data["text"], benchmark))
     assert kept.columns == data.columns
-    leaks = {d for d, v in docs() for w in dict(ITEMS).values() if w and brute(v, w) >= 0.8}
+    leaks = {key[0] for key in leaks_of(docs())}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs() if d not in leaks)
 
 
@@ -88,16 +96,9 @@ def test_documents_shorter_than_an_item(documents, benchmark):
     """The whole document is the one window, as long as its words allow."""
     item, long_item = words(901, 20), words(902, 55)
     data = [(20, item[1:]), (21, item[:-3]), (22, item[:-4]), (23, long_item[:50]), (24, long_item[5:30]), (25, item[2:-1] + ["x"]), (26, ["three", "short"]), (27, item[:4])]
-    want = {}
-    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
-    for doc, have in data:
-        for number, wanted in ((1, item), (2, long_item)):
-            a, b = grams(have), grams(wanted)
-            if (score := sum((a & b).values()) / sum((a | b).values())) >= 0.8:
-                want[(doc, number)] = (round(score, 9), 0, len(have), 1)
-    table = documents(*((doc, " ".join(have)) for doc, have in data))
-    rows = dc.find_leaks(table, benchmark).collect()
-    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.window_words, r.n_windows) for r in rows} == want
-    assert {d for d, _ in want} == {20, 21, 23}
+    rows = [(doc, " ".join(have)) for doc, have in data]
+    table = documents(*rows)
+    got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.window_words, r.n_windows) for r in dc.find_leaks(table, benchmark).collect())
+    assert got == leaks_of(rows) and {key[0] for key in got} == {20, 21, 23}
     kept = table.filter(dc.is_clean(table["text"], benchmark)).collect()
     assert {r.doc_id for r in kept} == {22, 24, 25, 26, 27}
