@@ -13,6 +13,8 @@ from evisift.session import pin
 # Size limits of a document and of an evidence pack.
 MAX_DOCUMENT_BLOCKS, MAX_DOCUMENT_CHARS = 10_000, 5_000_000
 MAX_PACK_BLOCKS, MAX_PACK_CHARS = 50_000, 20_000_000
+# Blocks per place of the result that a query's rarest tokens are to propose before its floor is known.
+SEED_BLOCKS = 20
 
 
 def query_tokens(queries: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -23,6 +25,50 @@ def query_tokens(queries: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Da
     return rows, empty
 
 
+def token_index(blocks: DataFrame, wanted: DataFrame, within: Sequence[str]) -> DataFrame:
+    """``(*within, block_id, tokens)``: blocks with those of their tokens that any query has, in a written table.
+
+    A block's tokens are joined with the queries' vocabulary where the block lies; one row per block travels.
+    """
+    vocabulary = pin(wanted.select(*within, "token").distinct(), "query-vocabulary")
+    spread = blocks.select(*within, "block_id", F.explode(tokens(F.col("text"))).alias("token"))
+    return pin(
+        spread.join(vocabulary, [*within, "token"]).groupBy(*within, "block_id").agg(F.collect_set("token").alias("tokens")),
+        "token-index",
+    )
+
+
+def rarest_first(wanted: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Query tokens with ``n_blocks`` that have them and their ``place`` in the query, the rarest first."""
+    frequency = index.select(*[c for c in index.columns if c not in ("block_id", "tokens")], F.explode("tokens").alias("token"))
+    on = frequency.columns
+    counted = wanted.join(frequency.groupBy(*on).agg(F.count("*").alias("n_blocks")), on, "left").fillna(0, ["n_blocks"])
+    order = Window.partitionBy(*keys).orderBy("n_blocks", "token")  # the tokens of one query
+    return counted.withColumns({
+        "place": F.row_number().over(order),
+        "_before": F.coalesce(F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+
+
+def overlaps(index: DataFrame, placed: DataFrame, prefix: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """``(keys, block_id, overlap, n_tokens)`` for every block that holds a token of a query's ``prefix`` rows.
+
+    A block meets a query at the first prefix token that it holds, so a pair is counted once and nothing is grouped. Blocks with
+    fewer wanted tokens than the query's ``floor`` are passed over.
+    """
+    whole = placed.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("_query")
+    )
+    spread = index.select(*within, "block_id", "tokens", F.explode("tokens").alias("token"))
+    met = spread.join(prefix.select(*within, *keys, "token", "place", "n_tokens", "floor"), [*within, "token"]).filter(
+        F.size("tokens") >= F.col("floor")
+    ).join(whole, list(keys))
+    first = ~F.arrays_overlap("tokens", F.slice("_query", F.lit(1), F.col("place") - 1))
+    return met.filter(first).select(
+        *within, *keys, "block_id", "n_tokens", F.size(F.array_intersect("tokens", "_query")).alias("overlap")
+    )
+
+
 def retrieve_topk(
     blocks: DataFrame, queries: DataFrame, keys: Sequence[str], *, top_k: int = 5, within: Sequence[str] = ()
 ) -> DataFrame:
@@ -31,32 +77,40 @@ def retrieve_topk(
     ``queries`` has ``keys`` and ``query``; with ``within=["pack_id"]`` a query only meets blocks of its
     own pack. Score ties rank by block id.
 
-    Blocks are hashed by block id once, as (id, token set). The token join and the count per
-    (block, query) then stay inside that partitioning, because the query side is a written table that the
-    planner broadcasts while it is small; a frequent token is spread over all block partitions. Only
-    the ``top_k`` rows per query and partition travel to the final ranking. When the query table is too
-    large to broadcast the token join shuffles and AQE splits frequent tokens.
+    Two phases over an index of the blocks' query tokens. First a query's rarest tokens, as many as have some blocks for
+    each place, propose blocks; the overlap of the k-th best of them is a floor for the result. A block that reaches a
+    floor of ``f`` out of ``n`` tokens lacks at most ``n - f``, so it holds one of the ``n - f + 1`` rarest: only blocks with one of those
+    are counted, and the frequent tokens propose none. The result is that of a full scan.
     """
     if not 1 <= top_k <= 1000:
         raise ValueError(f"top_k is {top_k}, expected 1 to 1000")
     rows, _ = query_tokens(queries, [*keys, *within])
     wanted = pin(rows, "query-tokens")
-    sets = blocks.select(*within, F.col("block_id"), tokens(F.col("text")).alias("_tokens"))
-    spread = sets.repartition("block_id").select(*within, "block_id", F.explode("_tokens").alias("token"))
-    overlap = (
-        spread.join(wanted, [*within, "token"])
-        .groupBy("block_id", *within, *keys, "n_tokens")
-        .agg(F.count("*").alias("overlap"))
-        .withColumn("score", F.round(F.col("overlap") / F.col("n_tokens"), 6))
+    index = token_index(blocks, wanted, within)
+    placed = pin(rarest_first(wanted, index, keys), "placed-tokens")
+    floors = pin(_floors(index, placed, keys, within, top_k), "floors")
+    prefix = placed.join(floors, list(keys), "left").withColumn("floor", F.coalesce("_floor", F.lit(1))).filter(
+        F.col("place") <= F.col("n_tokens") - F.col("floor") + 1
     )
     best_first = Window.partitionBy(*within, *keys).orderBy(F.col("score").desc(), "block_id")
     return (
-        overlap.withColumn("rank", F.row_number().over(best_first))
+        overlaps(index, placed, pin(prefix, "prefix-tokens"), keys, within)
+        .withColumn("score", F.round(F.col("overlap") / F.col("n_tokens"), 6))
+        .withColumn("rank", F.row_number().over(best_first))
         .filter(F.col("rank") <= top_k)
         .select(*within, *keys, "rank", F.col("block_id").alias("candidate_id"), "score")
     )
 
 
+def _floors(index: DataFrame, placed: DataFrame, keys: Sequence[str], within: Sequence[str], top_k: int) -> DataFrame:
+    """``(keys, _floor)``: the k-th best overlap among the blocks of a query's rarest tokens, for queries with as many blocks."""
+    few = F.col("_before") + F.col("n_blocks") <= SEED_BLOCKS * top_k
+    seeds = pin(placed.filter((F.col("_before") < top_k) | few).withColumn("floor", F.lit(1)), "seed-tokens")
+    best = Window.partitionBy(*keys).orderBy(F.col("overlap").desc())
+    ranked = overlaps(index, placed, seeds, keys, within).withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= top_k)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("overlap").alias("_floor")).filter(F.col("_n") == top_k).drop("_n")
+
+
 def with_block_facts(candidates: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """Bring text, page and source facts to the few winning blocks; the corpus is filtered, not shuffled."""
     winners = pin(candidates, "candidates")
