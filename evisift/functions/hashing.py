@@ -13,9 +13,3 @@ def sha256(value: Column) -> Column:
 def canonical_hash(*fields: Column) -> Column:
     """SHA-256 of the row's fields written as one JSON object, nulls kept."""
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
-
-
-def stable_draw(size: Column, *parts: Column) -> Column:
-    """Repeatable pseudo-random integer in ``[0, size)``, from 60 bits of an MD5 of the parts."""
-    digest = F.md5(F.concat_ws("|", *[part.cast("string") for part in parts]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % size

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.hashing import stable_draw
+from evisift.operators import draws
 from evisift.operators.prefix import MAX_GROUP_ROWS, running_totals, split_large_groups
 from evisift.operators.routing import (
     CRITICAL_FROM,
     MICRO,
-    available_minutes,
     micro_minutes,
     policy_columns,
     policy_key,
@@ -21,10 +23,7 @@ from evisift.operators.routing import (
 from evisift.session import pin
 
 _TOLERANCE = 1e-12
-
-
-# Replicates that one task draws from one copy of a group.
-REPLICATES_PER_TASK = 25
+_SIDES = ("champion", "challenger")
 
 
 def paired_draws(
@@ -33,104 +32,56 @@ def paired_draws(
 ) -> DataFrame:
     """Champion and challenger figures per (group, rep), for groups that fit a task.
 
-    Only the group's rows travel, once per ``REPLICATES_PER_TASK`` replicates. The draws themselves, their
-    two rankings and walks happen in place: a draw is a position, each ranking is sorted once per group, and
-    a replicate sorts the rank numbers of its draws.
+    A group's rows travel once, in narrow columns. All replicates are drawn and walked beside them, as matrices of counts in
+    chunks of bounded size.
     """
     keys = list(group)
-    chunk = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_PER_TASK)))
-    columns = policy_columns((champion, challenger))
-    packed = (
-        items.select(*keys, *columns, chunk.alias("_chunk"))
-        .groupBy(*keys, "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("case_id", F.struct(*columns).alias("x")))).alias("_rows"))
-    )
-
-    def ranking(policy: str) -> Column:
-        """Rows in ranking order, each with its position ``i`` in case-id order."""
-        def keyed(row: Column, i: Column) -> Column:
-            x = row["x"]
-            key = policy_key(policy, row=lambda name: x[name])
-            wrong = F.coalesce(x["error"], F.lit(False))
-            return F.struct(
-                key["sort_key"].alias("sort_key"), key["tie"].alias("tie"), i.alias("i"),
-                # a draw without a gold status weighs nothing: it is dropped inside the replicate
-                F.when(x["error"].isNull(), 0).otherwise(micro_minutes(x["expected_review_minutes"])).cast("bigint").alias("m"),
-                F.when(wrong, x["criticality"]).otherwise(0).cast("bigint").alias("w"),
-                (wrong & (x["criticality"] >= CRITICAL_FROM)).cast("bigint").alias("c"),
-            )
-
-        return F.sort_array(F.transform("_rows", keyed))
-
-    def rank_numbers(name: str) -> Column:
-        """Rank of every position."""
-        placed = F.sort_array(F.transform(name, lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"))))
-        return F.transform(placed, lambda x: x["r"])
-
-    sides = ("champion", "challenger")
-    ranked = packed.select(
-        *keys, "_chunk", F.size("_rows").alias("_n"),
-        *[ranking(p).alias(side) for side, p in zip(sides, (champion, challenger), strict=True)],
-    )
-    ranked = ranked.select("*", *[rank_numbers(side).alias(f"_{side}_rank") for side in sides])
-    first = F.col("_chunk") * REPLICATES_PER_TASK
-    last = F.least(first + REPLICATES_PER_TASK - 1, F.lit(replicates - 1))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda pos: stable_draw(
-            F.col("_n"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), pos
-        ).cast("int"),
+    wrong = F.coalesce("error", F.lit(False))
+    ranks = [policy_key(p)[c].alias(f"{side}_{c}") for side, p in zip(_SIDES, (champion, challenger), strict=True) for c in ("sort_key", "tie")]
+    narrow = items.select(
+        *keys, "case_id", F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]).alias("_label"),
+        # a draw without a gold status weighs nothing: it is dropped inside the replicate
+        F.when(F.col("error").isNull(), 0).otherwise(micro_minutes(F.col("expected_review_minutes"))).cast("bigint").alias("_m"),
+        F.when(wrong, F.col("criticality")).otherwise(0).cast("bigint").alias("_w"),
+        (wrong & (F.col("criticality") >= CRITICAL_FROM)).cast("bigint").alias("_c"), *ranks,
     )
-    reps = ranked.withColumn("rep", F.explode(F.sequence(first, last))).select("*", F.inline(F.array(F.struct(draws.alias("_draws")))))
-    zero = F.lit(0).cast("bigint")
-    sums = ("m", "w", "c")
-    drawn = F.transform(
-        "_draws", lambda d: F.get(F.col("champion"), F.get(F.col("_champion_rank"), d))
-    )
-    total = F.aggregate(
-        drawn, F.struct(*[zero.alias(n) for n in sums]),
-        lambda t, x: F.struct(*[(t[n] + x[n]).alias(n) for n in sums]),
-    )
-    reps = reps.select("*", F.inline(F.array(F.struct(total.alias("_all")))))
-    budget = available_minutes(F.col("_all.m"), F.lit(capacity))
-
-    def walk(side: str) -> Column:
-        ranks = F.sort_array(F.transform("_draws", lambda d: F.get(F.col(f"_{side}_rank"), d)))
-        rows = F.transform(ranks, lambda r: F.get(F.col(side), r))
-        start = F.struct(budget.alias("left"), zero.alias("w"), zero.alias("c"))
-
-        def step(state: Column, x: Column) -> Column:
-            taken = F.struct(
-                (state["left"] - x["m"]).alias("left"), (state["w"] + x["w"]).alias("w"),
-                (state["c"] + x["c"]).alias("c"),
-            )
-            return F.when(x["m"] <= state["left"], taken).otherwise(state)
-
-        return F.aggregate(rows, start, step)
-
-    walks = F.struct(*[walk(side).alias(f"_{side}") for side in sides])
-    ends = reps.select(*keys, "rep", "_all", F.inline(F.array(walks)))
-    figures = []
-    for side in sides:
-        end = F.col(f"_{side}")
-        critical = F.col("_all.c")
-        capture = F.when(critical > 0, F.round(end["c"] / critical, 6)).otherwise(1.0)
-        figures += [
-            (F.col("_all.w") - end["w"]).cast("double").alias(f"{side}_residual_weighted_risk"),
-            capture.alias(f"{side}_critical_error_capture"),
+    figures = [f"{side}_{name}" for side in _SIDES for name in ("residual_weighted_risk", "critical_error_capture")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("case_id", "ascending")], null_placement="at_start"))
+        minutes, weight, critical = (rows[c].to_numpy() for c in ("_m", "_w", "_c"))
+        orders = [
+            pc.sort_indices(rows, sort_keys=[(f"{s}_sort_key", "ascending"), (f"{s}_tie", "ascending")], null_placement="at_start").to_numpy()
+            for s in _SIDES
         ]
-    return ends.select(*keys, "rep", *figures)
+        chunk, parts = max(1, draws.CELLS // len(rows)), []
+        for first in range(0, replicates, chunk):
+            reps = range(first, min(first + chunk, replicates))
+            copies = draws.group_copies(rows["_label"][0].as_py(), reps, len(rows))
+            available = draws.whole_minutes(copies @ minutes, capacity)
+            figure = [np.array(reps, np.int32)]
+            for order in orders:
+                taken = draws.walk(copies[:, order], minutes[order], available)
+                lost, found, all_critical = copies @ weight - taken @ weight[order], taken @ critical[order], copies @ critical
+                figure += [lost.astype(float), np.where(all_critical > 0, found / np.maximum(all_critical, 1), 1.0)]
+            parts.append(figure)
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        named = rows.select(keys).take(pa.array(np.zeros(replicates, np.int64)))
+        return pa.Table.from_arrays([*named.columns, *columns], [*keys, "rep", *figures])
+
+    schema = ", ".join([*[f"`{k}` {dict(items.dtypes)[k]}" for k in keys], "rep int", *[f"{f} double" for f in figures]])
+    out = narrow.groupBy(*keys).applyInArrow(run, schema)
+    return out.withColumns({f: F.round(f, 6) for f in figures if f.endswith("capture")})
 
 
 def resample(
     items: DataFrame, group: Sequence[str], replicates: int, seed: int = 19,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, leaf_rows: int = draws.LEAF_ROWS,
 ) -> DataFrame:
     """Draw each group's rows with replacement, once per replicate: ``rep`` and ``copies``.
 
-    Draw number ``pos`` of a replicate is made on the row that sits at position ``pos`` of the group, so
-    the draws are spread like the rows are. Draws are grouped by the row they hit and meet that row
-    in one exchange on (group, position): a row is drawn about once per replicate, so no key is hot.
+    Rows travel once, to the leaf of their group's tree that holds their position. The leaf finds its share of every replicate's
+    draws from the path to it and hands on one packed array of counts per row, which is opened after it has left Python.
     """
     keys = list(group)
     placed = pin(
@@ -140,19 +91,23 @@ def resample(
         "placed",
     )
     sizes = pin(placed.groupBy(*keys).agg(F.count("*").alias("_size")), "sizes")
-    drawn = (
-        placed.select(*keys, F.col("_idx").alias("_pos"))
-        .join(sizes, keys)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        .select(
-            *keys, "rep",
-            stable_draw(
-                F.col("_size"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("_pos")
-            ).alias("_idx"),
-        )
+    label = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+    columns = items.columns
+    dealt = placed.join(sizes, keys).withColumns({"_label": label, "_leaf": F.expr(f"_idx div {leaf_rows}")})
+
+    def run(rows: pa.Table) -> pa.Table:
+        first = {c: rows[c][0].as_py() for c in ("_label", "_leaf", "_size")}
+        copies = draws.leaf_copies(first["_label"], range(replicates), first["_leaf"], first["_size"], leaf_rows).astype(np.int16)
+        mine = copies[:, rows["_idx"].to_numpy() - first["_leaf"] * leaf_rows]
+        cuts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * replicates)
+        packed = pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(mine.T).ravel()))
+        return pa.Table.from_arrays([*rows.select(columns).columns, packed], [*columns, "_copies"])
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in items.dtypes], "_copies array<smallint>"])
+    counted = dealt.groupBy(*keys, "_leaf").applyInArrow(run, schema)
+    return counted.select(*columns, F.posexplode("_copies").alias("rep", "_n")).filter("_n > 0").select(
+        *columns, "rep", F.col("_n").cast("bigint").alias("copies")
     )
-    copies = drawn.repartition(*keys, "_idx").groupBy(*keys, "_idx", "rep").agg(F.count("*").alias("copies"))
-    return copies.join(placed, [*keys, "_idx"]).drop("_idx")
 
 
 def paired_outcomes(outcomes: DataFrame, on: Sequence[str], champion: str, challenger: str) -> DataFrame:
@@ -174,8 +129,8 @@ def paired_bootstrap(
     """Mean and 95 % interval of (challenger - champion) residual risk, per group.
 
     Draws are made from all cases of a group, and those without a gold status (null ``error``) are dropped inside
-    each replicate. All replicates of all groups run in one job. Groups up to ``max_group_rows`` draw in place; a replicate
-    of a larger group is spread over range parts like any other large group.
+    each replicate. All replicates of all groups run in one job. Groups up to ``max_group_rows`` draw and walk in place;
+    a replicate of a larger group is spread over range parts like any other large group.
     """
     if replicates < min_replicates:
         raise ValueError(f"replicates must be at least {min_replicates}")

@@ -117,8 +117,11 @@ def _no_limit() -> Column:
 
 
 def available_minutes(total: Column, capacity: Column) -> Column:
-    """Whole micro-minutes of a share of ``total``, with 1e-9 minutes of slack."""
-    return F.floor(total.cast("decimal(28,0)") * capacity.cast("decimal(9,6)") + F.expr("0.001BD")).cast("bigint")
+    """Whole micro-minutes of a share of ``total``, with 1e-9 minutes of slack.
+
+    Both factors are decimals whose product is exact; a capacity keeps all digits that a double shows.
+    """
+    return F.floor(total.cast("decimal(19,0)") * capacity.cast("decimal(18,17)") + F.expr("0.001BD")).cast("bigint")
 
 
 def _lanes(totals: DataFrame, capacities: Sequence[float]) -> DataFrame:

@@ -189,16 +189,27 @@ def _policies(source: str, columns: str, names: tuple[str, ...], copies: str = "
     ) + ")"
 
 
+def _mix32(x: str) -> str:
+    """A hash of a 32-bit integer in 64-bit arithmetic."""
+    for shift, factor in ((16, 569420461), (15, 1935289751)):
+        x = f"((xor({x}, {x} >> {shift}) * {factor}) & 4294967295)"
+    return f"xor({x}, {x} >> 15)"
+
+
 def _bootstrap(source: str, keys: str, champion: str, challenger: str, replicates: int = 1000, seed: int = 19) -> str:
     """CTEs ending in ``boot``: the paired bootstrap of ``source`` per ``keys``."""
     cols = [k.strip() for k in keys.split(",")]
-    tagged = " || '|' || ".join(["'%d'" % seed, *cols, "rep::VARCHAR", "idx::VARCHAR"])
+    tagged = " || '|' || ".join(["'%d'" % seed, *cols, "rep::VARCHAR", "'0'"])
     return f"""
 placed_b AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY case_id) - 1 AS idx, count(*) OVER (PARTITION BY {keys}) AS size FROM {source}),
+  SELECT *, {_mix32("idx")} AS mixed FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY case_id) - 1 AS idx, count(*) OVER (PARTITION BY {keys}) AS size FROM {source})),
+bases AS (
+  SELECT {keys}, rep, CAST('0x' || substr(md5({tagged}), 1, 8) AS BIGINT) AS base
+  FROM (SELECT DISTINCT {keys} FROM {source}), (SELECT unnest(range({replicates})) AS rep)),
 draws AS (
-  SELECT {keys}, rep, CAST('0x' || substr(md5({tagged}), 1, 15) AS BIGINT) % size AS hit
-  FROM placed_b, (SELECT unnest(range({replicates})) AS rep)),
+  SELECT {keys}, rep, ({_mix32("x")} * size) >> 32 AS hit
+  FROM (SELECT {keys}, rep, size, xor(mixed, base) AS x FROM placed_b JOIN bases USING ({keys}))),
 drawn AS (SELECT {keys}, rep, hit, count(*) AS copies FROM draws GROUP BY ALL),
 sampled AS (
   SELECT p.*, d.rep, d.copies FROM drawn d JOIN placed_b p ON {" AND ".join(f"d.{c} = p.{c}" for c in cols)} AND d.hit = p.idx WHERE p.error IS NOT NULL),
