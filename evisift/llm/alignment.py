@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -30,33 +31,29 @@ KNOWN_CHUNKS = 200_000
 _CHUNK = re.compile(r" +[^ ]+(?: +\Z)?")
 
 
-def one_to_one(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends agree from ``a[i]`` and ``b[j]`` on, at the shift ``j - i``."""
-    n, width = 0, 1
-    while (part := a[i + n:i + n + width]) and part == b[j + n:j + n + width]:
-        n += width
-        width *= 2
-    while width > 1:
-        width //= 2
-        part = a[i + n:i + n + width]
-        if len(part) == width and part == b[j + n:j + n + width]:
-            n += width
-    return min(n, len(a) - i)
-
-
-def align(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
+def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, list[int], list[int]]]:
     """``(i, j, tokens of a, tokens of b, links of a, links of b)`` for each run of one-to-one groups and each irregular group.
 
-    ``a`` and ``b`` are strictly ascending ends with the same last value. Links are pairs of tokens that overlap, as indices.
+    ``a`` and ``b`` are strictly ascending ends with the same last value. The links of an irregular group are its pairs of tokens
+    that overlap, as indices; those of a run, which are its groups, are not listed.
     """
+    out, none, end = [], [], len(a)
     i = j = 0
-    while i < len(a):
-        if n := one_to_one(a, b, i, j):
-            yield i, j, n, n, range(i, i + n), range(j, j + n)
+    while i < end:
+        if (x := a[i]) == (y := b[j]):
+            n, width = 1, 1
+            while (part := a[i + n:i + n + width]) and part == b[j + n:j + n + width]:
+                n += len(part)
+                width *= 2
+            while width > 1:
+                width //= 2
+                part = a[i + n:i + n + width]
+                if part and part == b[j + n:j + n + width]:
+                    n += len(part)
+            out.append((i, j, n, n, none, none))
             i, j = i + n, j + n
             continue
-        x, y, k, m = a[i], b[j], i, j
-        left, right = [i], [j]
+        k, m, left, right = i, j, [i], [j]
         while x != y:
             if x < y:
                 k += 1
@@ -66,8 +63,9 @@ def align(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, list
                 y = b[m]
             left.append(k)
             right.append(m)
-        yield i, j, k + 1 - i, m + 1 - j, left, right
+        out.append((i, j, k + 1 - i, m + 1 - j, left, right))
         i, j = k + 1, m + 1
+    return out
 
 
 class PieceModel:
@@ -80,29 +78,26 @@ class PieceModel:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, bytes | None] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > KNOWN_CHUNKS:
-            self.known.clear()
-        # the model puts the first space back
-        for chunk, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            same = b"".join(map(self.bytes.__getitem__, ids)) == chunk.encode("utf-8", "surrogatepass")
-            self.known[chunk] = np.array(ids, "<u4").tobytes() if same else None
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Packed ids of each non-empty text, None where their bytes are not a space and the text."""
-        chunked = [(_CHUNK.findall(" " + t) if self.cuts else None) or [" " + t] for t in texts]
-        for at in range(0, len(chunked), 256):
-            part = chunked[at:at + 256]
-            new = set().union(*part)
+        out = []
+        for at in range(0, len(texts), 256):
+            spaced = [" " + t for t in texts[at:at + 256]]
+            cut = [(_CHUNK.findall(t) if self.cuts else None) or [t] for t in spaced]
+            new = set().union(*cut)
             if len(self.known) + len(new) > KNOWN_CHUNKS:
                 self.known.clear()
-            self._learn(list(new - self.known.keys()))
-            for k, chunks in enumerate(part, at):
-                found = list(map(self.known.__getitem__, chunks))
-                chunked[k] = None if None in found else b"".join(found)
-        return chunked
+            new = list(new - self.known.keys())
+            # the model puts the first space back
+            ids = self.model.encode([c[1:] for c in new], num_threads=1)
+            self.known.update(zip(new, ids, strict=True))
+            for text, chunks in zip(spaced, cut, strict=True):
+                ids = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+                same = b"".join(map(self.bytes.__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
+                out.append(np.array(ids, "<u4").tobytes() if same else None)
+        return out
 
 
 class PieceFile:
@@ -150,18 +145,21 @@ class Aligner:
 
     def _row(self, a_packed: bytes, b_packed: bytes) -> tuple[int, int, int, int, str, bytes, bytes]:
         a, b = np.frombuffer(a_packed, "<u4"), np.frombuffer(b_packed, "<u4")
-        a_names, b_names = list(map(self.a_names.__getitem__, a.tolist())), list(map(self.b_names.__getitem__, b.tolist()))
+        a_ids, b_ids = a.tolist(), b.tolist()
+        a_names, b_names = list(map(self.a_names.__getitem__, a_ids)), list(map(self.b_names.__getitem__, b_ids))
         groups, left, right, n_groups = [], [], [], 0
         for i, j, n, m, links_a, links_b in align(np.cumsum(self.a_bytes[a]).tolist(), np.cumsum(self.b_bytes[b]).tolist()):
-            left += links_a
-            right += links_b
-            if n == m == len(links_a):
-                groups += map("|".join, zip(a_names[i:i + n], b_names[j:j + n], strict=True))
-                n_groups += n
-            else:
-                groups.append(",".join(a_names[i:i + n]) + "|" + ",".join(b_names[j:j + m]))
+            if links_a:
+                left += [a_ids[k] for k in links_a]
+                right += [b_ids[k] for k in links_b]
+                groups.append(f"{','.join(a_names[i:i + n])}|{','.join(b_names[j:j + m])}")
                 n_groups += 1
-        pairs, times = np.unique(a[left] << np.uint32(16) | b[right], return_counts=True)
+            else:
+                left += a_ids[i:i + n]
+                right += b_ids[j:j + n]
+                groups += [f"{x}|{y}" for x, y in zip(a_names[i:i + n], b_names[j:j + n], strict=True)]
+                n_groups += n
+        pairs, times = np.unique(np.array(left, np.uint32) << np.uint32(16) | np.array(right, np.uint32), return_counts=True)
         return len(a), len(b), n_groups, len(left), ";".join(groups), pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes()
 
 

@@ -112,10 +112,10 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-def merge_rows(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The tokens of every row of a matrix of single-byte ids, which is padded on the right."""
+def merge_rows(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> list[bytes]:
+    """The packed tokens of every row of a matrix of single-byte ids, which is padded on the right."""
     n, width = ids.shape
-    out: list[np.ndarray] = [None] * n
+    out: list[bytes] = [b""] * n
     number, lengths = np.arange(n), lengths.copy()
     ranks = np.full((n, max(width - 1, 0)), NONE, np.int32)
     inside = np.arange(width - 1) < lengths[:, None] - 1
@@ -124,8 +124,10 @@ def merge_rows(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) ->
         at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(ids), np.int64)
         least = ranks[np.arange(len(ids)), at] if ranks.shape[1] else np.full(len(ids), NONE)
         live = least < NONE
-        for row in np.flatnonzero(~live):
-            out[number[row]] = ids[row, :lengths[row]].copy()
+        if not live.all():
+            raw, size = ids[~live].astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, (place, n_tokens) in enumerate(zip(number[~live].tolist(), lengths[~live].tolist(), strict=True)):
+                out[place] = raw[k * size:k * size + 4 * n_tokens]
         if not live.any():
             return out
         if not live.all():
@@ -145,8 +147,8 @@ def merge_rows(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) ->
         ranks[last, at[last]] = NONE
 
 
-def merge_long(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The tokens of one long row: ranks in lines of ``LINE``, whose least values lead to the leftmost least pair."""
+def merge_long(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """The packed tokens of one long row: ranks in lines of ``LINE``, whose least values lead to the leftmost least pair."""
     n = len(ids)
     ids, ahead, back = ids.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
     flat = np.full(-(-n // LINE) * LINE, NONE, np.int32)
@@ -157,7 +159,7 @@ def merge_long(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         line = int(least.argmin())
         rank = least[line]
         if rank == NONE:
-            return ids[alive]
+            return ids[alive].astype("<u4").tobytes()
         here = line * LINE + int(lines[line].argmin())
         gone = int(ahead[here])
         ids[here], alive[gone], flat[gone] = vocabulary.made[rank], False, NONE
@@ -176,13 +178,13 @@ def merge_long(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
             least[touched] = lines[touched].min()
 
 
-def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The token ids of each non-empty piece."""
-    out: list[np.ndarray] = [None] * len(pieces)
+def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """The packed token ids of each non-empty piece."""
+    out: list[bytes] = [b""] * len(pieces)
     buckets: dict[int, list[int]] = {}
     for k, piece in enumerate(pieces):
         if vocabulary.whole and piece in vocabulary.id_of:
-            out[k] = np.array([vocabulary.id_of[piece]], np.int32)
+            out[k] = vocabulary.id_of[piece].to_bytes(4, "little")
         elif len(piece) > BUCKET_BYTES:
             out[k] = merge_long(vocabulary.single[np.frombuffer(piece, np.uint8)], vocabulary)
         else:
@@ -224,8 +226,8 @@ class Codec:
         if len(self.known) + len(new - self.known.keys()) > KNOWN_PIECES:
             self.known.clear()
         new = list(new - self.known.keys())
-        ids = merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in new], self.vocabulary)
-        self.known.update(zip(new, [x.astype("<u4").tobytes() for x in ids], strict=True))
+        packed = merge_pieces([piece.encode("utf-8", "surrogatepass") for piece in new], self.vocabulary)
+        self.known.update(zip(new, packed, strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in order, packed as little-endian unsigned 32-bit integers; null is an empty text."""

@@ -98,8 +98,8 @@ def test_walk_equals_brute_force(parts):
     b.append(at)
     groups, links = [], []
     for i, j, n, m, left, right in alignment.align(a, b):
-        links += zip(left, right, strict=True)
-        groups += [(i + k, i + k + 1, j + k, j + k + 1) for k in range(n)] if n == m == len(left) else [(i, i + n, j, j + m)]
+        links += zip(left, right, strict=True) if left else zip(range(i, i + n), range(j, j + n), strict=True)
+        groups += [(i, i + n, j, j + m)] if left else [(i + k, i + k + 1, j + k, j + k + 1) for k in range(n)]
     assert links == brute_links(a, b) and groups == brute_groups(a, b)
 
 
