@@ -8,12 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisift.operators.features import FEATURES
+from evisift.operators.isotonic import apply_isotonic, fit_isotonic
 from evisift.operators.metrics import probability_metrics
 from evisift.operators.qualify import paired_bootstrap, promotion_gate
 from evisift.operators.routing import route
@@ -64,24 +64,6 @@ def raw_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return scored.drop("vector", "rawPrediction", "probability", "prediction")
 
 
-def fit_calibrator(rows: DataFrame, score: str):
-    """Isotonic fit of the label on a score. Predictions interpolate and clip outside the fitted range.
-
-    Rows of one score are merged to their mean label and count first, which leaves the solution as it is. MLlib pools
-    neighbours inside each partition and ends on the driver with the pooled points.
-    """
-    data = rows.groupBy(F.col(score).alias("feature")).agg(
-        F.avg(F.col("upstream_error").cast("double")).alias("label"),
-        F.count("*").cast("double").alias("weight"),
-    )
-    return IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight").fit(data)
-
-
-def calibrate(model, rows: DataFrame, score: str, out: str) -> DataFrame:
-    shaped = rows.withColumn("feature", F.col(score))
-    return model.transform(shaped).withColumnRenamed("prediction", out).drop("feature")
-
-
 def calibrated_scores(
     features: DataFrame, *, train: Sequence, calibration: Sequence, heldout: Sequence,
     max_iter: int = 260, seed: int = 701,
@@ -90,11 +72,10 @@ def calibrated_scores(
     parts = group_split(pin(features, "features"), train, calibration, heldout)
     model = fit_risk_model(parts["train"], max_iter=max_iter, seed=seed)
     calibration_rows = pin(raw_scores(model, parts["calibration"]), "calibration")
-    base = fit_calibrator(calibration_rows, "frozen_risk_score")
-    cand = fit_calibrator(calibration_rows, "candidate_raw")
-    scored = raw_scores(model, parts["heldout"])
-    scored = calibrate(base, scored, "frozen_risk_score", "baseline")
-    return calibrate(cand, scored, "candidate_raw", "candidate")
+    scored = pin(raw_scores(model, parts["heldout"]), "heldout")
+    for score, out in (("frozen_risk_score", "baseline"), ("candidate_raw", "candidate")):
+        scored = apply_isotonic(fit_isotonic(calibration_rows, score, "upstream_error"), scored, score, out)
+    return scored
 
 
 def prediction_export(scored: DataFrame) -> DataFrame:

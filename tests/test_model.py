@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.operators import model
+from evisift.operators import isotonic, model
 from evisift.operators.features import FEATURES
 from evisift.plans import queries
 
@@ -28,7 +28,7 @@ def test_fit_is_repeatable_and_calibration_monotone(spark, rows):
     two = model.fit_risk_model(rows.orderBy(F.rand(3)), max_iter=3)
     assert one.stages[-1].toDebugString.split("\n")[1:] == two.stages[-1].toDebugString.split("\n")[1:]
     scored = model.raw_scores(one, rows)
-    calibrator = model.fit_calibrator(scored, "candidate_raw")
-    out = model.calibrate(calibrator, scored, "candidate_raw", "candidate").select("candidate_raw", "candidate").collect()
+    steps = isotonic.fit_isotonic(scored, "candidate_raw", "upstream_error")
+    out = isotonic.apply_isotonic(steps, scored, "candidate_raw", "candidate").select("candidate_raw", "candidate").collect()
     ordered = [r["candidate"] for r in sorted(out, key=lambda r: r["candidate_raw"])]
     assert ordered == sorted(ordered) and all(0.0 <= p <= 1.0 for p in ordered)
