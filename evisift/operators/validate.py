@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evisift.functions.geometry import bbox_is_valid
 from evisift.functions.paths import is_traversal
 from evisift.schemas import (
-    MAX_EVIDENCE_PER_CASE,
     MAX_TEXT_CHARS,
     POLARITIES,
     SHA256_PATTERN,
@@ -95,13 +94,6 @@ def duplicate_evidence(evidence: DataFrame) -> DataFrame:
     )
 
 
-def oversized_cases(evidence: DataFrame) -> DataFrame:
-    return (
-        evidence.groupBy("case_id").agg(F.count("*").alias("n_rows"))
-        .filter(F.col("n_rows") > MAX_EVIDENCE_PER_CASE)
-    )
-
-
 def supersession_refs(evidence: DataFrame) -> DataFrame:
     """Links that point at themselves, at nothing in the same case, or at another slot."""
     links = evidence.filter("supersedes is not null").select("case_id", "evidence_id", "slot", "supersedes")

@@ -724,3 +724,71 @@ ORACLES: dict[str, str] = {
     "retention": f"""WITH {_REQUESTS} SELECT idempotency_key, body_hash FROM firsts WHERE ts >= (SELECT max(ts) FROM firsts) - INTERVAL 20 DAY
         ORDER BY ts DESC, idempotency_key DESC LIMIT 500""",
 }
+
+_LARGE = "SELECT l_orderkey, (sum(l_quantity) > 110)::INT AS large FROM lineitem GROUP BY 1"
+_SPECS = """specs AS (
+  SELECT (doc_id // 100)::INT AS pack, doc_id, 'doc-' || CASE WHEN (doc_id // 100) % 7 = 3 THEN doc_id - doc_id % 2 ELSE doc_id END AS document_id,
+    ((doc_id // 100) % 5 = 1 AND doc_id % 100 = 50) AS unsafe FROM documents)"""
+
+ORACLES |= {
+    "group_split": f"""WITH q AS ({_LARGE}), o AS (
+          SELECT o_orderkey % 16 AS grp, large FROM orders JOIN customer ON o_custkey = c_custkey JOIN q ON l_orderkey = o_orderkey WHERE o_orderkey % 97 <> 0)
+        SELECT CASE WHEN grp < 10 THEN 'train' WHEN grp < 13 THEN 'calibration' ELSE 'heldout' END AS "partition", count(*) AS n_rows,
+          count(DISTINCT grp) AS n_groups, round(avg(large), 6) AS error_rate FROM o GROUP BY 1""",
+    # the fitted value is the greatest over all starts of the least over all ends of the mean between them
+    "isotonic_steps": f"""WITH q AS ({_LARGE}), p AS (
+          SELECT floor(o_totalprice / 1000) AS x, count(*) AS w, sum(large) AS s FROM orders JOIN q ON l_orderkey = o_orderkey GROUP BY 1),
+        c AS (SELECT *, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM p),
+        ends AS (SELECT j.x AS jx, k.x AS kx, (k.cs - j.cs + j.s) / (k.cw - j.cw + j.w)::DOUBLE AS mean FROM c j JOIN c k ON k.x >= j.x),
+        least AS (SELECT jx, kx, min(mean) OVER (PARTITION BY jx ORDER BY kx DESC) AS low FROM ends),
+        fit AS (SELECT c.x, c.w, max(low) AS value FROM c JOIN least ON kx = c.x GROUP BY c.x, c.w)
+        SELECT min(x) AS lo, max(x) AS hi, value, sum(w)::BIGINT AS weight FROM fit GROUP BY value""",
+    "document_manifests": f"""WITH {_SPECS}, p AS (
+          SELECT pack, CASE WHEN pack % 11 = 9 THEN 'malformed' WHEN count(*) > 128 THEN 'bad_document_count' WHEN bool_or(unsafe) THEN 'constraint'
+            WHEN count(DISTINCT document_id) < count(*) THEN 'duplicate_document_id' END AS reason FROM specs GROUP BY pack)
+        SELECT pack, document_id, NULL::VARCHAR AS reason FROM specs JOIN p USING (pack) WHERE reason IS NULL
+        UNION ALL SELECT pack, NULL, reason FROM p WHERE reason IS NOT NULL""",
+    "duplicate_documents": f"WITH {_SPECS} SELECT document_id, count(*) AS n_rows FROM specs GROUP BY 1 HAVING count(*) > 1",
+    "slot_queries": """WITH q AS (SELECT 'pack-case-' || (item_id // 3) AS case_id,
+            list_distinct(list(['design', 'implementation', 'operating'][item_id % 3 + 1])) AS have FROM benchmark GROUP BY 1),
+        f AS (SELECT case_id, array_to_string(list_sort(list_filter(['design', 'implementation', 'operating'], lambda x: NOT list_contains(have, x))), ',') AS without_query,
+            CASE WHEN substr(md5(case_id), 1, 1) < '4' THEN 'exception' ELSE '' END AS not_required FROM q)
+        SELECT * FROM f WHERE without_query <> '' OR not_required <> ''""",
+    "form_profile": """SELECT count(DISTINCT conv_id % 499) AS annotation_files, count(*) AS entities, sum(turn + 1)::BIGINT AS relations FROM conversations""",
+    "shard_summary": """WITH c AS (SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns FROM duckdb_columns()
+          WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages',
+            'benchmark', 'labels', 'conversations') GROUP BY 1)
+        SELECT count(*) AS shard_count, """ + " + ".join(
+        f"(SELECT count(*) FROM {t})" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                                                "embeddings", "pages", "benchmark", "labels", "conversations")
+    ) + """ AS rows, count(DISTINCT columns) AS schema_count FROM c""",
+    "manifest_files": """WITH f AS (SELECT (doc_id % 64)::INT AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)
+        SELECT 'texts' AS run_id, part, octet_length(encode(body))::BIGINT AS bytes, sha256(body) AS sha256, length(body) AS n_chars, true AS same FROM f""",
+    "run_store": """WITH o AS (SELECT o_orderstatus AS run_id, count(*) AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total FROM orders GROUP BY 1)
+        SELECT run_id, n AS n_rows, n AS n_orders, total, n + 1 AS n_artifacts, true AS consistent,
+          sha256('{"capacity": 0.2, "status": "' || run_id || '"}') AS config_hash, CASE WHEN run_id = 'P' THEN 'conflict' ELSE 'no_op' END AS verdict FROM o""",
+    "invalid_paths": r"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://[^/]+/', '') AS path FROM pages WHERE url IS NOT NULL),
+        parts AS (SELECT path, unnest(list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x NOT IN ('', '.'))) AS part FROM p)
+        SELECT DISTINCT path FROM parts WHERE regexp_matches(part, '[ .]$|[<>:"|?*]')
+          OR lower(string_split(part, '.')[1]) IN ('con', 'prn', 'aux', 'nul', 'com1', 'com2', 'com3', 'com4', 'com5', 'com6', 'com7', 'com8', 'com9',
+            'lpt1', 'lpt2', 'lpt3', 'lpt4', 'lpt5', 'lpt6', 'lpt7', 'lpt8', 'lpt9')""",
+    # all lots of a class, halved as binary numbers, fold into the best value of every exact weight in tenths of a minute
+    "knapsack_bound": f"""WITH RECURSIVE {GOLD}, t AS (
+          SELECT queue, sum(minutes) AS total, sum(CASE WHEN error THEN criticality ELSE 0 END)::BIGINT AS weight FROM items GROUP BY queue),
+        cls AS (SELECT queue, criticality AS v, greatest(1, round(minutes * 10))::BIGINT AS w, count(*) AS n FROM items WHERE error GROUP BY ALL),
+        unit AS (SELECT queue, list_reduce(list(w), lambda a, b: gcd(a, b)) AS u FROM cls GROUP BY queue),
+        sized AS (SELECT t.*, u, (round(total * 0.3 * 10)::BIGINT // u) AS room FROM t JOIN unit USING (queue)),
+        lots AS (SELECT queue, row_number() OVER (PARTITION BY queue ORDER BY v, w, b) AS k, least(1 << b, n + 1 - (1 << b)) AS take, v, w
+          FROM cls, (SELECT unnest(range(0, 40)) AS b) WHERE n + 1 - (1 << b) > 0),
+        dp AS (
+          SELECT queue, 0::BIGINT AS k, list_transform(range(0, room + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE -1000000000000 END)::BIGINT[] AS best FROM sized
+          UNION ALL
+          SELECT d.queue, l.k, list_transform(range(0, len(d.best)), lambda i: greatest(d.best[i + 1],
+            CASE WHEN i >= l.take * l.w // z.u THEN d.best[i + 1 - l.take * l.w // z.u] + l.take * l.v ELSE -1000000000000 END))::BIGINT[]
+          FROM dp d JOIN lots l ON l.queue = d.queue AND l.k = d.k + 1 JOIN sized z ON z.queue = d.queue),
+        last AS (SELECT queue, best FROM dp JOIN (SELECT queue, max(k) AS k FROM lots GROUP BY queue) USING (queue, k)),
+        asked AS (SELECT l.queue, capacity, list_slice(best, 1, (round(total * capacity * 10)::BIGINT // u) + 1) AS b, u, weight
+          FROM last l JOIN sized USING (queue), (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS capacity))
+        SELECT queue, capacity, list_max(b)::DOUBLE AS captured_weight, (list_position(b, list_max(b)) - 1) * u / 10.0 AS used_minutes,
+          (weight - list_max(b))::DOUBLE AS residual_weighted_risk FROM asked""",
+}

@@ -11,12 +11,12 @@ from evisift.functions.geometry import bbox_is_valid, normalise_bbox
 from evisift.functions.hashing import canonical_hash, sha256
 from evisift.functions.paths import is_portable, is_traversal, is_windows_invalid, posix_path
 from evisift.functions.text import collapse_spaces, has_injection_marker, security_text, tokens
-from evisift.operators import artifacts, assess, features, knapsack, metrics, model, qualify, retrieve
+from evisift.operators import artifacts, assess, features, isotonic, knapsack, metrics, model, qualify, retrieve
 from evisift.operators import routing, validate
 from evisift.plans import tables
-from evisift.session import pin, scratch_root
+from evisift.session import pin, scratch_path, scratch_root
 from evisift.sources import documents as docs
-from evisift.sources import verifier
+from evisift.sources import sinks, verifier
 from evisift.sources.cases import parse_cases
 from evisift.streaming import intake
 
@@ -559,6 +559,30 @@ def model_comparison(spark, sf):
     return model.compare_routers(_calibrated(spark, sf), capacity=CAPACITY, candidate_p95_ms=p95)
 
 
+@query
+def group_split(spark, sf):
+    """Rows and mean outcome of the train, calibration and held-out partitions."""
+    parts = model.group_split(pin(_model_features(spark, sf), "split"), TRAIN_GROUPS, CALIBRATION_GROUPS, HELDOUT_GROUPS)
+    out = None
+    for name, rows in parts.items():
+        part = rows.agg(
+            F.lit(name).alias("partition"), F.count("*").alias("n_rows"), F.count_distinct("grp").alias("n_groups"),
+            F.round(F.avg("upstream_error"), 6).alias("error_rate"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def isotonic_steps(spark, sf):
+    """How likely an order is large, by its price in thousands: the fitted steps over all orders."""
+    large = tables.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        (F.sum("l_quantity") > LARGE_ORDER).cast("int").alias("large")
+    )
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("price"))
+    return isotonic.fit_isotonic(orders.join(large, "o_orderkey"), "price", "large")
+
+
 # ---------------------------------------------------------------------------------------------
 # documents and retrieval
 
@@ -673,6 +697,70 @@ def text_blocks(spark, sf):
     return docs.text_blocks(files).select("block_id", F.length("text").alias("n_chars"))
 
 
+def _manifest_specs(spark, sf):
+    """Documents as manifest entries, a hundred to a pack; some entries and some packs break a rule."""
+    number = F.col("doc_id")
+    pack = F.floor(number / 100).cast("int")
+    name = F.concat(F.lit("doc-"), F.when(pack % 7 == 3, number - number % 2).otherwise(number).cast("string"))
+    path = F.concat(F.when((pack % 5 == 1) & (number % 100 == 50), "../").otherwise("docs/"), "source", F.lit("/"), number.cast("string"))
+    return tables.table(spark, sf, "documents").select(
+        pack.alias("pack"), number.alias("doc_id"), name.alias("document_id"), path.alias("source_path"), F.sha2("text", 256).alias("sha256"),
+        F.lit("text").alias("document_type"), F.lit("payments-prod").alias("system"), F.lit("us-east-1").alias("region"),
+        (number % 500).cast("int").alias("age_days"),
+    )
+
+
+@query
+def document_manifests(spark, sf):
+    """Manifests written as JSON files, one to a pack, and read back: accepted documents and refused packs with their reason."""
+    specs = _manifest_specs(spark, sf)
+    entry = F.struct("document_id", "source_path", "sha256", "document_type", "system", "region", "age_days")
+    listed = specs.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry")))).alias("rows"))
+    text = F.to_json(F.struct(F.transform("rows", lambda r: r["entry"]).alias("documents")))
+    cut = F.when(F.col("pack") % 11 == 9, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    folder = scratch_path(spark, "manifests")
+    listed.select("pack", text.alias("value")).select("pack", cut.alias("value")).write.partitionBy("pack").text(folder)
+    good, bad = docs.load_manifests(spark, f"{folder}/pack=*")
+    pack = F.regexp_extract("pack_id", "pack=([0-9]+)", 1).cast("int").alias("pack")
+    return good.select(pack, "document_id", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(pack, F.lit(None).cast("string").alias("document_id"), "reason")
+    )
+
+
+@query
+def duplicate_documents(spark, sf):
+    """Document ids that a manifest lists more than once."""
+    return retrieve.duplicate_documents(_manifest_specs(spark, sf))
+
+
+@query
+def slot_queries(spark, sf):
+    """Cases whose queries don't cover exactly the slots they require."""
+    cases = _slot_queries(spark, sf).groupBy("case_id").agg(F.sort_array(F.collect_set("slot")).alias("query_slots"))
+    extra = F.when(F.substring(F.md5("case_id"), 1, 1) < "4", F.array(F.lit("exception"))).otherwise(F.array().cast("array<string>"))
+    required = cases.select(
+        "case_id", F.concat("query_slots", extra).alias("query_slots"), F.array(*[F.lit(x) for x in tables.REQUIRED_SLOTS]).alias("required_slots")
+    )
+    found = retrieve.slot_query_mismatch(required)
+    return found.select("case_id", _joined("without_query", "without_query"), _joined("not_required", "not_required"))
+
+
+@query
+def form_profile(spark, sf):
+    """Conversations as form annotations, sixteen to a file: entities are turns, and a turn links back to those before it."""
+    file = (F.col("conv_id") % 499).cast("int")
+    turns = tables.table(spark, sf, "conversations").select(
+        file.alias("file"), "conv_id", "turn",
+        F.transform(F.sequence(F.lit(1), F.col("turn").cast("int") + 1), lambda k: F.array(k, F.col("turn").cast("int"))).alias("linking"),
+    )
+    form = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "linking"))), lambda r: F.struct(r["linking"].alias("linking")))
+    folder = scratch_path(spark, "forms")
+    files = turns.groupBy("file").agg(F.to_json(F.struct(form.alias("form"))).alias("value"))
+    files.select("value", "file").write.partitionBy("file").option("compression", "none").text(f"{folder}/annotations")
+    # Spark's text files are read as what they hold
+    return docs.profile_forms(spark, folder, suffix="")
+
+
 @query
 def unknown_documents(spark, sf):
     """Documents with blocks that the labelled manifest does not list."""
@@ -721,6 +809,11 @@ def shard_profile(spark, sf):
     return docs.profile_shards(spark, sf).select("shard", "rows")
 
 
+@query
+def shard_summary(spark, sf):
+    return docs.shard_summary(docs.profile_shards(spark, sf))
+
+
 # ---------------------------------------------------------------------------------------------
 # artifacts
 
@@ -909,6 +1002,54 @@ def run_manifest(spark, sf):
     return docs.run_manifest(spark, sf, "supplied")
 
 
+@query
+def manifest_files(spark, sf):
+    """Documents written as 64 text files, then listed, hashed, and read whole: what is hashed is what is read."""
+    texts = tables.table(spark, sf, "documents").select((F.col("doc_id") % 64).cast("int").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    folder = scratch_path(spark, "texts")
+    texts.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
+    part = lambda c: F.regexp_extract(c, "part=([0-9]+)/", 1).cast("int").alias("part")
+    listed = docs.run_manifest(spark, folder, "texts").filter(F.col("path").contains("part=")).select("run_id", part("path"), "bytes", "sha256")
+    read = docs.read_texts(spark, f"{folder}/part=*").select(part("path"), F.length("raw").cast("bigint").alias("n_chars"), F.sha2("raw", 256).alias("_sha"))
+    return listed.join(read, "part").select("run_id", "part", "bytes", "sha256", "n_chars", (F.col("sha256") == F.col("_sha")).alias("same"))
+
+
+@query
+def run_store(spark, sf):
+    """Runs written through the sink, found again by their folders, checked for one identity, and offered for publication once more.
+
+    Each order status is a run; when it is published again, pending orders have changed.
+    """
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    folder = scratch_path(spark, "runs")
+    for status in ("F", "O", "P"):
+        own = orders.filter(F.col("o_orderstatus") == status)
+        summary = own.agg(F.count("*").alias("n_orders"), F.sum("price").alias("total"))
+        sinks.write_run({"orders": own.drop("o_orderstatus"), "summary": summary}, folder, status, {"capacity": CAPACITY, "status": status})
+    stored = sinks.read_run(spark, folder, "orders")
+    entry = lambda df, price: df.select(
+        "run_id", F.col("o_orderkey").cast("string").alias("path"), F.lit(1).cast("bigint").alias("bytes"), F.sha2(price.cast("string"), 256).alias("sha256")
+    )
+    again = F.when(F.col("o_orderstatus") == "P", F.col("price") + 1).otherwise(F.col("price")).cast("decimal(18,2)")
+    verdict = artifacts.republish_verdict(entry(stored, F.col("price")), entry(orders.withColumn("run_id", F.col("o_orderstatus")), again))
+    totals = stored.groupBy("run_id").agg(F.count("*").alias("n_rows"), F.sum("price").cast("double").alias("total"))
+    identity = artifacts.run_identity(
+        stored.select("run_id", "project_version", "config_hash").unionByName(
+            sinks.read_run(spark, folder, "summary").select("run_id", "project_version", "config_hash")
+        ).withColumns({"gate_status": F.lit("PASS"), "release_passed": F.lit(True)})
+    )
+    hashes = sinks.read_run(spark, folder, "summary").select("run_id", "config_hash", "n_orders")
+    return totals.join(identity.select("run_id", "n_artifacts", "consistent"), "run_id").join(hashes, "run_id").join(verdict, "run_id").select(
+        "run_id", "n_rows", "n_orders", "total", "n_artifacts", "consistent", "config_hash", "verdict"
+    )
+
+
+@query
+def invalid_paths(spark, sf):
+    """Addresses of all pages that Windows would refuse as stored paths."""
+    return artifacts.invalid_paths(tables.table(spark, sf, "pages").select(F.regexp_replace("url", r"^https?://[^/]+/", "").alias("path")))
+
+
 @query
 def request_hashes(spark, sf):
     fields = [F.col("event_type"), F.col("props"), F.col("user_id")]

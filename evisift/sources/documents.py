@@ -32,10 +32,12 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     relative = F.regexp_replace(F.col("path"), r"^file:/*", "/")
     root = folder.rstrip("/") + "/"
     name = F.when(relative.startswith(root), F.substring(relative, len(root) + 1, 10_000)).otherwise(F.col("path"))
+    whole = lambda rows: rows.select(name.alias("path"), F.col("length").alias("bytes"), sha256(F.col("content")).alias("sha256"))
+    if not _streams(folder):
+        # a store that only Spark reads hands over every file as a row
+        return whole(files)
     # the size filters are pushed to the file source, so the content of a large file never becomes a row
-    small = files.filter(F.col("length") <= ROW_FILE_BYTES).select(
-        name.alias("path"), F.col("length").alias("bytes"), sha256(F.col("content")).alias("sha256")
-    )
+    small = whole(files.filter(F.col("length") <= ROW_FILE_BYTES))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,6 +49,12 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return small.unionByName(large)
 
 
+def _streams(folder: str) -> bool:
+    """Whether tasks can open files of this folder's scheme themselves."""
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):", folder)
+    return scheme is None or scheme[1] in ("file", "s3", "gs", "gcs", "hdfs")
+
+
 def _streamed_hash(uri: str) -> str:
     source, inner = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
     digest = hashlib.sha256()
@@ -74,7 +82,7 @@ def load_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     or absent fields, no or too many documents, a document id twice, a broken rule of a document.
     """
     text = F.col("value")
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("pack_id"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("pack_id"), "value")
     items = F.from_json(F.get_json_object(text, "$.documents"), "array<string>")
     parsed = raw.withColumns({"_m": F.from_json(text, DOCUMENT_MANIFEST), "_items": items, "_keys": F.json_object_keys(text)})
     names = F.array(*[F.lit(f.name) for f in DOCUMENT_SPEC.fields])
@@ -152,7 +160,7 @@ def text_blocks(files: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Whole text files as (path, raw)."""
-    return spark.read.option("wholetext", "true").text(folder).select(
+    return spark.read.text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")
     )
 
@@ -161,15 +169,15 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 # corpus profiles
 
 
-def profile_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Files, entities and relations of a form-annotation corpus; resource-fork files are skipped."""
+def profile_forms(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
+    """Files, entities and relations of a form-annotation corpus; resource-fork files and other suffixes are skipped."""
     files = (
         spark.read.schema(FORM_FILE).option("multiLine", "true").option("recursiveFileLookup", "true")
         .json(folder).withColumn("path", F.col("_metadata.file_path"))
     )
     parts = path_parts(F.col("path"))
     wanted = files.filter(
-        F.col("path").contains("/annotations/") & F.lower("path").endswith(".json")
+        F.col("path").contains("/annotations/") & F.lower("path").endswith(suffix)
         & ~F.array_contains(parts, "__MACOSX") & ~F.element_at(parts, -1).startswith("._")
     )
     form = F.coalesce("form", F.array().cast(FORM_FILE["form"].dataType))
