@@ -31,13 +31,13 @@ KNOWN_CHUNKS = 200_000
 _CHUNK = re.compile(r" +[^ ]+(?: +\Z)?")
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, list[int], list[int]]]:
-    """``(i, j, tokens of a, tokens of b, links of a, links of b)`` for each run of one-to-one groups and each irregular group.
+def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[bool]]:
+    """``(i, j, n, whole)`` of each stretch of links: token ``i + k`` of a overlaps token ``j + k`` of b, for ``k`` below ``n``.
 
-    ``a`` and ``b`` are strictly ascending ends with the same last value. The links of an irregular group are its pairs of tokens
-    that overlap, as indices; those of a run, which are its groups, are not listed.
+    ``a`` and ``b`` are strictly ascending ends with the same last value. A ``whole`` stretch is a run of one-to-one groups; the links
+    of an irregular group are stretches of one link each, the first of which is marked by ``n = 1`` and the others by ``n = 0``.
     """
-    out, none, end = [], [], len(a)
+    at_a, at_b, size, whole, end = [], [], [], [], len(a)
     i = j = 0
     while i < end:
         if (x := a[i]) == (y := b[j]):
@@ -50,22 +50,41 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, list[int
                 part = a[i + n:i + n + width]
                 if part and part == b[j + n:j + n + width]:
                     n += len(part)
-            out.append((i, j, n, n, none, none))
-            i, j = i + n, j + n
+            at_a.append(i)
+            at_b.append(j)
+            size.append(n)
+            whole.append(True)
+            i += n
+            j += n
             continue
-        k, m, left, right = i, j, [i], [j]
+        at_a.append(i)
+        at_b.append(j)
+        size.append(1)
+        whole.append(False)
         while x != y:
             if x < y:
-                k += 1
-                x = a[k]
+                i += 1
+                x = a[i]
             else:
-                m += 1
-                y = b[m]
-            left.append(k)
-            right.append(m)
-        out.append((i, j, k + 1 - i, m + 1 - j, left, right))
-        i, j = k + 1, m + 1
-    return out
+                j += 1
+                y = b[j]
+            at_a.append(i)
+            at_b.append(j)
+            size.append(0)
+            whole.append(False)
+        i += 1
+        j += 1
+    return at_a, at_b, size, whole
+
+
+def links_of(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(token of a, token of b, group)`` of every link, in order."""
+    at_a, at_b, size, whole = (np.array(x, dtype=np.int64) for x in align(a, b))
+    times = np.maximum(size, 1)
+    within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    # every link of a run opens a group, of an irregular group the first one
+    opens = np.where(np.repeat(whole, times) > 0, 1, np.repeat(size, times))
+    return np.repeat(at_a, times) + within, np.repeat(at_b, times) + within, np.cumsum(opens) - 1
 
 
 class PieceModel:
@@ -77,8 +96,24 @@ class PieceModel:
         self.bytes = [
             bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
+        self.lengths = np.array([len(x) for x in self.bytes])
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes | None] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        # the model puts the first space back
+        ids = self.model.encode([c[1:] for c in chunks], num_threads=1)
+        flat = list(chain.from_iterable(ids))
+        raw, spelled = np.array(flat, "<u4").tobytes(), [c.encode("utf-8", "surrogatepass") for c in chunks]
+        ends = np.cumsum([len(x) for x in ids])
+        lengths = np.diff(np.append(0, np.cumsum(self.lengths[flat]))[np.append(0, ends)]) if flat else np.zeros(len(chunks))
+        # equal as a whole and in every length is equal in every chunk
+        same = b"".join(map(self.bytes.__getitem__, flat)) == b"".join(spelled) and lengths.tolist() == [len(x) for x in spelled]
+        at = 0
+        for chunk, end, mine, text in zip(chunks, ends.tolist(), ids, spelled, strict=True):
+            good = same or b"".join(map(self.bytes.__getitem__, mine)) == text
+            self.known[chunk] = raw[4 * at:4 * end] if good else None
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Packed ids of each non-empty text, None where their bytes are not a space and the text."""
@@ -89,14 +124,10 @@ class PieceModel:
             new = set().union(*cut)
             if len(self.known) + len(new) > KNOWN_CHUNKS:
                 self.known.clear()
-            new = list(new - self.known.keys())
-            # the model puts the first space back
-            ids = self.model.encode([c[1:] for c in new], num_threads=1)
-            self.known.update(zip(new, ids, strict=True))
-            for text, chunks in zip(spaced, cut, strict=True):
-                ids = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
-                same = b"".join(map(self.bytes.__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
-                out.append(np.array(ids, "<u4").tobytes() if same else None)
+            self._learn(list(new - self.known.keys()))
+            for chunks in cut:
+                packed = list(map(self.known.__getitem__, chunks))
+                out.append(None if None in packed else b"".join(packed))
         return out
 
 
@@ -131,36 +162,50 @@ class Aligner:
         self.b_bytes = np.array([len(x) for x in self.b.bytes])
         if max(len(self.a_bytes), len(self.b_bytes)) > 2**16:
             raise ValueError("ids must be below 65536")
-        self.a_names = [str(k) for k in range(len(self.a_bytes))]
-        self.b_names = [str(k) for k in range(len(self.b_bytes))]
+        # an id and what follows it: another id of its side, the other side, the next group
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{k}{mark}" for k in range(most) for mark in ",|;"]
 
-    def rows(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str | None, bytes, bytes]]:
-        """``n_a, n_b, n_groups, n_links, groups, pairs, times`` of each text."""
+    def rows(self, texts: list[str | None]) -> list[list]:
+        """Columns ``n_a, n_b, n_groups, n_links, groups, pairs, times`` over the texts."""
         there = [k for k, t in enumerate(texts) if t]
         given = [texts[k] for k in there]
         a_ids, b_ids = self.a.encode([" " + t for t in given]), self.b.encode(given)
-        found = {k: ab for k, *ab in zip(there, a_ids, b_ids, strict=True) if ab[1] is not None}
-        for k in range(len(texts)):
-            yield self._row(*found[k]) if k in found else (0, 0, 0, 0, None, b"", b"")
-
-    def _row(self, a_packed: bytes, b_packed: bytes) -> tuple[int, int, int, int, str, bytes, bytes]:
-        a, b = np.frombuffer(a_packed, "<u4"), np.frombuffer(b_packed, "<u4")
-        a_ids, b_ids = a.tolist(), b.tolist()
-        a_names, b_names = list(map(self.a_names.__getitem__, a_ids)), list(map(self.b_names.__getitem__, b_ids))
-        groups, left, right, n_groups = [], [], [], 0
-        for i, j, n, m, links_a, links_b in align(np.cumsum(self.a_bytes[a]).tolist(), np.cumsum(self.b_bytes[b]).tolist()):
-            if links_a:
-                left += [a_ids[k] for k in links_a]
-                right += [b_ids[k] for k in links_b]
-                groups.append(f"{','.join(a_names[i:i + n])}|{','.join(b_names[j:j + m])}")
-                n_groups += 1
-            else:
-                left += a_ids[i:i + n]
-                right += b_ids[j:j + n]
-                groups += [f"{x}|{y}" for x, y in zip(a_names[i:i + n], b_names[j:j + n], strict=True)]
-                n_groups += n
-        pairs, times = np.unique(np.array(left, np.uint32) << np.uint32(16) | np.array(right, np.uint32), return_counts=True)
-        return len(a), len(b), n_groups, len(left), ";".join(groups), pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        found = [(k, x, y) for k, x, y in zip(there, a_ids, b_ids, strict=True) if y is not None]
+        out = [[0] * len(texts) for _ in range(4)] + [[None] * len(texts), [b""] * len(texts), [b""] * len(texts)]
+        if found:
+            places, a_packed, b_packed = zip(*found, strict=True)
+            for column, values in zip(out, self._columns(a_packed, b_packed), strict=True):
+                for k, value in zip(places, values, strict=True):
+                    column[k] = value
+        return out
+
+    def _columns(self, a_packed: list[bytes], b_packed: list[bytes]) -> tuple:
+        """All texts are aligned as one: each ends where tokens of both sides end."""
+        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a_packed, b_packed))
+        n_a, n_b = (np.array([len(x) // 4 for x in packed]) for packed in (a_packed, b_packed))
+        left, right, group = links_of(np.cumsum(self.a_bytes[a]).tolist(), np.cumsum(self.b_bytes[b]).tolist())
+        text_of_a = np.repeat(np.arange(len(n_a)), n_a)
+        text = text_of_a[left]
+        n_links = np.bincount(text, minlength=len(n_a))
+        # the group of every token, from its first link, and its place in the spelling: tokens of A, then of B, group by group
+        group_a, group_b = (group[np.flatnonzero(np.diff(x, prepend=-1))] for x in (left, right))
+        n_groups = int(group[-1]) + 1
+        ends_a, ends_b = (np.cumsum(np.bincount(x, minlength=n_groups)) for x in (group_a, group_b))
+        spelling = np.empty(len(a) + len(b), np.int64)
+        marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        marks_a[ends_a - 1], marks_b[ends_b - 1] = 1, 2
+        spelling[np.arange(len(a)) + np.append(0, ends_b)[group_a]] = 3 * a + marks_a
+        spelling[np.arange(len(b)) + ends_a[group_b]] = 3 * b + marks_b
+        names = list(map(self.names.__getitem__, spelling.tolist()))
+        ends = np.append(0, np.cumsum(n_a + n_b)).tolist()
+        groups = ["".join(names[s:e])[:-1] for s, e in zip(ends, ends[1:], strict=False)]
+        codes, times = np.unique(text << 32 | a[left] << 16 | b[right], return_counts=True)
+        cuts = np.searchsorted(codes, np.arange(len(n_a) + 1) << 32).tolist()
+        raw, counted = (codes & 0xFFFFFFFF).astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        packed = [[x[4 * s:4 * e] for s, e in zip(cuts, cuts[1:], strict=False)] for x in (raw, counted)]
+        of_text = np.bincount(text_of_a[np.append(0, ends_a[:-1])], minlength=len(n_a))
+        return n_a.tolist(), n_b.tolist(), of_text.tolist(), n_links.tolist(), groups, *packed
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
@@ -182,7 +227,7 @@ def align_texts(documents: DataFrame, a: VocabularyFile, pattern: str, b: PieceF
         aligner = Aligner(a, pattern, b)
         for batch in batches:
             for part in slices(batch, "text", ALIGNED_CHARS):
-                columns = zip(*aligner.rows(part["text"].to_pylist()), strict=True)
+                columns = aligner.rows(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names
                 )

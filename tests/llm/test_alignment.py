@@ -96,11 +96,12 @@ def test_walk_equals_brute_force(parts):
     at += 1
     a.append(at)
     b.append(at)
-    groups, links = [], []
-    for i, j, n, m, left, right in alignment.align(a, b):
-        links += zip(left, right, strict=True) if left else zip(range(i, i + n), range(j, j + n), strict=True)
-        groups += [(i, i + n, j, j + m)] if left else [(i + k, i + k + 1, j + k, j + k + 1) for k in range(n)]
-    assert links == brute_links(a, b) and groups == brute_groups(a, b)
+    left, right, group = alignment.links_of(a, b)
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == brute_links(a, b)
+    spans = {}
+    for i, j, g in zip(left.tolist(), right.tolist(), group.tolist(), strict=True):
+        spans[g] = (min(spans[g][0], i), i + 1, min(spans[g][2], j), j + 1) if g in spans else (i, i + 1, j, j + 1)
+    assert list(spans.values()) == brute_groups(a, b)
 
 
 @pytest.mark.parametrize("frequent", [None, 100, 0])
@@ -117,7 +118,7 @@ def test_query_equals_brute_force(spark, documents, libraries, tmp_path, monkeyp
 def test_small_slices_give_the_same(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "KNOWN_CHUNKS", 5)
     a = alignment.Aligner(bpe.VocabularyFile(spark, MERGES), PATTERN, alignment.PieceFile(spark, PIECES))
-    for value, row in zip(ODD, a.rows(ODD), strict=True):
+    for value, row in zip(ODD, zip(*a.rows(ODD), strict=True), strict=True):
         p = plain(libraries, value)
         assert row[:2] == ((len(p[0]), len(p[1])) if p else (0, 0))
     model = alignment.PieceModel(alignment.PieceFile(spark, PIECES).shared.value)
