@@ -7,6 +7,10 @@ pair stay the same. First each large document of a source meets the pool of all
 leaves no large residual. The others meet in nodes of a reduction tree: a node folds a bounded number of documents and
 passes at most one residual to the next level. So a source of any size takes a few levels, and its total ends
 within the size of one small document of its target.
+
+Rows alike in doc_id, source and size are interchangeable, and form a unit. A small one takes the whole part of its rows times
+their fraction for certain, and one row's rest goes into the tree; rows of a large one are rounded one by one. Which of
+a unit's rows the copies go to is settled by their numbers in the parts of the table.
 """
 
 from __future__ import annotations
@@ -88,9 +92,10 @@ def _fold(members: Column, seed: int) -> Column:
 
 
 def settle_large(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, take`` of the large documents, units still fractional``)``.
+    """``(id, take`` of the large documents, units still fractional with the rows ``sure`` to be taken``)``.
 
-    All fractional units of a group have one fraction, mass over words of the pool. A large document is taken with that
+    All fractional units of a group have one fraction, mass over words of the pool; a unit has ``n`` rows of one size, a large one a
+    single row. A large document is taken with that
     chance and its words leave the pool, so the pool's new fraction has the old one as its expectation. Where the pool
     couldn't make up for either outcome, the document stays in it.
     """
@@ -119,11 +124,12 @@ def settle_large(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
     folded = pin(large.select("grp", "rows", F.aggregate("docs", start, step).alias("f")), "pivotal-large")
     pool = folded.select(F.col("grp").alias("_grp"), (F.col("f.mass") / F.col("f.words")).alias("_fraction"))
-    small = units.filter(~is_large).join(pool, F.col("grp") == F.col("_grp"), "left").select(
-        "grp", "id", "size", (F.coalesce("_fraction", "fraction") * F.col("size")).alias("mass"), "rows"
+    extra = F.col("n") * F.coalesce("_fraction", "fraction")
+    small = units.filter(~is_large).join(pool, F.col("grp") == F.col("_grp"), "left").withColumn("sure", F.floor(extra + _EDGE).cast("long")).select(
+        "grp", "id", "size", (F.greatest(extra - F.col("sure"), F.lit(0.0)) * F.col("size")).alias("mass"), "rows", "sure"
     )
     stayed = folded.select("grp", "rows", (F.col("f.mass") / F.col("f.words")).alias("_fraction"), F.explode("f.left").alias("d")).select(
-        "grp", "d.id", "d.size", (F.col("_fraction") * F.col("d.size")).alias("mass"), "rows"
+        "grp", "d.id", "d.size", (F.col("_fraction") * F.col("d.size")).alias("mass"), "rows", F.lit(0).cast("long").alias("sure")
     )
     return folded.select(F.explode("f.done").alias("d")).select("d.id", "d.take"), small.unionByName(stayed)
 
@@ -161,66 +167,91 @@ def round_fractions(units: DataFrame, seed: int) -> DataFrame:
 def mix(documents: DataFrame, seed: int = 41) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, copies`` for every row of ``documents``.
 
-    Null and empty texts have size 0, are in no fraction and are taken 0 times. Rows alike in doc_id, source and size are one
-    unit and share one decision, which counts for all of them. A null source is the last source; null ids are allowed; an
+    Null and empty texts have size 0, are in no fraction and are taken 0 times. Rows alike in doc_id, source and size share
+    the copies of their unit, which differ by one at most. A null source is the last source; null ids are allowed; an
     empty table gives no rows; other columns are ignored. Draws are hashes of ids, so reruns agree.
     """
-    rows = pin(_narrow(documents), "mixture-rows")
-    return copies(rows, seed).select(
+    rows = pin(_narrow(documents, _numbered()), "mixture-rows")
+    per_source = pin(source_targets(rows), "mixture-sources")
+    decided = pin(unit_copies(rows, per_source, seed), "mixture-units")
+    named = per_source.select(F.col("source").alias("_source"), "source_size", "target")
+    return _handed_out(rows, decided).join(named, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies"
     )
 
 
-def _unit(doc_id: Column, source: Column, size: Column) -> Column:
-    """A digest that stands for (doc_id, source, size), nulls apart from empty strings."""
-    return F.sha2(F.concat_ws(
-        "|", F.coalesce(doc_id.cast("string"), F.lit("-")), size, F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
-    ), 256)
-
-
 def draw(documents: DataFrame, seed: int = 41) -> DataFrame:
     """The mixed corpus: every row of ``documents`` as often as it is taken, with ``copy`` counting from 1.
 
-    Cases are as in ``mix``; columns of ``documents`` stay as they are, a column ``copy`` of theirs is replaced.
+    Cases are as in ``mix``; columns of ``documents`` stay as they are, a column ``copy`` of theirs is replaced. Rows of one unit
+    may differ in their texts; which of them take the unit's copies depends on their order in the table's files.
     """
     rows = pin(_narrow(documents), "mixture-rows")
-    decided = copies(rows, seed).groupBy(_unit(F.col("doc_id"), F.col("source"), F.col("size")).alias("_llm_unit")).agg(
-        F.any_value("copies").alias("_llm_copies")
-    ).filter("_llm_copies > 0")
-    unit = _unit(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")))
-    kept = [c for c in documents.columns if c != "copy"]
-    return documents.withColumn("_llm_unit", unit).join(decided, "_llm_unit").select(
-        *kept, F.explode(F.sequence(F.lit(1), F.col("_llm_copies").cast("int"))).alias("copy")
+    decided = pin(unit_copies(rows, pin(source_targets(rows), "mixture-sources"), seed).filter("least > 0 or extra > 0"), "mixture-units")
+    kept = documents.select(*[c for c in documents.columns if c != "copy"])
+    whole = _narrow(kept.select(*_TAKEN_FROM, F.struct("*").alias("doc")), _numbered(), ["doc"])
+    return _handed_out(whole, decided).filter("copies > 0").select(
+        *[F.col("doc")[c].alias(c) for c in kept.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     )
 
 
-def _narrow(documents: DataFrame) -> DataFrame:
-    return documents.select(
+_TAKEN_FROM = ("doc_id", "source", "text")
+
+
+def _numbered() -> dict[str, Column]:
+    """A row's part of the table and its number there."""
+    number = F.monotonically_increasing_id()
+    return {"part": F.shiftright(number, 33), "number": number}
+
+
+def _narrow(documents: DataFrame, numbers: dict[str, Column] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """``id, doc_id, source, size`` of every row: ``id`` is a digest of the other three, nulls apart from empty strings."""
+    narrow = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"),
+        word_count(F.col("text").cast("string")).alias("size"), *(kept or []), *[value.alias(name) for name, value in (numbers or {}).items()],
     )
+    source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    return narrow.withColumn("id", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "size", source), 256))
 
 
-def copies(rows: DataFrame, seed: int) -> DataFrame:
-    """Adds ``source_size, target, copies`` to a pinned table of ``doc_id, source, size``."""
-    per_source = pin(source_targets(rows), "mixture-sources")
-    id_ = _unit(F.col("doc_id"), F.col("source"), F.col("size"))
-    keyed = rows.withColumn("id", id_).filter("size > 0")
-    units = keyed.groupBy("id").agg(
-        F.any_value("source").alias("source"), F.sum("size").cast("double").alias("size")
-    )
+def unit_copies(rows: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
+    """``id, n, least, extra``: a unit's rows, the copies of each, and how many of them get one more."""
     rate = F.try_divide(F.col("target"), F.col("source_size"))
     named = per_source.withColumnRenamed("source", "_source")
-    units = pin(units.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_part", rate - F.floor(rate)).filter(
-        (F.col("_part") > _EDGE) & (F.col("_part") < 1 - _EDGE)
-    ).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("grp"), "id", "size", F.col("_part").alias("fraction"), F.col("source_size").cast("double").alias("total"), "rows"), "mixture-units")
-    large, rest = settle_large(units, seed)
-    taken = large.unionByName(round_fractions(rest, seed)).withColumnRenamed("id", "_id")
-    whole = F.floor(rate + _EDGE).cast("long")
-    return (
-        rows.withColumn("id", id_).join(named, F.col("source").eqNullSafe(F.col("_source"))).join(taken, F.col("id") == F.col("_id"), "left")
-        .select(
-            "doc_id", "source", "size", "source_size", "target",
-            F.when(F.col("size") > 0, whole + F.coalesce("take", F.lit(0))).otherwise(0).cast("long").alias("copies"),
-        )
+    units = rows.filter("size > 0").groupBy("id").agg(
+        F.any_value("source").alias("source"), F.any_value("size").cast("double").alias("size"), F.count("*").alias("n")
+    ).join(named, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "id", "n", F.floor(rate + _EDGE).cast("long").alias("least"), F.greatest(rate - F.floor(rate + _EDGE), F.lit(0.0)).alias("fraction"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("grp"), "size", F.col("source_size").cast("double").alias("total"), "rows",
+    )
+    units = pin(units, "mixture-fractions")
+    fractional = units.filter(F.col("fraction") > _EDGE)
+    # a source has at most LARGE_PARTS large rows
+    is_large = F.col("size") * LARGE_PARTS > F.col("total")
+    single = F.when(is_large & (F.col("n") > 1), F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array(F.lit(0)))
+    alone = fractional.withColumn("k", F.explode(single)).select(
+        "grp", F.when(F.col("k") > 0, F.concat_ws("#", "id", "k")).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("k") > 0, 1).otherwise(F.col("n")).alias("n"), "size", "fraction", "total", "rows",
+    )
+    large, rest = settle_large(alone, seed)
+    rest = pin(rest, "mixture-rest")
+    takes = large.unionByName(round_fractions(rest.filter(F.col("mass") > _EDGE).drop("sure"), seed)).unionByName(
+        rest.filter("sure > 0").select("id", F.col("sure").alias("take"))
+    )
+    taken = takes.groupBy(F.substring_index("id", "#", 1).alias("_id")).agg(F.sum("take").alias("_extra"))
+    return units.join(taken, F.col("id") == F.col("_id"), "left").select("id", "n", "least", F.coalesce("_extra", F.lit(0)).alias("extra"))
+
+
+def _handed_out(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``. A unit's rows are numbered inside each part of the table; the parts before add their counts."""
+    told = rows.join(decided, "id", "left")
+    one = told.filter("coalesce(n, 1) = 1").withColumn("copies", F.coalesce(F.col("least") + F.col("extra"), F.lit(0)))
+    several = pin(told.filter("n > 1"), "mixture-repeats")
+    inside = Window.partitionBy("id", "part").orderBy("number")
+    # a row per unit and part
+    before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = several.groupBy("id", "part").agg(F.count("*").alias("_k")).select("id", "part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_ahead"))
+    numbered = several.withColumn("_nth", F.row_number().over(inside)).join(ahead, ["id", "part"]).withColumn(
+        "copies", F.col("least") + (F.col("_nth") + F.col("_ahead") <= F.col("extra")).cast("long")
     )
+    return one.unionByName(numbered.select(*one.columns))

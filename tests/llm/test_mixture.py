@@ -48,6 +48,10 @@ def check(rows, data):
         largest[r.source] = max(largest[r.source], r.size)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s] + 1e-6
+    units = collections.defaultdict(list)
+    for r in rows:
+        units[r.doc_id, r.source, r.size].append(r.copies)
+    assert all(max(c) - min(c) <= 1 for c in units.values())
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
@@ -77,6 +81,41 @@ def test_expected_copies(documents):
         assert total / (12 * 30) == pytest.approx(rate[s], abs=0.08)
 
 
+def test_repeated_units(documents):
+    """Rows without id and one row repeated are rounded row by row, not as one block; parts of the table don't matter."""
+    data = [(None, "w " * 10, "a") for _ in range(300)] + [(5, "w " * 7, "b")] * 200 + [(k, "w " * (k % 9), "b") for k in range(100)]
+    data += [(6, "w " * 300, "c")] * 30 + [(None, "w " * 50, None)] * 7 + [(k, text(k, 5), "c") for k in range(40)]
+    for parts in (1, 6):
+        rows = mixture.mix(documents(*data).repartition(parts)).collect()
+        check(rows, data)
+        taken = collections.Counter()
+        for r in rows:
+            taken[r.source] += r.taken
+        targets = {r.source: r.target for r in rows}
+        assert abs(taken["a"] - targets["a"]) <= 10 and abs(taken["b"] - targets["b"]) <= 9
+    drawn = collections.Counter((r.doc_id, r.source) for r in mixture.draw(documents(*data).repartition(3)).collect())
+    want = collections.Counter()
+    for r in rows:
+        want[r.doc_id, r.source] += r.copies
+    assert drawn == +want
+
+
+def test_clashing_names(documents):
+    """Columns of documents named like the operator's own stay what they are."""
+    data = documents(*corpus(4, 60)).selectExpr(
+        "*", "1 as _llm_unit", "'u' as id", "'n' as n", "2 as least", "3 as extra", "4 as part", "5 as number", "6 as size", "7 as copies", "'d' as doc"
+    )
+    assert mixture.mix(data).count() == data.count()
+    out = mixture.draw(data)
+    assert out.columns == [*[c for c in data.columns if c != "copy"], "copy"]
+    assert out.select("_llm_unit", "id", "n", "least", "extra", "part", "number", "size", "copies", "doc").distinct().collect() == [(1, "u", "n", 2, 3, 4, 5, 6, 7, "d")]
+
+
+def test_very_long_text(documents):
+    data = [(1, text(1, 200_000), "a"), (2, text(2, 30), "a"), (3, text(3, 30), "b")]
+    check(mixture.mix(documents(*data)).collect(), data)
+
+
 def test_draw(documents):
     data = corpus(2, 120)
     docs = documents(*data)
