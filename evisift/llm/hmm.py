@@ -30,9 +30,10 @@ CLASSES = 64
 SYMBOLS = 1 + SYMBOL_WORDS + CLASSES
 # Words whose counts every task holds; the counts of all others come from a join.
 FREQUENT_WORDS = 2**17
-ROUNDS = 3
-# The start of Baum-Welch is found on at most so many training texts, each up to so many tokens together.
-START_TEXTS, START_ROUNDS = 1_500, 20
+# Parts of 16 of the training corpus that the rounds of Baum-Welch read: the states form on growing shares, then on all texts, at
+# most ``FULL_ROUNDS`` times, until the likelihood of a token rises by less than ``LEAST_RISE``.
+SHARES, SLICES = (1,) * 8 + (2,) * 4 + (4, 4), 16
+FULL_ROUNDS, LEAST_RISE = 3, 1e-3
 CHUNK_TOKENS = 400_000
 COUNTER_WORDS = 300_000
 
@@ -56,12 +57,11 @@ class Model:
         return cls(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
     @classmethod
-    def random(cls, symbols: np.ndarray) -> Model:
-        """Sticky states whose emissions are the symbols' frequencies, each disturbed at random."""
+    def random(cls, counts: np.ndarray) -> Model:
+        """Sticky states whose emissions are the symbols' counts, each disturbed at random."""
         rng = np.random.default_rng(7)
-        counts = np.bincount(symbols, minlength=SYMBOLS) + 0.01
         return cls.from_counts(
-            np.ones(STATES), 40 * np.eye(STATES) + 1, counts * rng.gamma(2.0, 0.5, (STATES, SYMBOLS))
+            np.ones(STATES), 40 * np.eye(STATES) + 1, (counts + 0.01) * rng.gamma(2.0, 0.5, (STATES, SYMBOLS))
         )
 
 
@@ -105,12 +105,14 @@ def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions over some texts."""
+def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions over some texts, and their log likelihood."""
+    likelihood = 0.0
     start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
     by_symbol = np.ascontiguousarray(model.emit.T)
     for _, lengths, grid in chunks(texts):
-        _, active, alphas, scales = _forward(model, lengths, grid, keep=True)
+        each, active, alphas, scales = _forward(model, lengths, grid, keep=True)
+        likelihood += float(each.sum())
         beta = np.ones((len(lengths), STATES))
         for t in range(len(grid) - 1, -1, -1):
             n = active[t]
@@ -124,7 +126,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
         symbols = grid[inside]
         for k in range(STATES):
             emit[k] += np.bincount(symbols, alphas[:, :, k][inside], SYMBOLS)
-    return start, step, emit
+    return start, step, emit, likelihood
 
 
 def _trains(doc_id: Column, folds: int, held: int) -> Column:
@@ -161,6 +163,12 @@ class Lexicon:
     class_tokens: np.ndarray
     class_words: np.ndarray
 
+    @property
+    def symbol_counts(self) -> np.ndarray:
+        """Training tokens of each symbol: the end, words with symbols of their own, classes."""
+        own = [c for _, c in self.frequent[:SYMBOL_WORDS]]
+        return np.concatenate([[self.ends], own, np.zeros(SYMBOL_WORDS - len(own)), self.class_tokens]).astype(float)
+
 
 def build_lexicon(words: DataFrame, ends: int) -> Lexicon:
     """From a pinned table of ``word, c``. The driver holds at most ``FREQUENT_WORDS`` words and ``CLASSES`` rows.
@@ -236,33 +244,41 @@ def _symbols(batch: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<u2") for raw in batch["symbols"]]
 
 
-def train(encoded: DataFrame) -> Model:
-    """Baum-Welch over all rows of a pinned table of ``doc_id, symbols``."""
-    first = encoded.select("doc_id", "symbols").orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("symbols")).limit(START_TEXTS)
-    texts = _symbols(first.select("symbols").toPandas())
-    model = Model.random(np.concatenate(texts) if texts else np.zeros(1, int))
-    for _ in range(START_ROUNDS if texts else 0):
-        model = Model.from_counts(*expected_counts(model, texts))
-    for _ in range(ROUNDS):
-        model = _round(encoded, model)
+def train(encoded: DataFrame, counts: np.ndarray) -> Model:
+    """Baum-Welch over a pinned table of ``slice, symbols``, from the training counts of all symbols; ``slice`` is below ``SLICES``."""
+    model = Model.random(counts)
+    for share in SHARES:
+        model = _round(encoded.filter(F.col("slice") < share), model)[0]
+    before = -np.inf
+    for _ in range(FULL_ROUNDS):
+        model, likelihood = _round(encoded, model)
+        if likelihood - before < LEAST_RISE:
+            break
+        before = likelihood
     return model
 
 
-def _round(encoded: DataFrame, model: Model) -> Model:
+def _round(encoded: DataFrame, model: Model) -> tuple[Model, float]:
+    """The next model, and the mean log likelihood of a token under this one; without texts the model stays."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
+    size = STATES * (1 + STATES + SYMBOLS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(STATES * (1 + STATES + SYMBOLS))
+        total = np.zeros(size + 1)
         for batch in batches:
-            total += np.concatenate([x.ravel() for x in expected_counts(shared.value, _symbols(batch))])
+            *counts, likelihood = expected_counts(shared.value, _symbols(batch))
+            total += np.concatenate([*[x.ravel() for x in counts], [likelihood]])
         used = np.flatnonzero(total)
         yield pd.DataFrame({"at": used, "s": total[used]})
 
     rows = encoded.select("symbols").mapInPandas(run, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
-    total = np.zeros(STATES * (1 + STATES + SYMBOLS))
+    total = np.zeros(size + 1)
     total[rows["at"].to_numpy(dtype=np.int64)] = rows["s"].to_numpy(dtype=float)
-    start, step, emit = np.split(total, [STATES, STATES * (1 + STATES)])
-    return Model.from_counts(start, step.reshape(STATES, STATES), emit.reshape(STATES, SYMBOLS))
+    start, step, emit, likelihood = np.split(total, [STATES, STATES * (1 + STATES), size])
+    if not emit.any():
+        return model, 0.0
+    new = Model.from_counts(start, step.reshape(STATES, STATES), emit.reshape(STATES, SYMBOLS))
+    return new, float(likelihood[0] / emit.sum())
 
 
 def score_texts(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -282,8 +298,9 @@ def score_texts(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFram
     words = pin(count_words(teaching), "hmm-words")
     lexicon = build_lexicon(words, texts.select("trains").filter("trains").count())
     # the number of a row is a key once it is written
-    encoded = pin(encode(texts, lexicon).withColumn("row", F.monotonically_increasing_id()), "hmm-texts")
-    model = train(encoded.filter("trains").select("doc_id", "symbols"))
+    slice_ = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES)).cast("int")
+    encoded = pin(encode(texts, lexicon).withColumns({"row": F.monotonically_increasing_id(), "slice": slice_}), "hmm-texts")
+    model = train(encoded.filter("trains").select("slice", "symbols"), lexicon.symbol_counts)
     classes = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(CLASSES)).cast("int")
     totals = F.array(*[F.lit(float(x)) for x in lexicon.class_tokens + lexicon.class_words + 1])
     rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(

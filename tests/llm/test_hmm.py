@@ -69,13 +69,23 @@ def test_recursions_equal_sums_over_paths(monkeypatch):
     texts = [np.array(t, dtype=np.uint16) for t in ([1, 2, 3, 0], [0], [4, 4, 1, 2, 3, 0], [2, 0], [1, 2, 3, 0])]
     want = [brute(model, t) for t in texts]
     assert np.allclose(hmm.log_likelihood(model, texts), [w[0] for w in want])
-    for got, k in zip(hmm.expected_counts(model, texts), (1, 2, 3), strict=True):
+    for got, k in zip(hmm.expected_counts(model, texts), (1, 2, 3, 0), strict=True):
         assert np.allclose(got, sum(w[k] for w in want))
 
 
-def test_rounds_over_partitions_raise_the_likelihood(documents):
+def test_rounds_over_partitions_raise_the_likelihood(documents, monkeypatch):
     rows = [(k, ("ba ne ti " if k % 2 else "xo yu wi ") * (4 + k % 7)) for k in range(200)]
+    seen, real = [], hmm._round
+
+    def spy(encoded, model):
+        out = real(encoded, model)
+        seen.append(out[1])
+        return out
+
+    monkeypatch.setattr(hmm, "_round", spy)
     got = hmm.score_texts(documents(*rows)).collect()
+    full = seen[len(hmm.SHARES):]
+    assert 2 <= len(full) <= hmm.FULL_ROUNDS and full == sorted(full) and full[-1] > seen[0] + 0.1
     held = [r for r in got if r.held_out]
     assert held and sum(r.score > r.base_score for r in held) > 0.95 * len(held)
 
