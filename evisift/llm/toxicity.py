@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons (a stated one, and words and word beginnings mined from labelled training rows, dealt to groups) and
-patterns. A generative label model with a latent class estimates how often each voter fires in either class, and
-how pairs of voters correlate inside a class, by expectation maximisation over counts of vote patterns; known training labels
-anchor it. A linear classifier over lexicon hits, which scores every document, learns from the known labels where there are
-any, and from the label model's posterior, at a tenth of the weight, elsewhere.
+patterns; a known training label is one more voter, which abstains where there is none. A generative label model with a latent class
+estimates how often each voter fires in either class, how pairs of voters correlate inside a class, and how often a label is
+right, by expectation maximisation over counts of vote patterns. A linear classifier over lexicon hits, which scores every
+document, learns from the label model's posterior of every row of its sample.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ MINED_ITEMS = 4_096
 PREFIX_BYTES = (4, 5)
 SAMPLE_ROWS = 20_000
 ROUNDS = 8
-# What a posterior without a known label counts for in the classifier, beside one anchored by a label.
-INFERRED_WEIGHT = 0.1
+# How often labels are taken to be right at first, and for how many rows of each class that counts beside the observed ones.
+LABEL_ACCURACY, LABEL_ROWS = 0.98, 50.0
 _COMPILED = [re.compile(p) for p in PATTERNS]
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -113,7 +113,8 @@ def hits(documents: DataFrame, mined: list[bytes]) -> DataFrame:
 
 
 class LabelModel:
-    """Firing rates of every voter in both classes, the classes' shares, and the voters' correlations inside a class.
+    """Firing rates of every voter in both classes, the classes' shares, the voters' correlations inside a class, and
+    ``labels[y, l]``, how often a row of class y with a label has the label l.
 
     A vote counts less by the votes beside it that it is correlated with, and silence by all of them."""
 
@@ -122,20 +123,25 @@ class LabelModel:
         self.fires, self.silent = np.full(VOTERS, np.log(12.0)), np.zeros(VOTERS)
         self.rates, self.prior = np.zeros((2, VOTERS)), 0.1
         self.correlation, self.damping = np.zeros((VOTERS, VOTERS)), np.ones(VOTERS)
+        self.labels = np.array([[LABEL_ACCURACY, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, LABEL_ACCURACY]])
 
     def posterior(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """P(toxic); where a label is known (not NaN) it is that."""
+        """P(toxic) from the votes and the label, where one is known (not NaN)."""
         fired = _bits(votes)
         weight = np.where(fired, self.fires / (1 + fired @ self.correlation), self.silent / self.damping)
-        logit = np.log(self.prior / (1 - self.prior)) + weight.sum(axis=1)
-        return np.where(np.isnan(known), 1 / (1 + np.exp(-np.clip(logit, -50, 50))), known)
+        says = np.log(self.labels[1] / self.labels[0])[np.nan_to_num(known).astype(int)]
+        logit = np.log(self.prior / (1 - self.prior)) + weight.sum(axis=1) + np.where(np.isnan(known), 0.0, says)
+        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
-    def update(self, moments: np.ndarray, correlated: bool) -> None:
-        """``moments[y]``: expected counts of pairs of firing voters in class y, with a last row and column for all rows.
+    def update(self, moments: np.ndarray, labelled: np.ndarray, correlated: bool) -> None:
+        """``moments[y]``: expected counts of pairs of firing voters in class y, with a last row and column for all rows;
+        ``labelled[y, l]``: of rows with label l.
         While the classes are still mixed, correlation inside them means little, so it counts in later rounds only."""
         totals = moments[:, -1, -1]
         self.prior = float((totals[1] + 1) / (totals.sum() + 10))
         self.rates = (moments[:, -1, :-1] + [[0.1], [1.0]]) / (totals[:, None] + [[10.0], [4.0]])
+        seen = labelled + LABEL_ROWS * self.labels
+        self.labels = seen / seen.sum(axis=1, keepdims=True)
         clean, toxic = self.rates
         self.fires, self.silent = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
         if not correlated:
@@ -160,29 +166,33 @@ def fit_label_model(patterns: DataFrame) -> LabelModel:
     for turn in range(ROUNDS):
 
         def moments(batches: Iterator[pd.DataFrame], now=model) -> Iterator[pd.DataFrame]:
-            total = np.zeros((2, VOTERS + 1, VOTERS + 1))
+            total, labelled = np.zeros((2, VOTERS + 1, VOTERS + 1)), np.zeros((2, 2))
             for batch in batches:
                 votes = batch["votes"].to_numpy(dtype=np.int64)
-                p = now.posterior(votes, batch["known"].to_numpy(dtype=float))
-                n = batch["n"].to_numpy(dtype=float)
+                known, n = batch["known"].to_numpy(dtype=float), batch["n"].to_numpy(dtype=float)
+                p = now.posterior(votes, known)
                 x = np.column_stack([_bits(votes), np.ones(len(votes))]).astype(float)
                 total[0] += x.T @ (x * (n * (1 - p))[:, None])
                 total[1] += x.T @ (x * (n * p)[:, None])
-            yield pd.DataFrame({"at": np.arange(total.size), "s": total.ravel()})
+                for label in (0, 1):
+                    of = known == label
+                    labelled[:, label] += (n[of] * (1 - p[of])).sum(), (n[of] * p[of]).sum()
+            sums = np.concatenate([total.ravel(), labelled.ravel()])
+            yield pd.DataFrame({"at": np.arange(len(sums)), "s": sums})
 
         rows = patterns.mapInPandas(moments, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
-        total = np.zeros(2 * (VOTERS + 1) ** 2)
+        total = np.zeros(2 * (VOTERS + 1) ** 2 + 4)
         total[rows["at"].to_numpy(dtype=int)] = rows["s"]
         after = LabelModel()
-        after.update(total.reshape(2, VOTERS + 1, VOTERS + 1), correlated=turn >= ROUNDS - 3)
+        after.update(total[:-4].reshape(2, VOTERS + 1, VOTERS + 1), total[-4:].reshape(2, 2), correlated=turn >= ROUNDS - 3)
         model = after
     return model
 
 
-def fit_linear(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: int, l2: float = 1e-6, steps: int = 600) -> np.ndarray:
-    """Logistic regression on weighted soft labels over sparse 0/1 hits, by Adam; the last weight is the intercept."""
+def fit_linear(found: list[np.ndarray], y: np.ndarray, size: int, l2: float = 1e-6, steps: int = 600) -> np.ndarray:
+    """Logistic regression on soft labels over sparse 0/1 hits, by Adam; the last weight is the intercept."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    share = ((weight * y).sum() + 0.5) / (weight.sum() + 5)
+    share = (y.sum() + 0.5) / (len(y) + 5)
     w[-1] = np.log(share / (1 - share))
     if not len(y):
         return w
@@ -190,7 +200,7 @@ def fit_linear(found: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size:
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
     for step in range(1, steps + 1):
         z = np.bincount(row, w[flat], len(found)) + w[-1]
-        error = (1 / (1 + np.exp(-z)) - y) * weight / weight.sum()
+        error = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = np.append(np.bincount(flat, error[row], size), error.sum()) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -219,8 +229,7 @@ def score_toxicity(
     ).limit(sample_rows).toPandas()
     y = model.posterior(sample["votes"].to_numpy(dtype=np.int64), sample["known"].to_numpy(dtype=float))
     size = len(LEXICON) + len([m for m in mined if m.decode("utf-8", "replace") not in LEXICON]) + len(PATTERNS)
-    trust = np.where(sample["known"].isna(), INFERRED_WEIGHT, 1.0)
-    weights = fit_linear(list(sample["hits"]), y, trust, size)
+    weights = fit_linear(list(sample["hits"]), y, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -70,18 +70,53 @@ def test_label_model_finds_rates_and_correlation(spark):
     assert ((p > 0.5) == y).mean() > 0.93
 
 
-def test_sample_takes_labelled_rows_first(documents, labels, monkeypatch):
-    """Few labels among many rows: the bounded sample holds them all before any row without one."""
+def plain_posterior(model, bits, known):
+    """Bayes' rule over the voters one by one; a vote is damped by the votes beside it, silence by all voters."""
+    odds = model.prior / (1 - model.prior)
+    for v in range(toxicity.VOTERS):
+        clean, toxic = model.rates[0][v], model.rates[1][v]
+        if bits >> v & 1:
+            beside = sum(model.correlation[u, v] for u in range(toxicity.VOTERS) if bits >> u & 1)
+            odds *= (toxic / clean) ** (1 / (1 + beside))
+        else:
+            odds *= ((1 - toxic) / (1 - clean)) ** (1 / (1 + model.correlation[:, v].sum()))
+    if known is not None:
+        odds *= model.labels[1, known] / model.labels[0, known]
+    return odds / (1 + odds)
+
+
+def test_posteriors_reach_the_classifier(documents, labels, monkeypatch):
+    """Brute force of posterior and score; the sample takes labelled rows first, and every row of it teaches its posterior."""
     rows, marks = corpus()
-    sparse = [m for m in marks if zlib.crc32(str(m[0]).encode()) % 5][::8]
-    seen, fit = [], toxicity.fit_linear
-
-    def spy(found, y, weight, size):
-        seen.append((y, weight))
-        return fit(found, y, weight, size)
-
-    monkeypatch.setattr(toxicity, "fit_linear", spy)
-    toxicity.score_toxicity(documents(*rows), labels(*sparse), sample_rows=len(sparse) + 5).count()
-    y, weight = seen[0]
-    assert len(y) == len(sparse) + 5 and (weight == 1).sum() == len(sparse)
-    assert sorted(y[weight == 1]) == sorted(float(t) for _, _, t in sparse)
+    training = [m for m in marks if zlib.crc32(str(m[0]).encode()) % 5]
+    sparse = training[::3]
+    # some labels are wrong, which the votes can tell
+    wrong = {d for d, _, t in sparse if t}
+    wrong = set(sorted(wrong)[:3])
+    given = [(d, q, 0 if d in wrong else t) for d, q, t in sparse]
+    fits, models, real_fit, real_model = [], [], toxicity.fit_linear, toxicity.fit_label_model
+
+    def spy_fit(found, y, size):
+        fits.append((found, y, real_fit(found, y, size)))
+        return fits[-1][2]
+
+    def spy_model(patterns):
+        models.append((real_model(patterns), patterns))
+        return models[-1][0]
+
+    monkeypatch.setattr(toxicity, "fit_linear", spy_fit)
+    monkeypatch.setattr(toxicity, "fit_label_model", spy_model)
+    got = toxicity.score_toxicity(documents(*rows), labels(*given), sample_rows=len(given) + 50).collect()
+    (found, y, weights), (model, patterns) = fits[0], models[0]
+    assert len(y) == len(given) + 50 and model.labels.min() > 0 and model.labels[0, 0] > 0.9
+    for r in patterns.collect():
+        known = None if r.known is None else int(r.known)
+        got_p = model.posterior(np.array([r.votes]), np.array([np.nan if known is None else known]))[0]
+        assert abs(got_p - plain_posterior(model, r.votes, known)) < 1e-9
+    # no posterior is a bare label, and the wrong labels pull less than the right ones
+    assert ((y > 0) & (y < 1)).all()
+    scored = {r.doc_id: r.score for r in got}
+    assert np.mean([scored[d] for d, _, t in marks if t]) > 0.7 and np.mean([scored[d] for d in wrong]) > 0.5
+    for hits in found[:40]:
+        z = sum(weights[h] for h in hits) + weights[-1]
+        assert any(abs(1 / (1 + np.exp(-z)) - s) < 1e-9 for s in scored.values())
