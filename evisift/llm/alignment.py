@@ -27,7 +27,7 @@ from evisift.session import pin
 FREQUENT_PAIRS = 2**20
 # Pairs that a counting task holds before it hands on its counts; rows that a task aligns or scores at once.
 COUNTED_PAIRS, ALIGNED_CHARS, SCORED_ROWS = 1_000_000, 1_000_000, 1_000
-KNOWN_CHUNKS = 200_000
+KNOWN_CHUNKS = 400_000
 _CHUNK = re.compile(r" +[^ ]+(?: +\Z)?")
 
 
@@ -98,7 +98,9 @@ class PieceModel:
         ]
         self.lengths = np.array([len(x) for x in self.bytes])
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        # chunks whose tokens spell something else
+        self.unlike: set[str] = set()
 
     def _learn(self, chunks: list[str]) -> None:
         # the model puts the first space back
@@ -109,11 +111,10 @@ class PieceModel:
         lengths = np.diff(np.append(0, np.cumsum(self.lengths[flat]))[np.append(0, ends)]) if flat else np.zeros(len(chunks))
         # equal as a whole and in every length is equal in every chunk
         same = b"".join(map(self.bytes.__getitem__, flat)) == b"".join(spelled) and lengths.tolist() == [len(x) for x in spelled]
-        at = 0
-        for chunk, end, mine, text in zip(chunks, ends.tolist(), ids, spelled, strict=True):
-            good = same or b"".join(map(self.bytes.__getitem__, mine)) == text
-            self.known[chunk] = raw[4 * at:4 * end] if good else None
-            at = end
+        at = [0, *ends.tolist()]
+        self.known.update(zip(chunks, [raw[4 * s:4 * e] for s, e in zip(at, at[1:], strict=False)], strict=True))
+        if not same:
+            self.unlike |= {c for c, mine, text in zip(chunks, ids, spelled, strict=True) if b"".join(map(self.bytes.__getitem__, mine)) != text}
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Packed ids of each non-empty text, None where their bytes are not a space and the text."""
@@ -124,10 +125,11 @@ class PieceModel:
             new = set().union(*cut)
             if len(self.known) + len(new) > KNOWN_CHUNKS:
                 self.known.clear()
+                self.unlike.clear()
             self._learn(list(new - self.known.keys()))
             for chunks in cut:
-                packed = list(map(self.known.__getitem__, chunks))
-                out.append(None if None in packed else b"".join(packed))
+                same = not self.unlike or self.unlike.isdisjoint(chunks)
+                out.append(b"".join(map(self.known.__getitem__, chunks)) if same else None)
         return out
 
 
