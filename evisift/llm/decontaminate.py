@@ -2,23 +2,25 @@
 
 Every window that shares a shingle with an item of its length gets a 64-bit SimHash of its weighted shingles (windows that
 share none have similarity zero, so leaving them out loses nothing). A document shorter than an item is one window as a
-whole. Four 16-bit blocks index the items' fingerprints: within ``RADIUS`` bits at least one block differs in at most
-``RADIUS // 4`` bits, so looking up each block among the values that near to an item's block finds every fingerprint within the
-radius. A candidate is confirmed by its exact weighted similarity: the sum of the lesser over the sum of the greater shingle
+whole. Five blocks of bits index the items' fingerprints, each with a radius of its own. Two fingerprints that differ in more bits
+than its radius in every block differ in more than ``RADIUS`` bits, so looking up each block among the values that near to an
+item's block finds every fingerprint within the radius. A candidate is confirmed by its exact weighted similarity: the sum of the lesser over the sum of the greater shingle
 counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisift.llm.words import lower_ascii, mix64
@@ -28,18 +30,33 @@ SIMILARITY = 0.8
 # Windows of equal length with similarity 0.8 differ in 9.7 bits on average, in more than 23 with a probability of 2e-6.
 # A whole document of 4 shingles against an item of 5 differs in more with 4e-4, of 5 against 6 with 2e-5, larger ones below 4e-6.
 RADIUS = 23
-BLOCKS = 4
-BLOCK_BITS = 16
-# Items are applied in blocks; a block is broadcast, so both bounds also bound its size.
-BLOCK_ITEMS = 2_000
+# Bits and radius of each block; the radii, each plus one, add up to RADIUS + 1. 2,000 items of one length take 19 MB of tables.
+BLOCKS = ((13, 4), (13, 4), (13, 4), (13, 4), (12, 3))
+# Items are applied in lots of about so many items and bytes, which bound what is broadcast; one item is never split.
+BLOCK_ITEMS, BLOCK_BYTES = 2_000, 8_000_000
 STARTS_AT_ONCE = 4_096
 
 
-def _near_values(radius: int) -> np.ndarray:
-    """All 16-bit differences of at most ``radius`` bits."""
-    return np.array(
-        [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(BLOCK_BITS), n)], np.uint16
-    )
+def _near_values(width: int, radius: int) -> np.ndarray:
+    """All differences of ``width`` bits with at most ``radius`` of them set."""
+    return np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+def _block_values(prints: np.ndarray) -> list[np.ndarray]:
+    """The value of each block of some fingerprints."""
+    out, shift = [], 0
+    for width, _ in BLOCKS:
+        out.append(((prints >> np.uint64(shift)) & np.uint64(2**width - 1)).astype(np.int64))
+        shift += width
+    return out
+
+
+def _table(values: np.ndarray, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members near each value of a block: where the list of a value starts, and all lists in order of values."""
+    near = (values[:, None] ^ _near_values(width, radius)).ravel()
+    order = np.argsort(near, kind="stable")
+    starts = np.append(0, np.cumsum(np.bincount(near, minlength=2**width))).astype(np.int32)
+    return starts, (order // (len(near) // len(values))).astype(np.int32)
 
 
 def shingle_codes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +104,7 @@ class Index:
         self.digests: dict[bytes, int] = {}
         self.widths: dict[int, np.ndarray] = {}
         self.lengths: dict[int, _Length] = {}
-        near, shingle_sets = _near_values(RADIUS // BLOCKS), {}
+        shingle_sets: dict[int, list[np.ndarray]] = {}
         grouped: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, words in items:
             ids = np.array([self.digests.setdefault(w, _digest(w)) for w in words], np.uint64)
@@ -97,12 +114,7 @@ class Index:
         self.widths = {width: np.unique(np.concatenate(codes)) for width, codes in shingle_sets.items()}
         for length, members in grouped.items():
             prints = np.concatenate([_fingerprints(_bits(codes).sum(axis=0, dtype=np.int64)[None]) for _, codes in members])
-            tables = []
-            for block in range(BLOCKS):
-                mine = (prints >> np.uint64(BLOCK_BITS * block)).astype(np.uint16)
-                values = (mine[:, None] ^ near).ravel()
-                order = np.argsort(values, kind="stable")
-                tables.append((values[order], np.repeat(np.arange(len(mine)), len(near))[order]))
+            tables = [_table(v, *block) for v, block in zip(_block_values(prints), BLOCKS, strict=True)]
             holds = np.isin(self.widths[min(SHINGLE_WORDS, length)], np.concatenate([codes for _, codes in members]))
             self.lengths[length] = _Length(
                 [i for i, _ in members], prints, [Counter(codes.tolist()) for _, codes in members], tables, holds
@@ -160,17 +172,16 @@ class Index:
         at = starts - starts[0]
         prints = _fingerprints(total[at + inner] - total[at])
         pairs = []
-        for block, (values, members) in enumerate(group.tables):
-            sought = (prints >> np.uint64(BLOCK_BITS * block)).astype(np.uint16)
-            low, high = np.searchsorted(values, sought, "left"), np.searchsorted(values, sought, "right")
+        for (table_starts, members), sought in zip(group.tables, _block_values(prints), strict=True):
+            low, high = table_starts[sought], table_starts[sought + 1]
             rows = np.repeat(np.arange(len(sought)), high - low)
             within = np.arange(len(rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            pairs.append(rows * len(group.items) + members[np.repeat(low, high - low) + within])
+            found = members[np.repeat(low, high - low) + within]
+            near = np.bitwise_count(prints[rows] ^ group.prints[found]) <= RADIUS
+            pairs.append(rows[near] * len(group.items) + found[near])
         for pair in np.unique(np.concatenate(pairs)).tolist():
             row, member = divmod(pair, len(group.items))
-            bits = int(prints[row] ^ group.prints[member]).bit_count()
-            if bits <= RADIUS:
-                yield int(starts[row]), member, bits
+            yield int(starts[row]), member, int(prints[row] ^ group.prints[member]).bit_count()
 
 
 def _pieces(starts: np.ndarray) -> Iterator[np.ndarray]:
@@ -183,11 +194,12 @@ def _pieces(starts: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items with words, at most about ``BLOCK_ITEMS`` at once."""
+    """Items with words, about ``BLOCK_ITEMS`` or ``BLOCK_BYTES`` at once."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")
     ).filter("i is not null and t is not null").distinct()
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for n in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n) if blocks > 1 else items
         rows = [(i, lower_ascii(t).split()) for i, t in mine.collect()]
@@ -195,6 +207,24 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
             yield rows
 
 
+class _Lot:
+    """Items on their way to the tasks; a worker builds their index once."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, list[bytes]]]):
+        self.number, self.shared = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def __eq__(self, other):
+        return isinstance(other, _Lot) and self.number == other.number
+
+    def __hash__(self):
+        return hash(self.number)
+
+
+@lru_cache(maxsize=2)
+def _index(lot: _Lot) -> Index:
+    return Index(lot.shared.value)
+
+
 SCHEMA = (
     "doc_id long, item_id long, start_word long, window_words long, similarity double, hamming int, n_windows long"
 )
@@ -211,10 +241,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(items)
+        shared = _Lot(documents.sparkSession, items)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
+            index = _index(shared)
             for batch in batches:
                 rows = [
                     (doc, *match) for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True)
@@ -232,14 +262,14 @@ def is_clean(text: Column, benchmark: DataFrame) -> Column:
     """True for a text that holds no benchmark item."""
     clean = F.lit(True)
     for items in _blocks(benchmark):
-        clean = clean & _holds_none(benchmark.sparkSession.sparkContext.broadcast(items))(text)
+        clean = clean & _holds_none(_Lot(benchmark.sparkSession, items))(text)
     return clean
 
 
 def _holds_none(shared):
     @F.pandas_udf("boolean")
     def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value)
+        index = _index(shared)
         for texts in batches:
             yield pd.Series([not index.matches(t) for t in texts], dtype=bool)
 

@@ -81,15 +81,24 @@ def test_blocks_of_items(documents, benchmark, monkeypatch):
 
 def test_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
-    near = dc._near_values(dc.RADIUS // dc.BLOCKS)
+    prints = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    tables = [dc._table(v, *block) for v, block in zip(dc._block_values(prints), dc.BLOCKS, strict=True)]
+    assert sum(width for width, _ in dc.BLOCKS) == 64 and sum(radius + 1 for _, radius in dc.BLOCKS) > dc.RADIUS
     for _ in range(300):
-        print_ = int(rng.integers(0, 2**63))
-        flips = rng.choice(64, rng.integers(0, dc.RADIUS + 1), replace=False)
-        other = print_
-        for bit in flips:
+        member = int(rng.integers(40))
+        other = int(prints[member])
+        for bit in rng.choice(64, rng.integers(0, dc.RADIUS + 1), replace=False):
             other ^= 1 << int(bit)
-        blocks = [((print_ >> 16 * b) & 65535) ^ ((other >> 16 * b) & 65535) for b in range(dc.BLOCKS)]
-        assert any(d in set(near.tolist()) for d in blocks)
+        blocks = dc._block_values(np.array([other], np.uint64))
+        assert any(member in members[starts[v[0]]:starts[v[0] + 1]] for (starts, members), v in zip(tables, blocks, strict=True))
+
+
+def test_index_of_many_items_is_small():
+    items = [(k, [w.encode() for w in words(k, 50)]) for k in range(2000)]
+    index = dc.Index(items)
+    group = index.lengths[50]
+    assert sum(x.nbytes for table in group.tables for x in table) < 40e6
+    assert [m[:2] for m in index.matches(" ".join(w.decode() for w in items[77][1]))] == [(77, 0)]
 
 
 def test_documents_shorter_than_an_item(documents, benchmark):
