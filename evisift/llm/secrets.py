@@ -46,6 +46,8 @@ DISCOVERY_RATE = 0.01
 PROSE_FLOOR = 0.01
 LENGTH_CLASSES = (32, 48, 80)
 P_BINS = 400
+# Tasks that share the copies of one text.
+SALTS = 16
 
 
 def _positions(text: Column, pattern: str) -> Column:
@@ -202,12 +204,12 @@ def _pieces(run: Column, base: Column) -> Column:
     return F.aggregate(touching, start, step, lambda state: F.concat(state["out"], piece(state["at"], run["end"])))
 
 
-def find_spans(texts: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
+def find_spans(found: DataFrame, texts: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     """``_key, spans`` for each distinct text that holds any: its digest, and (start, kind, end) in order.
 
-    ``texts`` has ``_key, text``. Copies of a text count once, so that each is a candidate of its own.
+    ``found`` has ``_key, found``, base spans and candidates of each text with any; ``texts`` has the ``text`` of all, which tell
+    what prose looks like. Copies of a text count once, so that each is a candidate of its own.
     """
-    found = texts.select("_key", _spans(F.col("text")).alias("found")).filter(F.size("found") > 0)
     spans = pin(found.groupBy("_key").agg(F.any_value("found").alias("found")), "secrets")
     base = F.filter("found", lambda s: s["kind"] < 3)
     ordered = F.array_sort(base)
@@ -237,8 +239,11 @@ def scan_secrets(documents: DataFrame, rate: float = DISCOVERY_RATE) -> DataFram
     A null text is empty and has no spans; ids may be null or repeated, repeated rows give repeated rows, an empty table
     gives none and other columns are ignored. Spans are code points of the whole text, their ends exclusive.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("_key"), _text().alias("text"))
-    spans = find_spans(texts.select("_key", "text"), rate)
+    rows = pin(documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("_key"), _spans(_text()).alias("found")
+    ), "secret-rows")
+    some = F.size("found") > 0
+    spans = find_spans(rows.filter(some).select("_key", "found"), documents.select(_text().alias("text")), rate)
     name = F.array(*[F.lit(k) for k in KINDS])
     line = lambda array: F.array_join(F.transform(
         array, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
@@ -248,10 +253,14 @@ def scan_secrets(documents: DataFrame, rate: float = DISCOVERY_RATE) -> DataFram
         "_key", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         line(F.filter("spans", lambda s: s["kind"] < 3)).alias("base"), line(F.col("spans")).alias("spans"),
     )
-    none = [F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return texts.select("doc_id", "_key").join(told, "_key", "left").select(
-        "doc_id", *none, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
-    )
+    columns = ["doc_id", *[F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+               F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")]
+    # rows without a possible span meet nothing; copies of one text are dealt to SALTS tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    dealt = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = rows.filter(some).select("doc_id", "_key", salt.alias("_salt")).join(dealt, ["_key", "_salt"], "left").select(*columns)
+    empty = rows.filter(~some).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in told.dtypes if c != "_key"])
+    return held.unionByName(empty.select(*columns))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", rate: float = DISCOVERY_RATE) -> DataFrame:
@@ -261,7 +270,8 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", rate: float = DISCOVERY
     possible span are joined with their spans; the others are passed on without a shuffle.
     """
     possible = F.size(_spans(_text())) > 0
-    spans = find_spans(documents.select(F.md5(_text()).alias("_key"), _text().alias("text")), rate)
+    found = documents.select(F.md5(_text()).alias("_key"), _spans(_text()).alias("found")).filter(F.size("found") > 0)
+    spans = find_spans(found, documents.select(_text().alias("text")), rate)
     held = documents.filter(possible).withColumn("_llm_key", F.md5(_text())).join(
         spans.select(F.col("_key").alias("_llm_key"), F.col("spans").alias("_llm_spans")), "_llm_key", "left"
     )
