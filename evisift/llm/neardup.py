@@ -111,16 +111,6 @@ def sketch(documents: DataFrame, by: Rule) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = a = self.up[self.up[a]]
-        return a
-
-
 def _linked(ids: list[int], sides: list[int], sets: list[np.ndarray], by: Rule, orders: np.ndarray, pair: tuple[int, int]):
     """A spanning forest of the confirmed links among documents of one block, or between two blocks."""
     regs = np.array([registers(s, orders) for s in sets])
@@ -128,7 +118,7 @@ def _linked(ids: list[int], sides: list[int], sets: list[np.ndarray], by: Rule,
     side = np.array(sides)
     limit = by.percent / 100
     least = limit - SLACK * (limit * (1 - limit) / by.registers) ** 0.5
-    forest, roots, out = _Forest(len(ids)), np.arange(len(ids)), []
+    roots, out = np.arange(len(ids)), []
     # larger sets first: their neighbours join early and are then passed over
     for a in range(len(ids)):
         near = np.arange(a + 1, len(ids))
