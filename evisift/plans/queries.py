@@ -14,7 +14,7 @@ from evisift.functions.text import collapse_spaces, has_injection_marker, securi
 from evisift.operators import artifacts, assess, features, isotonic, knapsack, metrics, model, qualify, retrieve
 from evisift.operators import routing, validate
 from evisift.plans import tables
-from evisift.session import pin, scratch_path, scratch_root
+from evisift.session import pin, scratch_path
 from evisift.sources import documents as docs
 from evisift.sources import sinks, verifier
 from evisift.sources.cases import parse_cases
@@ -1091,9 +1091,7 @@ def retention(spark, sf):
 
 def _run_stream(spark, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into a parquet table and read it."""
-    import uuid
-
-    folder = f"{scratch_root(spark)}/evisift/{name}-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, name)
     started = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/out")

@@ -168,3 +168,20 @@ def test_block_schema(spark, block, reason):
     raw = json.dumps({"pages": [{"page": 1, "blocks": [{"text": "fine"}, block]}]})
     _, rejects = documents.json_blocks(spark.createDataFrame([("d", raw)], "document_id string, raw string"))
     assert [r["reason"] for r in rejects.collect()] == ([reason] if reason else [])
+
+
+def test_pretty_printed_manifest_is_read_whole(spark, tmp_path):
+    import json
+
+    entry = {
+        "document_id": "d1", "source_path": "docs/a.txt", "sha256": "0" * 64, "document_type": "text", "system": "s", "region": "r", "age_days": 3,
+    }
+    (tmp_path / "m.json").write_text(json.dumps({"documents": [entry, {**entry, "document_id": "d2"}]}, indent=2))
+    good, bad = documents.load_manifests(spark, str(tmp_path))
+    assert {r.document_id for r in good.collect()} == {"d1", "d2"} and bad.count() == 0
+    assert documents.read_texts(spark, str(tmp_path)).count() == 1
+
+
+def test_streaming_is_left_to_known_stores():
+    assert documents._streams("/data") and documents._streams("file:///data") and documents._streams("hdfs://host/data")
+    assert not documents._streams("s3a://bucket/x") and not documents._streams("abfss://c@a/x") and not documents._streams("viewfs://store/x")
