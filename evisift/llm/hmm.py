@@ -34,7 +34,8 @@ FREQUENT_WORDS = 2**17
 # most ``FULL_ROUNDS`` times, until the likelihood of a token rises by less than ``LEAST_RISE``.
 SHARES, SLICES = (1,) * 8 + (2,) * 4 + (4, 4), 16
 FULL_ROUNDS, LEAST_RISE = 3, 1e-3
-CHUNK_TOKENS = 400_000
+# Tokens of the texts that one step of a recursion goes over together: with all states kept in single precision, and with the last only.
+CHUNK_TOKENS, SCORED_TOKENS = 800_000, 3_200_000
 COUNTER_WORDS = 300_000
 
 
@@ -65,12 +66,12 @@ class Model:
         )
 
 
-def chunks(texts: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def chunks(texts: list[np.ndarray], tokens: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """``(numbers, lengths, symbols by place)`` of texts of like length, the longest first in each chunk."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
-        take = max(1, CHUNK_TOKENS // max(len(texts[order[at]]), 1))
+        take = max(1, tokens // max(len(texts[order[at]]), 1))
         mine = order[at:at + take]
         lengths = np.array([len(texts[i]) for i in mine])
         grid = np.zeros((lengths[0], len(mine)), np.int32)
@@ -84,7 +85,7 @@ def _forward(model: Model, lengths: np.ndarray, grid: np.ndarray, keep: bool):
     emit = np.ascontiguousarray(model.emit.T)
     active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")
     total, now = np.zeros(len(lengths)), None
-    alphas = np.zeros((*grid.shape, STATES)) if keep else None
+    alphas = np.zeros((*grid.shape, STATES), np.float32) if keep else None
     scales = np.ones(grid.shape) if keep else None
     for t in range(len(grid)):
         n = active[t]
@@ -100,7 +101,7 @@ def _forward(model: Model, lengths: np.ndarray, grid: np.ndarray, keep: bool):
 def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of each text by the scaled forward recursion."""
     out = np.zeros(len(texts))
-    for numbers, lengths, grid in chunks(texts):
+    for numbers, lengths, grid in chunks(texts, SCORED_TOKENS):
         out[numbers] = _forward(model, lengths, grid, keep=False)[0]
     return out
 
@@ -110,7 +111,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     likelihood = 0.0
     start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
     by_symbol = np.ascontiguousarray(model.emit.T)
-    for _, lengths, grid in chunks(texts):
+    for _, lengths, grid in chunks(texts, CHUNK_TOKENS):
         each, active, alphas, scales = _forward(model, lengths, grid, keep=True)
         likelihood += float(each.sum())
         beta = np.ones((len(lengths), STATES))
@@ -123,9 +124,9 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
             alphas[t, :n] *= beta[:n]
         start += alphas[0].sum(axis=0)
         inside = np.arange(len(grid))[:, None] < lengths
-        symbols = grid[inside]
+        symbols, share = grid[inside], alphas[inside]
         for k in range(STATES):
-            emit[k] += np.bincount(symbols, alphas[:, :, k][inside], SYMBOLS)
+            emit[k] += np.bincount(symbols, share[:, k], SYMBOLS)
     return start, step, emit, likelihood
 
 
