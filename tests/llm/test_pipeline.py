@@ -35,5 +35,5 @@ def test_stages_on_odd_rows(spark, documents, labels, benchmark_folder):
 
 def test_one_query_of_each_operator():
     names = queries.registry()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(oracles.ORACLES) <= set(names)
