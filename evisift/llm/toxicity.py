@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons (a stated one, and words and word beginnings mined from labelled training rows, dealt to groups) and
+Voters are lexicons (a stated one, and words and word beginnings mined from labelled training rows, in groups of like strength) and
 patterns; a known training label is one more voter, which abstains where there is none. A generative label model with a latent class
 estimates how often each voter fires in either class, how pairs of voters correlate inside a class, and how often a label is
 right, by expectation maximisation over counts of vote patterns. A linear classifier over lexicon hits, which scores every
@@ -33,7 +33,9 @@ PREFIX_BYTES = (4, 5)
 SAMPLE_ROWS = 20_000
 ROUNDS = 8
 # How often labels are taken to be right at first, and for how many rows of each class that counts beside the observed ones.
-LABEL_ACCURACY, LABEL_ROWS = 0.98, 50.0
+LABEL_ACCURACY, LABEL_ROWS = 0.995, 1000.0
+# Rows without a label that one with a label outweighs in the label model's counts, so that its classes stay those of the labels.
+ANCHOR = 10.0
 _COMPILED = [re.compile(p) for p in PATTERNS]
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -83,10 +85,6 @@ def mine(documents: DataFrame, labels: DataFrame, label: str, folds: int, rows:
     return [bytes(r.item) for r in summed.filter(good).orderBy(score.desc(), "item").limit(MINED_ITEMS).collect()]
 
 
-def _voter(item: bytes) -> int:
-    return 1 + sum(c * k for k, c in enumerate(item[:4], 7)) % LEXICON_VOTERS
-
-
 def hits(documents: DataFrame, mined: list[bytes]) -> DataFrame:
     """``doc_id, votes`` (a bit per voter) ``, hits`` (numbers of lexicon items and patterns) for every row."""
     number = {item: k for k, item in enumerate([*(w.encode() for w in LEXICON), *(m for m in mined if m.decode("utf-8", "replace") not in LEXICON)])}
@@ -94,7 +92,8 @@ def hits(documents: DataFrame, mined: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = set(number)
-        voter = {item: 0 if n < stated else _voter(item) for item, n in number.items()}
+        # mined items come in order of how well they tell, so a voter's items are alike in that
+        voter = {item: 0 if n < stated else 1 + (n - stated) * LEXICON_VOTERS // (size - stated) for item, n in number.items()}
         for batch in batches:
             votes, found = [], []
             for text in batch["text"]:
@@ -171,6 +170,7 @@ def fit_label_model(patterns: DataFrame) -> LabelModel:
                 votes = batch["votes"].to_numpy(dtype=np.int64)
                 known, n = batch["known"].to_numpy(dtype=float), batch["n"].to_numpy(dtype=float)
                 p = now.posterior(votes, known)
+                n = n * np.where(np.isnan(known), 1.0, ANCHOR)
                 x = np.column_stack([_bits(votes), np.ones(len(votes))]).astype(float)
                 total[0] += x.T @ (x * (n * (1 - p))[:, None])
                 total[1] += x.T @ (x * (n * p)[:, None])
