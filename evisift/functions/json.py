@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ _END = "end"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used; a plain expression is copied to each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sole_value(text: Column) -> Column:
     """The text of the one JSON value that ``text`` consists of, else null.
 
@@ -17,8 +24,12 @@ def sole_value(text: Column) -> Column:
     """
     wrapped = F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))
     found = F.from_json(wrapped, "array<string>", _STRICT)
-    whole = (F.size(found) == 2) & F.get(found, F.lit(1)).eqNullSafe(F.lit(_END)) & ~F.contains(text, F.lit(_END))
-    return F.when(whole, F.get(found, F.lit(0)))
+
+    def first(both: Column) -> Column:
+        whole = (F.size(both) == 2) & F.get(both, F.lit(1)).eqNullSafe(F.lit(_END)) & ~F.contains(text, F.lit(_END))
+        return F.when(whole, F.get(both, F.lit(0)))
+
+    return once(found, first)
 
 
 def is_object(text: Column) -> Column:

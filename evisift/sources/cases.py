@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evisift.functions.geometry import bbox_is_valid
-from evisift.functions.json import is_object, kind
+from evisift.functions.json import is_object, kind, once
+from evisift.operators.assess import _computed_once
 from evisift.operators.validate import case_rules, evidence_rules
 from evisift.schemas import CASE, EVIDENCE, MAX_EVIDENCE_PER_CASE
 
@@ -28,18 +29,44 @@ _KINDS = {
 }
 
 
+# What a variant's schema shows inside brackets, by depth; quoted names stand outside of it.
+_PLAIN = r"[\w :,()]"
+_FLAT = rf"{_PLAIN}*+"
+_DEEP = rf"(?:{_PLAIN}++|<(?:{_PLAIN}++|<{_FLAT}>)*+>)*+"
+
+
+def _sound_schema(schema: T.StructType, defaults: dict) -> str:
+    """A pattern of the variant schemas whose record has every required field, no unknown one and right types throughout."""
+    out = ""
+    # a variant lists its fields by name
+    for field in sorted(schema.fields, key=lambda f: f.name):
+        inside = {T.ArrayType: f"<{_DEEP}>", T.StructType: f"<{_FLAT}>"}.get(type(field.dataType), r"(?:\(\d+,\d+\))?")
+        kinds = "|".join([f"(?:{'|'.join(_KINDS[type(field.dataType)])}){inside}", *(["VOID"] if field.name in _NULLABLE else [])])
+        needed = field.name not in defaults and field.name not in _NULLABLE
+        # a separator before each field: the pattern is matched after the comma is put before the first one as well
+        out += rf"(?:, {field.name}: (?:{kinds})){'' if needed else '?'}"
+    return rf"^OBJECT<{out}>$"
+
+
+def _is_sound(record: Column, schema: T.StructType, defaults: dict) -> Column:
+    shown = F.regexp_replace(F.schema_of_variant(record), "^OBJECT<", "OBJECT<, ")
+    return F.coalesce(shown.rlike(_sound_schema(schema, defaults)), F.lit(False))
+
+
 def _field_fault(record: Column, schema: T.StructType, defaults: dict) -> Column:
     """The first fault of a variant record's fields: ``missing_field`` or ``wrong_type``."""
-    faults = []
-    for field in schema.fields:
-        found = kind(record, field.name)
-        good = found.isin(*_KINDS[type(field.dataType)])
-        if field.name in _NULLABLE:
-            good = good | (found == "VOID")
-        if field.name not in defaults and field.name not in _NULLABLE:
-            faults.append(F.when(found.isNull(), "missing_field"))
-        faults.append(F.when(found.isNotNull() & ~good, "wrong_type"))
-    return F.coalesce(*faults)
+
+    def fault(field: T.StructField) -> Column:
+        def judge(found: Column) -> Column:
+            kinds = [*_KINDS[type(field.dataType)], *(["VOID"] if field.name in _NULLABLE else [])]
+            wrong = F.when(found.isNotNull() & ~found.isin(*kinds), "wrong_type")
+            if field.name in defaults or field.name in _NULLABLE:
+                return wrong
+            return F.coalesce(F.when(found.isNull(), "missing_field"), wrong)
+
+        return once(kind(record, field.name), judge)
+
+    return F.coalesce(*[fault(field) for field in schema.fields])
 
 
 def _unknown(raw: Column, known: list[str]) -> Column:
@@ -83,10 +110,8 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
     only for an absent field. Column expressions throughout, so this runs in a stream too.
     """
     text = F.col(column)
-    items = F.from_json(F.get_json_object(text, "$.evidence"), "array<string>", {"mode": "PERMISSIVE"})
     df = raw.withColumns({
-        "_case": F.from_json(text, CASE, {"mode": "PERMISSIVE"}), "_items": items, "_record": F.try_parse_json(text),
-        "_whole": is_object(text),
+        "_case": F.from_json(text, CASE, {"mode": "PERMISSIVE"}), "_record": F.try_parse_json(text), "_whole": is_object(text),
     })
     fill = lambda record, name, default: (
         F.coalesce(record[name], F.lit(default)) if default is not None else record[name]
@@ -101,21 +126,30 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
             for n in _CASE_FIELDS
         ]
     )
-    item_faults = F.transform("_items", lambda i: F.when(~is_object(i), "wrong_type").otherwise(
-        _field_fault(F.try_parse_json(i), EVIDENCE, _EVIDENCE_DEFAULTS)
+    # the schema of a sound record settles all its fields at once; only other records are looked at field by field
+    sound = _is_sound(F.col("_record"), CASE, _CASE_DEFAULTS) & F.coalesce(F.forall(
+        F.try_variant_get("_record", "$.evidence", "array<variant>"), lambda e: _is_sound(e, EVIDENCE, _EVIDENCE_DEFAULTS)
+    ), F.lit(False))
+    df = _computed_once(df, {"case": case, "_sound": sound})
+    items = F.from_json(F.get_json_object(text, "$.evidence"), "array<string>", {"mode": "PERMISSIVE"})
+    item_faults = lambda raw_items: F.transform(raw_items, lambda i: F.when(~is_object(i), "wrong_type").otherwise(
+        once(F.try_parse_json(i), lambda r: _field_fault(r, EVIDENCE, _EVIDENCE_DEFAULTS))
     ))
-    df = df.withColumns({"case": case, "_item_fault": F.get(F.array_compact(item_faults), F.lit(0))})
-    unknown = _unknown(text, _CASE_FIELDS) | F.exists("_items", lambda i: F.coalesce(_unknown(i, _EVIDENCE_FIELDS), F.lit(False)))
+    unknown = lambda raw_items: _unknown(text, _CASE_FIELDS) | F.exists(
+        raw_items, lambda i: F.coalesce(_unknown(i, _EVIDENCE_FIELDS), F.lit(False))
+    )
     slots = F.from_json(F.get_json_object(text, "$.required_slots"), "array<variant>")
+    slot_fault = F.when(F.exists(slots, lambda s: F.schema_of_variant(s) != "STRING"), "wrong_type")
+    field_fault = F.when(F.col("_sound"), slot_fault).otherwise(once(items, lambda found: F.coalesce(
+        F.when(unknown(found), "unknown_field"), _field_fault(F.col("_record"), CASE, _CASE_DEFAULTS), slot_fault,
+        F.get(F.array_compact(item_faults(found)), F.lit(0)),
+    )))
+    df = _computed_once(df, {"_fault": F.when(F.col("_whole") & F.col("_record").isNotNull(), field_fault).otherwise("malformed")})
     rows = F.col("case.evidence")
     ids = F.transform(rows, lambda e: e["evidence_id"])
     at = lambda record: lambda name: record[name]
     reason = (
-        F.when(~F.col("_whole") | F.col("_record").isNull(), "malformed")
-        .when(unknown, "unknown_field")
-        .when(_field_fault(F.col("_record"), CASE, _CASE_DEFAULTS).isNotNull(), _field_fault(F.col("_record"), CASE, _CASE_DEFAULTS))
-        .when(F.exists(slots, lambda s: F.schema_of_variant(s) != "STRING"), "wrong_type")
-        .when(F.col("_item_fault").isNotNull(), F.col("_item_fault"))
+        F.when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(F.size(rows) > MAX_EVIDENCE_PER_CASE, "too_many_evidence_rows")
         .when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_evidence_id")
         .when(F.exists(rows, lambda e: ~F.coalesce(bbox_is_valid(e["bbox"]), F.lit(False))), "bad_bbox")
@@ -123,7 +157,7 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
         .when(_supersession_fault(rows), "bad_supersession")
         .when(_supersession_cycle(rows), "supersession_cycle")
     )
-    return df.withColumn("reason", reason).drop("_case", "_items", "_record", "_whole", "_item_fault")
+    return df.withColumn("reason", reason).drop("_case", "_record", "_whole", "_sound", "_fault")
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evisift.operators.assess import assess_long, assess_nested, assess_spread, usable_rows, with_text_facts
-from evisift.schemas import CASE
+from evisift.schemas import CASE, EVIDENCE
+from evisift.sources import cases as cases_source
 from evisift.sources.cases import explode_evidence, parse_cases, read_cases
 
 SLOTS = ["design", "implementation", "operating"]
@@ -222,3 +223,25 @@ def test_ingest_refuses_cycles_and_absent_fields(spark):
     lines = [json.dumps(x) for x in (case("ring", ring), case("chain", chain), absent)]
     raw = spark.createDataFrame([(x,) for x in lines], "value string")
     assert [r["reason"] for r in parse_cases(raw).collect()] == ["supersession_cycle", None, "missing_field"]
+
+
+def test_sound_schemas_are_those_without_a_fault(spark):
+    """One look at a record's schema finds it sound only where no field has a fault and none is unknown."""
+    good = full()[0]
+    boxed = {**good, "bbox": {"x1": 0.1, "y1": 0, "x2": 1, "y2": 1.0}}
+    short = {k: v for k, v in good.items() if k not in ("page", "supersedes", "bbox")}
+    faulty = [{k: v for k, v in good.items() if k != name} for name in ("slot", "source_hash", "age_days")]
+    faulty += [{**good, **change} for change in ({"page": "1"}, {"approved": None}, {"bbox": [1]}, {"age_days": 1.5}, {"slot": 5}, {"text": None})]
+    records = [*[(json.dumps(r), True) for r in (good, boxed, short)], *[(json.dumps(r), False) for r in faulty]]
+    # a box may hold what looks like a field of the row
+    fake = {k: v for k, v in good.items() if k != "slot"}
+    records += [(json.dumps({**fake, "bbox": {"slot": "design"}}), False), (json.dumps({**fake, "bbox": {"a>, slot": "x"}}), False)]
+    rows = spark.createDataFrame(records, "raw string, want boolean").withColumn("record", F.try_parse_json("raw")).select(
+        "raw", "want", cases_source._is_sound(F.col("record"), EVIDENCE, cases_source._EVIDENCE_DEFAULTS).alias("sound"),
+        cases_source._field_fault(F.col("record"), EVIDENCE, cases_source._EVIDENCE_DEFAULTS).alias("fault"),
+    ).collect()
+    for r in rows:
+        assert r["sound"] == r["want"] and (r["fault"] is None) == r["want"], r["raw"]
+    whole = [case("c", [good, boxed]), case("c", []), case("c", [{**good, "evidence_id": "a"}, 5]), {**case("c", [good]), "criticality": "1"}]
+    parsed = parse_cases(spark.createDataFrame([(json.dumps(x),) for x in whole], "value string"))
+    assert [r["reason"] for r in parsed.collect()] == ["duplicate_evidence_id", None, "wrong_type", "wrong_type"]
