@@ -32,3 +32,15 @@ def test_fit_is_repeatable_and_calibration_monotone(spark, rows):
     out = isotonic.apply_isotonic(steps, scored, "candidate_raw", "candidate").select("candidate_raw", "candidate").collect()
     ordered = [r["candidate"] for r in sorted(out, key=lambda r: r["candidate_raw"])]
     assert ordered == sorted(ordered) and all(0.0 <= p <= 1.0 for p in ordered)
+
+
+def test_partitions_of_the_fit_follow_from_the_rows(spark, rows, monkeypatch):
+    """Whatever the session's shuffle partitions are: each level of each tree is a job over all partitions of the fit."""
+    layouts = []
+    frame = type(rows)
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: layouts.append(n) or repartition(self, n, *by))
+    model.fit_risk_model(rows, max_iter=1)
+    monkeypatch.setattr(model, "PARTITION_ROWS", 400)
+    model.fit_risk_model(rows, max_iter=1)
+    assert layouts == [1, -(-rows.count() // 400)]
