@@ -109,19 +109,15 @@ def snapshot_diff(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def republish_verdict(existing: DataFrame, staged: DataFrame) -> DataFrame:
     """Per staged run: ``new``, ``no_op`` (same artifacts) or ``conflict``."""
     columns = ["run_id", "path", "bytes", "sha256"]
-    a, b = existing.select(*columns), staged.select(*columns)
-    runs = b.select("run_id").distinct()
-    differs = a.join(runs, "run_id", "left_semi").exceptAll(b).unionByName(b.exceptAll(a)).select(
-        "run_id"
-    ).distinct().withColumn("_differs", F.lit(True))
-    known = a.select("run_id").distinct().withColumn("_known", F.lit(True))
-    joined = runs.join(known, "run_id", "left").join(differs, "run_id", "left")
-    return joined.select(
-        "run_id",
-        F.when(F.col("_known").isNull(), "new").when(F.col("_differs"), "conflict").otherwise("no_op").alias(
-            "verdict"
-        ),
+    side = lambda df, old: df.select(*columns, F.lit(old).alias("_old"), F.lit(1 - old).alias("_new"))
+    # entries meet by all their columns, so a run is never gathered in one task; partial sums then give its verdict
+    entries = side(existing, 1).unionByName(side(staged, 0)).groupBy(*columns).agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    runs = entries.groupBy("run_id").agg(
+        (F.sum("_old") > 0).alias("_known"), (F.sum("_new") > 0).alias("_staged"), F.bool_or(F.col("_old") != F.col("_new")).alias("_differs"),
     )
+    # a run without a name is not known by it
+    verdict = F.when(~F.col("_known") | F.col("run_id").isNull(), "new").when(F.col("_differs"), "conflict").otherwise("no_op")
+    return runs.filter("_staged").select("run_id", verdict.alias("verdict"))
 
 
 def latest_valid_run(runs: DataFrame, problems: DataFrame, group: Sequence[str] = ()) -> DataFrame:

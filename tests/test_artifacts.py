@@ -109,3 +109,13 @@ def test_unlike_entries_of_one_batch_conflict(spark):
     batch = spark.createDataFrame([entry("new", "a"), entry("new", "b"), entry("twice", "a"), entry("twice", "a")], fields)
     got = sorted(tuple(r) for r in artifacts.register(spark.createDataFrame([], fields), batch).collect())
     assert got == [("new", "conflict"), ("new", "conflict"), ("twice", "registered"), ("twice", "registered")]
+
+
+def test_republishing_gathers_no_run_in_one_task(spark):
+    schema = "run_id string, path string, bytes bigint, sha256 string"
+    old = spark.createDataFrame([("a", "x", 1, "h"), ("a", "x", 1, "h"), ("b", "x", None, "h"), ("c", "x", 1, "h"), ("gone", "x", 1, "h"), (None, "x", 1, "h")], schema)
+    new = spark.createDataFrame([("a", "x", 1, "h"), ("b", "x", None, "h"), ("c", "x", 1, "h"), ("c", "y", 1, "h"), ("d", "x", 1, "h"), (None, "x", 1, "h")], schema)
+    out = artifacts.republish_verdict(old, new)
+    assert {tuple(r) for r in out.collect()} == {("a", "conflict"), ("b", "no_op"), ("c", "conflict"), ("d", "new"), (None, "new")}
+    # rows met by run_id alone in a join before
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
