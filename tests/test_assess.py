@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -245,3 +246,10 @@ def test_sound_schemas_are_those_without_a_fault(spark):
     whole = [case("c", [good, boxed]), case("c", []), case("c", [{**good, "evidence_id": "a"}, 5]), {**case("c", [good]), "criticality": "1"}]
     parsed = parse_cases(spark.createDataFrame([(json.dumps(x),) for x in whole], "value string"))
     assert [r["reason"] for r in parsed.collect()] == ["duplicate_evidence_id", None, "wrong_type", "wrong_type"]
+
+
+def test_assertions_travel_as_bytes(spark):
+    frame = spark.createDataFrame([("s" * 64, "design", "SUPPORTS", "text", False, True)], "source_hash string, slot string, polarity string, text string, prompt_injection boolean, approved boolean")
+    row = with_text_facts(frame).select(F.length("assertion").alias("n"), F.hex("assertion").alias("hex"), F.typeof("assertion").alias("type")).first()
+    assert (row["n"], row["type"]) == (32, "binary")
+    assert row["hex"].lower() == hashlib.sha256("\u0001".join(["s" * 64, "design", "SUPPORTS", "text"]).encode()).hexdigest()
