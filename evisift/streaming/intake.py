@@ -16,6 +16,8 @@ from evisift.sources.cases import parse_cases
 RETENTION_DAYS = 30
 MAX_RECORDS = 100_000
 MAX_BODY_BYTES = 1_000_000
+# States of the intake stream; each holds the entries of the keys that fall to it.
+KEY_BUCKETS = 1024
 
 
 def admission(
@@ -60,38 +62,49 @@ def intake_batch(requests: DataFrame) -> DataFrame:
     return requests.join(first, "idempotency_key").withColumn("status", status).drop("_first")
 
 
-def intake_stream(requests: DataFrame, retention_days: int = RETENTION_DAYS, late: str = "1 hour") -> DataFrame:
-    """Stream twin of ``intake_batch``: one small state per key, forgotten after the retention time.
+def intake_stream(
+    requests: DataFrame, retention_days: int = RETENTION_DAYS, late: str = "1 hour", buckets: int = KEY_BUCKETS,
+) -> DataFrame:
+    """Stream twin of ``intake_batch``: one small entry per key, forgotten after the retention time.
 
-    Limit the rows per trigger at the source (``maxFilesPerTrigger`` and the like): a key's rows of one
-    trigger are ordered together before they are judged.
+    Keys are dealt to ``buckets``, whose entries are one state each: a call into Python costs far more than a row, so it serves
+    many keys. Raise the number with the keys that are remembered; a checkpoint keeps the number it began with. Limit the rows per
+    trigger at the source (``maxFilesPerTrigger`` and the like): a bucket's rows of one trigger are ordered together before they
+    are judged. A null body hash equals no other.
     """
     keep_ms = retention_days * 86_400_000
 
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def decide(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {key: (body, first) for key, body, first in zip(*state.get, strict=True)} if state.exists else {}
+        if not state.hasTimedOut:
+            # a bucket's rows may come in several Arrow batches, in no order; a trigger bounds how many there are
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            statuses = []
+            for key, body, at in zip(*[rows[c].tolist() for c in ("idempotency_key", "body_hash", "_ms")], strict=True):
+                entry = known.get(key)
+                if entry is None or at - entry[1] > keep_ms:
+                    known[key] = (body, at)
+                    statuses.append("new")
+                else:
+                    statuses.append("replayed" if body is not None and body == entry[0] else "conflict")
+            yield rows[["idempotency_key", "event_id", "ts"]].assign(status=statuses)
+        now = state.getCurrentWatermarkMs()
+        kept = [(key, body, first) for key, (body, first) in known.items() if first + keep_ms >= now]
+        if not kept:
             state.remove()
             return
-        # a key's rows may come in several Arrow batches, in no order; a trigger bounds how many there are
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        statuses = []
-        for body, at in zip(rows["body_hash"], rows["ts"], strict=True):
-            at_ms = int(at.timestamp() * 1000)
-            first_body, first_ms = state.get if state.exists else (None, 0)
-            if first_body is None or at_ms - first_ms > keep_ms:
-                state.update((body, at_ms))
-                statuses.append("new")
-            else:
-                statuses.append("replayed" if body == first_body else "conflict")
-        yield rows[["idempotency_key", "event_id", "ts"]].assign(status=statuses)
-        expires = state.get[1] + keep_ms
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-
-    columns = requests.select("idempotency_key", "event_id", "ts", "body_hash").withWatermark("ts", late)
-    return columns.groupBy("idempotency_key").applyInPandasWithState(
+        keys, bodies, firsts = map(list, zip(*kept, strict=True))
+        state.update((keys, bodies, firsts))
+        state.setTimeoutTimestamp(max(min(firsts) + keep_ms, now + 1))
+
+    columns = requests.select(
+        "idempotency_key", "event_id", "ts", "body_hash", F.unix_millis("ts").alias("_ms"),
+        F.pmod(F.xxhash64("idempotency_key"), F.lit(buckets)).alias("_bucket"),
+    ).withWatermark("ts", late)
+    return columns.groupBy("_bucket").applyInPandasWithState(
         decide,
         outputStructType="idempotency_key string, event_id bigint, ts timestamp, status string",
-        stateStructType="body_hash string, first_ms bigint",
+        stateStructType="keys array<string>, bodies array<string>, firsts array<bigint>",
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
