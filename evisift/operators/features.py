@@ -28,13 +28,12 @@ FEATURES = (
 
 
 def case_features(
-    cases: DataFrame, evidence: DataFrame, results: DataFrame, carry: Sequence[str] = ()
+    cases: DataFrame, evidence: DataFrame, results: DataFrame, carry: Sequence[str] = (), spread: bool = False
 ) -> DataFrame:
     """One row of doubles per case. ``results`` supplies the assessed status.
 
-    Evidence is summed per (case, slot, source) first, which also gives the number of distinct sources. With
-    cases inside the contract all steps share the exchange of the scope join; when some case is larger, rows
-    are spread by (case, slot, source) before they are summed.
+    All steps share the exchange of the scope join; a case is summed in one task, as ``assess_long`` assesses it. With ``spread``
+    rows are dealt and summed by (case, slot, source) first, for tables whose cases outgrow what a task holds.
     """
     scope = cases.select("case_id", "target_system", "target_region", "max_age_days")
     e = evidence if "bbox" in evidence.columns else evidence.withColumn("bbox", F.lit(None))
@@ -53,22 +52,14 @@ def case_features(
         "no_box": F.col("bbox").isNull(),
         "approved_exception": (F.col("slot") == "exception") & F.col("approved"),
     }
-    # dealt by the finer key, so one case's rows are spread whatever its size
-    joined = e.join(scope, "case_id").repartition("case_id", "slot", "source_hash")
-    fine = joined.groupBy("case_id", "slot", "source_hash").agg(
+    joined = e.join(scope, "case_id")
+    per_case = _spread_sums(joined, tests) if spread else joined.groupBy("case_id").agg(
         *[F.count_if(test).alias(name) for name, test in tests.items()],
-        F.bool_or(F.col("polarity") == "SUPPORTS").alias("s"),
-        F.bool_or(F.col("polarity") == "CONTRADICTS").alias("c"),
-    )
-    per_source = fine.groupBy("case_id", "source_hash").agg(
-        *[F.sum(name).alias(name) for name in tests],
-        F.collect_set(F.when(F.col("s"), F.col("slot"))).alias("s_slots"),
-        F.collect_set(F.when(F.col("c"), F.col("slot"))).alias("c_slots"),
-    )
-    flat = lambda name: F.array_distinct(F.flatten(F.collect_set(name))).alias(name)
-    per_case = per_source.groupBy("case_id").agg(
-        *[F.sum(name).alias(name) for name in tests],
-        F.count("*").alias("sources"), flat("s_slots"), flat("c_slots"),
+        (F.size(F.collect_set("source_hash")) + F.bool_or(F.col("source_hash").isNull()).cast("int")).alias("sources"),
+        *[
+            F.collect_set(F.when(F.col("polarity") == polarity, F.col("slot"))).alias(name)
+            for name, polarity in (("s_slots", "SUPPORTS"), ("c_slots", "CONTRADICTS"))
+        ],
     )
     none = F.array().cast("array<string>")
     facts = (
@@ -111,6 +102,26 @@ def case_features(
     )
 
 
+def _spread_sums(joined: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """The sums of each case, whatever its size: its rows are dealt by a finer key."""
+    dealt = joined.repartition("case_id", "slot", "source_hash")
+    fine = dealt.groupBy("case_id", "slot", "source_hash").agg(
+        *[F.count_if(test).alias(name) for name, test in tests.items()],
+        F.bool_or(F.col("polarity") == "SUPPORTS").alias("s"),
+        F.bool_or(F.col("polarity") == "CONTRADICTS").alias("c"),
+    )
+    per_source = fine.groupBy("case_id", "source_hash").agg(
+        *[F.sum(name).alias(name) for name in tests],
+        F.collect_set(F.when(F.col("s"), F.col("slot"))).alias("s_slots"),
+        F.collect_set(F.when(F.col("c"), F.col("slot"))).alias("c_slots"),
+    )
+    flat = lambda name: F.array_distinct(F.flatten(F.collect_set(name))).alias(name)
+    return per_source.groupBy("case_id").agg(
+        *[F.sum(name).alias(name) for name in tests],
+        F.count("*").alias("sources"), flat("s_slots"), flat("c_slots"),
+    )
+
+
 # ---------------------------------------------------------------------------------------------
 # perturbation
 
@@ -247,12 +258,9 @@ def perturbation_matrix(cases: DataFrame, evidence: DataFrame, results: DataFram
         .withColumn("_packed", F.coalesce("_packed", F.array().cast(kind))).select("*", each)
         .withColumn("_changed", _perturbed_items(F.col("_packed"), kind))
     )
-    judged = lambda e: F.struct(
-        *[e[n].alias(n) for n in ("evidence_id", "slot", "polarity", "supersedes")], _base_valid(e, *_target()).alias("ok"),
-        *[e[n].alias(n) for n in ("assertion", "exception_ok")],
-    )
-    items = twins.withColumn("_items", F.transform("_changed", judged)).drop("_packed", "_changed")
-    after = decide(_rollup_nested(items), ["mutation", "status_before"]).withColumnRenamed("status", "status_after")
+    items = twins.withColumnRenamed("_changed", "_items").drop("_packed")
+    judged = _rollup_nested(items, lambda e: _base_valid(e, *_target()))
+    after = decide(judged, ["mutation", "status_before"]).withColumnRenamed("status", "status_after")
     improved = (F.col("status_after") == "SATISFIED") & (F.col("status_before") != "SATISFIED")
     return after.groupBy("mutation", "status_before", "status_after").agg(
         F.count("*").alias("n_cases"), F.count_if(improved).alias("n_improved")
