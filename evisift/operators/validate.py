@@ -117,11 +117,10 @@ def supersession_cycles(evidence: DataFrame) -> DataFrame:
     table has can only be chasing a cycle, and what they point at lies on one. An acyclic table is empty
     after log2(longest chain) joins.
     """
-    ids = evidence.select("case_id", "evidence_id").distinct()
-    hops = pin(
+    # a link to no row of the case needs no look-up: nothing goes on from there, so the first join drops it
+    links = hops = pin(
         evidence.filter("supersedes is not null")
-        .select("case_id", "evidence_id", F.col("supersedes").alias("ahead"))
-        .join(ids.withColumnRenamed("evidence_id", "ahead"), ["case_id", "ahead"], "left_semi").distinct(),
+        .select("case_id", "evidence_id", F.col("supersedes").alias("ahead")).distinct(),
         "hops",
     )
     # a cycle stays inside a case, so chains longer than the largest case are not needed
@@ -136,7 +135,9 @@ def supersession_cycles(evidence: DataFrame) -> DataFrame:
             "hops",
         )
         reach *= 2
-    return hops.select("case_id", F.col("ahead").alias("evidence_id")).distinct()
+    # a row on a cycle links on
+    ends = hops.select("case_id", F.col("ahead").alias("evidence_id")).distinct()
+    return ends.join(links, ["case_id", "evidence_id"], "left_semi")
 
 
 def align_cases_results(cases: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

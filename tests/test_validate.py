@@ -45,3 +45,10 @@ def test_duplicates_alignment_and_sets(spark):
         ("b", "duplicate_case"), ("b", "missing_result"), ("c", "unknown_case"), ("d", "duplicate_result"),
     }
     assert {tuple(r) for r in validate.same_id_set(ids("a", "b"), ids("b", "c")).collect()} == {("a", "left"), ("c", "right")}
+
+
+def test_only_rows_on_the_cycle(spark):
+    """A row that a cycle merely leads to used to be named, and every row was looked up before the first join."""
+    rows = [("c", "a", "s", "b"), ("c", "b", "s", "a"), ("c", "b", "s", "x"), ("c", "x", "s", None), ("c", "y", "s", "gone")]
+    out = validate.supersession_cycles(spark.createDataFrame(rows, EVIDENCE))
+    assert sorted(r["evidence_id"] for r in out.collect()) == ["a", "b"]
