@@ -4,6 +4,8 @@ Both tokenizers cut one text, so the ends of their tokens in bytes are two ascen
 tokens of both end cut the text into groups. While tokens match one to one, both lists agree at a constant shift of
 indices: widths of 1, 2, 4, ... ends are compared at that shift, then halved, which jumps the whole run. Where the lists
 differ, the ends are followed one by one up to the next common one, which closes an irregular group and gives the new shift.
+Texts are parted before spaces where tokens of both surely end. The distinct chunks of some texts that are not known yet are encoded
+and walked as one text, and their links are remembered.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,8 +30,11 @@ from evisift.session import pin
 FREQUENT_PAIRS = 2**20
 # Pairs that a counting task holds before it hands on its counts; rows that a task aligns or scores at once.
 COUNTED_PAIRS, ALIGNED_CHARS, SCORED_ROWS = 1_000_000, 1_000_000, 1_000
-KNOWN_CHUNKS = 400_000
-_CHUNK = re.compile(r" +[^ ]+(?: +\Z)?")
+# Chunks that a Python worker remembers and their characters; chunks that are encoded as one text.
+KNOWN_CHUNKS, KNOWN_CHARS, CHUNKS_AT_ONCE = 400_000, 8_000_000, 256
+# Patterns without a piece that holds a space behind anything but white space, and whose pieces do not depend on what is before them.
+SPACE_FIRST = frozenset([public_tokenizers.PATTERN])
+_BLANK, _GAP = re.compile(r"[^\S ] "), re.compile(r"(?<=\S) ")
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[bool]]:
@@ -88,7 +94,7 @@ def links_of(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class PieceModel:
-    """A sentence-piece model that never joins a space to what stands before it, so texts are cut before spaces."""
+    """A sentence-piece model; it ``cuts`` if it never joins a space to what stands before it."""
 
     def __init__(self, data: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -96,40 +102,14 @@ class PieceModel:
         self.bytes = [
             bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
-        self.lengths = np.array([len(x) for x in self.bytes])
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, bytes] = {}
-        # chunks whose tokens spell something else
-        self.unlike: set[str] = set()
-
-    def _learn(self, chunks: list[str]) -> None:
-        # the model puts the first space back
-        ids = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        flat = list(chain.from_iterable(ids))
-        raw, spelled = np.array(flat, "<u4").tobytes(), [c.encode("utf-8", "surrogatepass") for c in chunks]
-        ends = np.cumsum([len(x) for x in ids])
-        lengths = np.diff(np.append(0, np.cumsum(self.lengths[flat]))[np.append(0, ends)]) if flat else np.zeros(len(chunks))
-        # equal as a whole and in every length is equal in every chunk
-        same = b"".join(map(self.bytes.__getitem__, flat)) == b"".join(spelled) and lengths.tolist() == [len(x) for x in spelled]
-        at = [0, *ends.tolist()]
-        self.known.update(zip(chunks, [raw[4 * s:4 * e] for s, e in zip(at, at[1:], strict=False)], strict=True))
-        if not same:
-            self.unlike |= {c for c, mine, text in zip(chunks, ids, spelled, strict=True) if b"".join(map(self.bytes.__getitem__, mine)) != text}
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Packed ids of each non-empty text, None where their bytes are not a space and the text."""
         out = []
-        for at in range(0, len(texts), 256):
-            spaced = [" " + t for t in texts[at:at + 256]]
-            cut = [(_CHUNK.findall(t) if self.cuts else None) or [t] for t in spaced]
-            new = set().union(*cut)
-            if len(self.known) + len(new) > KNOWN_CHUNKS:
-                self.known.clear()
-                self.unlike.clear()
-            self._learn(list(new - self.known.keys()))
-            for chunks in cut:
-                same = not self.unlike or self.unlike.isdisjoint(chunks)
-                out.append(b"".join(map(self.known.__getitem__, chunks)) if same else None)
+        for text, ids in zip(texts, self.model.encode(texts, num_threads=1), strict=True):
+            same = b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode("utf-8", "surrogatepass")
+            out.append(np.array(ids, "<u4").tobytes() if same else None)
         return out
 
 
@@ -157,6 +137,8 @@ def _model(file: PieceFile) -> PieceModel:
 
 
 class Aligner:
+    """Aligns texts chunk by chunk where tokens of both sides surely end; remembers the links of a bounded number of chunks."""
+
     def __init__(self, a: VocabularyFile, pattern: str, b: PieceFile):
         self.a, self.b = a.codec(pattern), b.model()
         tokens = self.a.vocabulary.tokens
@@ -167,29 +149,105 @@ class Aligner:
         # an id and what follows it: another id of its side, the other side, the next group
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.names = [f"{k}{mark}" for k in range(most) for mark in ",|;"]
+        self.cuts = self.b.cuts and pattern in SPACE_FIRST
+        self._forget()
+
+    def _forget(self) -> None:
+        # numbers of chunks; by number their groups' spelling, tokens of A and of B, groups, links, first link; all links in a row
+        self.known: dict[str, int] = {}
+        self.chars, self.groups, self.pairs = 0, [], np.zeros(0, np.uint32)
+        self.sizes = np.zeros((4, 0), np.int64)
+        self.first = np.zeros(0, np.int64)
+
+    def chunks(self, text: str) -> list[str]:
+        """A text parted by single spaces where neither side has a token on both sides of the place before the space."""
+        if not self.cuts:
+            return [text]
+        parts = text.split(" ")
+        if "" not in parts and not _BLANK.search(text):
+            return parts
+        body = text.rstrip()
+        parts = _GAP.split(body)
+        parts[-1] += text[len(body):]
+        return parts
 
     def rows(self, texts: list[str | None]) -> list[list]:
         """Columns ``n_a, n_b, n_groups, n_links, groups, pairs, times`` over the texts."""
         there = [k for k, t in enumerate(texts) if t]
-        given = [texts[k] for k in there]
-        a_ids, b_ids = self.a.encode([" " + t for t in given]), self.b.encode(given)
-        found = [(k, x, y) for k, x, y in zip(there, a_ids, b_ids, strict=True) if y is not None]
         out = [[0] * len(texts) for _ in range(4)] + [[None] * len(texts), [b""] * len(texts), [b""] * len(texts)]
-        if found:
-            places, a_packed, b_packed = zip(*found, strict=True)
-            for column, values in zip(out, self._columns(a_packed, b_packed), strict=True):
+        cut = [self.chunks(texts[k]) for k in there]
+        self._learn(set().union(*cut))
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        ends = np.cumsum([len(x) for x in cut])
+        if there:
+            # a chunk without tokens is spelled otherwise, and so is its text
+            spelled = np.minimum.reduceat(self.sizes[0, numbers], np.append(0, ends[:-1])) > 0
+            numbers = numbers[np.repeat(spelled, np.diff(ends, prepend=0))]
+            places = [k for k, same in zip(there, spelled.tolist(), strict=True) if same]
+            for column, values in zip(out, self._columns(numbers, np.diff(ends, prepend=0)[spelled]), strict=True):
                 for k, value in zip(places, values, strict=True):
                     column[k] = value
         return out
 
-    def _columns(self, a_packed: list[bytes], b_packed: list[bytes]) -> tuple:
-        """All texts are aligned as one: each ends where tokens of both sides end."""
-        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a_packed, b_packed))
-        n_a, n_b = (np.array([len(x) // 4 for x in packed]) for packed in (a_packed, b_packed))
-        left, right, group = links_of(np.cumsum(self.a_bytes[a]).tolist(), np.cumsum(self.b_bytes[b]).tolist())
-        text_of_a = np.repeat(np.arange(len(n_a)), n_a)
-        text = text_of_a[left]
-        n_links = np.bincount(text, minlength=len(n_a))
+    def _columns(self, numbers: np.ndarray, n_chunks: np.ndarray) -> tuple:
+        """Sums, spellings and counted pairs of texts that have so many chunks each."""
+        if not len(numbers):
+            return ((),) * 7
+        ends = np.cumsum(n_chunks)
+        sizes = np.add.reduceat(self.sizes[:, numbers], ends - n_chunks, axis=1)
+        names = list(map(self.groups.__getitem__, numbers.tolist()))
+        groups = ["".join(names[s:e])[:-1] for s, e in zip((ends - n_chunks).tolist(), ends.tolist(), strict=True)]
+        n_links = self.sizes[3, numbers]
+        at = np.arange(n_links.sum()) + np.repeat(self.first[numbers] - np.cumsum(n_links) + n_links, n_links)
+        text = np.repeat(np.arange(len(n_chunks)), sizes[3])
+        codes, times = np.unique(text << 32 | self.pairs[at], return_counts=True)
+        cuts = np.searchsorted(codes, np.arange(len(n_chunks) + 1) << 32).tolist()
+        raw, counted = (codes & 0xFFFFFFFF).astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        packed = [[x[4 * s:4 * e] for s, e in zip(cuts, cuts[1:], strict=False)] for x in (raw, counted)]
+        return *sizes.tolist(), groups, *packed
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = chunks.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_CHUNKS or self.chars + sum(map(len, new)) > KNOWN_CHARS:
+            self._forget()
+            new = chunks
+        if not new:
+            return
+        self.chars += sum(map(len, new))
+        # chunks without white space at their ends are encoded together
+        plain = [c for c in new if c.strip() == c] if self.cuts else []
+        lots = [[c] for c in new.difference(plain)] + [plain[k:k + CHUNKS_AT_ONCE] for k in range(0, len(plain), CHUNKS_AT_ONCE)]
+        spelled, unlike, a_packed, b_packed = [], [], [], []
+        while lots:
+            texts, again = [" ".join(lot) for lot in lots], []
+            for lot, a_ids, b_ids in zip(lots, self.a.encode([" " + t for t in texts]), self.b.encode(texts), strict=True):
+                if b_ids is not None:
+                    spelled += lot
+                    a_packed.append(a_ids)
+                    b_packed.append(b_ids)
+                elif len(lot) > 1:
+                    again += [[c] for c in lot]
+                else:
+                    unlike += lot
+            lots = again
+        self.known.update(zip(spelled + unlike, range(len(self.known), len(self.known) + len(new)), strict=True))
+        sizes, pairs = np.zeros((4, len(new)), np.int64), self.pairs[:0]
+        if spelled:
+            sizes[:, :len(spelled)], groups, pairs = self._aligned(spelled, b"".join(a_packed), b"".join(b_packed))
+            self.groups += groups
+        self.groups += [""] * len(unlike)
+        self.first = np.append(self.first, len(self.pairs) + np.cumsum(sizes[3]) - sizes[3])
+        self.sizes, self.pairs = np.hstack([self.sizes, sizes]), np.append(self.pairs, pairs)
+
+    def _aligned(self, chunks: list[str], a_packed: bytes, b_packed: bytes) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Sizes, groups and links of chunks, which are aligned as one: each ends where tokens of both sides end."""
+        a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (a_packed, b_packed))
+        bytes_a, bytes_b = np.cumsum(self.a_bytes[a]), np.cumsum(self.b_bytes[b])
+        cuts = np.cumsum([1 + len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        n_a, n_b = (np.diff(np.searchsorted(x, cuts, "right"), prepend=0) for x in (bytes_a, bytes_b))
+        left, right, group = links_of(bytes_a.tolist(), bytes_b.tolist())
+        of_a = np.repeat(np.arange(len(n_a)), n_a)
+        n_links = np.bincount(of_a[left], minlength=len(n_a))
         # the group of every token, from its first link, and its place in the spelling: tokens of A, then of B, group by group
         group_a, group_b = (group[np.flatnonzero(np.diff(x, prepend=-1))] for x in (left, right))
         n_groups = int(group[-1]) + 1
@@ -201,13 +259,14 @@ class Aligner:
         spelling[np.arange(len(b)) + ends_a[group_b]] = 3 * b + marks_b
         names = list(map(self.names.__getitem__, spelling.tolist()))
         ends = np.append(0, np.cumsum(n_a + n_b)).tolist()
-        groups = ["".join(names[s:e])[:-1] for s, e in zip(ends, ends[1:], strict=False)]
-        codes, times = np.unique(text << 32 | a[left] << 16 | b[right], return_counts=True)
-        cuts = np.searchsorted(codes, np.arange(len(n_a) + 1) << 32).tolist()
-        raw, counted = (codes & 0xFFFFFFFF).astype("<u4").tobytes(), times.astype("<u4").tobytes()
-        packed = [[x[4 * s:4 * e] for s, e in zip(cuts, cuts[1:], strict=False)] for x in (raw, counted)]
-        of_text = np.bincount(text_of_a[np.append(0, ends_a[:-1])], minlength=len(n_a))
-        return n_a.tolist(), n_b.tolist(), of_text.tolist(), n_links.tolist(), groups, *packed
+        groups = ["".join(names[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
+        of_chunk = np.bincount(of_a[np.append(0, ends_a[:-1])], minlength=len(n_a))
+        return np.array([n_a, n_b, of_chunk, n_links]), groups, (a[left] << 16 | b[right]).astype(np.uint32)
+
+
+@lru_cache(maxsize=2)
+def _aligner(a: VocabularyFile, pattern: str, b: PieceFile) -> Aligner:
+    return Aligner(a, pattern, b)
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
@@ -226,7 +285,7 @@ def align_texts(documents: DataFrame, a: VocabularyFile, pattern: str, b: PieceF
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, pattern, b)
+        aligner = _aligner(a, pattern, b)
         for batch in batches:
             for part in slices(batch, "text", ALIGNED_CHARS):
                 columns = aligner.rows(part["text"].to_pylist())

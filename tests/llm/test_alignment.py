@@ -145,3 +145,37 @@ def test_real_outputs_and_empty_table(spark, documents):
     assert rows[1].groups.count(";") == rows[1].n_groups - 1 and rows[2].groups is None
     assert sum(np.frombuffer(rows[1].times, "<u4")) == rows[1].n_links == rows[1].n_a + rows[1].n_b - rows[1].n_groups
     assert alignment.score_alignment(data.limit(0), *files).count() == 0
+
+
+def test_chunks_are_encoded_and_aligned_once(spark, libraries, monkeypatch):
+    a = alignment.Aligner(bpe.VocabularyFile(spark, MERGES), PATTERN, alignment.PieceFile(spark, PIECES))
+    seen, walked, encode, walk = [], [], bpe.Codec.encode, alignment.links_of
+    monkeypatch.setattr(bpe.Codec, "encode", lambda self, texts: encode(self, [seen.append(len(t)) or t for t in texts]))
+    monkeypatch.setattr(alignment, "links_of", lambda x, y: walked.append(len(x)) or walk(x, y))
+    value = text(8, 300)
+    once, many = a.rows([value]), a.rows([f"{value} {value}", None, value] * 40)
+    assert sum(seen) <= len(value) + 1 and sum(walked) <= once[0][0]
+    assert many[0] == [2 * once[0][0], 0, once[0][0]] * 40 and many[4][0] == f"{once[4][0]};{once[4][0]}"
+
+
+WHITE = "ab.'sé1&, \n\t\r\x0b\x1c\x1f\x85\xa0  　▁ﬁ"
+
+
+@pytest.mark.parametrize("pattern", [PATTERN, f"{PATTERN}|(?!)"])
+def test_rows_equal_libraries_for_any_white_space(spark, libraries, pattern):
+    """Texts meet in one slice, with chunks that are spelled otherwise among them; other patterns see whole texts."""
+    a = alignment.Aligner(bpe.VocabularyFile(spark, MERGES), pattern, alignment.PieceFile(spark, PIECES))
+    assert a.cuts == (pattern == PATTERN)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(WHITE, min_size=1, max_size=30), min_size=1, max_size=6))
+    def equal(values):
+        for value, row in zip(values, zip(*a.rows(values), strict=True), strict=True):
+            p = plain(libraries, value)
+            groups = brute_groups(*p[2:]) if p else []
+            named = ";".join(",".join(map(str, p[0][i:k])) + "|" + ",".join(map(str, p[1][j:m])) for i, k, j, m in groups) if p else None
+            assert row[:5] == ((len(p[0]), len(p[1]), len(groups), len(brute_links(*p[2:])), named) if p else (0, 0, 0, 0, None))
+            pairs = Counter(p[0][i] << 16 | p[1][j] for i, j in brute_links(*p[2:])) if p else {}
+            assert dict(zip(*(np.frombuffer(x, "<u4").tolist() for x in row[5:]), strict=True)) == pairs
+
+    equal()
