@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -34,8 +35,8 @@ FREQUENT_WORDS = 2**17
 # most ``FULL_ROUNDS`` times, until the likelihood of a token rises by less than ``LEAST_RISE``.
 SHARES, SLICES = (1,) * 8 + (2,) * 4 + (4, 4), 16
 FULL_ROUNDS, LEAST_RISE = 3, 1e-3
-# Tokens of the texts that one step of a recursion goes over together: with all states kept in single precision, and with the last only.
-CHUNK_TOKENS, SCORED_TOKENS = 800_000, 3_200_000
+# Tokens of the texts that a recursion goes over together; a longer text is one such chunk.
+CHUNK_TOKENS = 800_000
 COUNTER_WORDS = 300_000
 
 
@@ -66,67 +67,78 @@ class Model:
         )
 
 
-def chunks(texts: list[np.ndarray], tokens: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """``(numbers, lengths, symbols by place)`` of texts of like length, the longest first in each chunk."""
+def chunks(texts: list[np.ndarray], tokens: int) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+    """``(numbers, cuts, symbols)`` of texts of like length, the longest first in each chunk.
+
+    Symbols go by place: those at place ``t`` of all texts that reach it are ``symbols[cuts[t]:cuts[t + 1]]``, in the order of ``numbers``.
+    """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    total = np.append(0, np.cumsum(sizes))
     at = 0
     while at < len(order):
-        take = max(1, tokens // max(len(texts[order[at]]), 1))
-        mine = order[at:at + take]
-        lengths = np.array([len(texts[i]) for i in mine])
-        grid = np.zeros((lengths[0], len(mine)), np.int32)
-        for column, i in enumerate(mine):
-            grid[: lengths[column], column] = texts[i]
-        yield mine, lengths, grid
-        at += take
-
-
-def _forward(model: Model, lengths: np.ndarray, grid: np.ndarray, keep: bool):
-    emit = np.ascontiguousarray(model.emit.T)
-    active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")
-    total, now = np.zeros(len(lengths)), None
-    alphas = np.zeros((*grid.shape, STATES), np.float32) if keep else None
-    scales = np.ones(grid.shape) if keep else None
-    for t in range(len(grid)):
-        n = active[t]
-        now = (np.broadcast_to(model.start, (n, STATES)) if t == 0 else now[:n] @ model.step) * emit[grid[t, :n]]
-        scale = now.sum(axis=1)
-        now = now / scale[:, None]
-        total[:n] += np.log(scale)
-        if keep:
-            alphas[t, :n], scales[t, :n] = now, scale
-    return total, active, alphas, scales
+        end = max(at + 1, int(np.searchsorted(total, total[at] + tokens, side="right")) - 1)
+        mine, lengths = order[at:end], sizes[at:end]
+        active = len(mine) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+        cuts = np.append(0, np.cumsum(active))
+        flat = np.concatenate([texts[i] for i in mine])
+        place = np.arange(len(flat)) - np.repeat(total[at:end] - total[at], lengths)
+        symbols = np.empty_like(flat)
+        symbols[cuts[place] + np.repeat(np.arange(len(mine)), lengths)] = flat
+        yield mine, cuts.tolist(), symbols
+        at = end
+
+
+def _forward(model: Model, cuts: list[int], symbols: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled state of every token, in ``kind`` of precision, and its scale."""
+    alphas = np.take(np.ascontiguousarray(model.emit.T, kind), symbols, axis=0)
+    scales, step, ones = np.empty(len(symbols), kind), model.step.astype(kind), np.ones(STATES, kind)
+    room, now = np.empty((cuts[1], STATES), kind), None
+    for t, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        ahead = np.matmul(now[:e - s], step, out=room[:e - s]) if t else model.start.astype(kind)
+        now = alphas[s:e]
+        now *= ahead
+        now /= np.matmul(now, ones, out=scales[s:e])[:, None]
+    return alphas, scales
 
 
 def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of each text by the scaled forward recursion."""
     out = np.zeros(len(texts))
-    for numbers, lengths, grid in chunks(texts, SCORED_TOKENS):
-        out[numbers] = _forward(model, lengths, grid, keep=False)[0]
+    for numbers, cuts, symbols in chunks(texts, CHUNK_TOKENS):
+        logs, total = np.log(_forward(model, cuts, symbols, np.float64)[1]), np.zeros(len(numbers))
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            total[:e - s] += logs[s:e]
+        out[numbers] = total
     return out
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions over some texts, and their log likelihood."""
+    """Expected starts, transitions and emissions over some texts, and their log likelihood; states are kept in single precision."""
     likelihood = 0.0
     start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-    by_symbol = np.ascontiguousarray(model.emit.T)
-    for _, lengths, grid in chunks(texts, CHUNK_TOKENS):
-        each, active, alphas, scales = _forward(model, lengths, grid, keep=True)
-        likelihood += float(each.sum())
-        beta = np.ones((len(lengths), STATES))
-        for t in range(len(grid) - 1, -1, -1):
-            n = active[t]
-            if t + 1 < len(grid) and (m := active[t + 1]):
-                ahead = by_symbol[grid[t + 1, :m]] * beta[:m] / scales[t + 1, :m, None]
-                step += model.step * (alphas[t, :m].T @ ahead)
-                beta[:m] = ahead @ model.step.T
-            alphas[t, :n] *= beta[:n]
-        start += alphas[0].sum(axis=0)
-        inside = np.arange(len(grid))[:, None] < lengths
-        symbols, share = grid[inside], alphas[inside]
+    by_symbol, back = np.ascontiguousarray(model.emit.T, np.float32), np.ascontiguousarray(model.step.T, np.float32)
+    for _, cuts, symbols in chunks(texts, CHUNK_TOKENS):
+        alphas, scales = _forward(model, cuts, symbols, np.float32)
+        likelihood += float(np.log(scales).sum(dtype=float))
+        np.reciprocal(scales, out=scales)
+        beta, room = np.ones((2, cuts[1], STATES), np.float32)
+        m = 0
+        for t in range(len(cuts) - 2, -1, -1):
+            s, e = cuts[t], cuts[t + 1]
+            now = alphas[s:e]
+            if m:
+                step += model.step * (now[:m].T @ ahead)
+                np.matmul(ahead, back, out=beta[:m])
+            m = e - s
+            if t:
+                ahead = np.take(by_symbol, symbols[s:e], axis=0, out=room[:m], mode="clip")
+                ahead *= beta[:m]
+                ahead *= scales[s:e, None]
+            now *= beta[:m]
+        start += alphas[:cuts[1]].sum(axis=0)
         for k in range(STATES):
-            emit[k] += np.bincount(symbols, share[:, k], SYMBOLS)
+            emit[k] += np.bincount(symbols, alphas[:, k], SYMBOLS)
     return start, step, emit, likelihood
 
 
@@ -171,6 +183,23 @@ class Lexicon:
         return np.concatenate([[self.ends], own, np.zeros(SYMBOL_WORDS - len(own)), self.class_tokens]).astype(float)
 
 
+    @cached_property
+    def tables(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the frequent words; by number (0 is the end) its symbol and the parts of both scores. A worker makes them once."""
+        number = {word: k for k, (word, _) in enumerate(self.frequent, 1)}
+        counts = np.array([self.ends, *(c for _, c in self.frequent)], dtype=float)
+        # a number's symbol: its own up to SYMBOL_WORDS, else its class
+        symbol = np.arange(len(counts))
+        classes = np.array([0, *(word_class(w) for w, _ in self.frequent)])
+        in_class = symbol > SYMBOL_WORDS
+        symbol[in_class] = 1 + SYMBOL_WORDS + classes[in_class]
+        base = np.log10((counts + 1) / (self.tokens + self.distinct + 1))
+        rest = np.zeros(len(counts))
+        totals = self.class_tokens + self.class_words + 1
+        rest[in_class] = np.log10((counts[in_class] + 1) / totals[classes[in_class]])
+        return number, symbol, base, rest
+
+
 def build_lexicon(words: DataFrame, ends: int) -> Lexicon:
     """From a pinned table of ``word, c``. The driver holds at most ``FREQUENT_WORDS`` words and ``CLASSES`` rows.
 
@@ -200,23 +229,22 @@ ENCODED = (
 )
 
 
+class _Endings(dict):
+    """Symbol of the class of words by their last two bytes, of which there are few."""
+
+    def __missing__(self, last: bytes) -> int:
+        self[last] = symbol = 1 + SYMBOL_WORDS + word_class(last)
+        return symbol
+
+
 def encode(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Symbols of each text, the parts of its scores that frequent words settle, and its rarer words with their counts."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
-        number = {word: k for k, (word, _) in enumerate(held.frequent, 1)}
-        counts = np.array([held.ends, *(c for _, c in held.frequent)], dtype=float)
-        # a number's symbol: its own up to SYMBOL_WORDS, else its class
-        symbol = np.arange(len(counts))
-        classes = np.array([0, *(word_class(w) for w, _ in held.frequent)])
-        in_class = symbol > SYMBOL_WORDS
-        symbol[in_class] = 1 + SYMBOL_WORDS + classes[in_class]
-        base = np.log10((counts + 1) / (held.tokens + held.distinct + 1))
-        rest = np.zeros(len(counts))
-        totals = held.class_tokens + held.class_words + 1
-        rest[in_class] = np.log10((counts[in_class] + 1) / totals[classes[in_class]])
+        number, symbol, base, rest = held.tables
+        ending = _Endings()
         for batch in batches:
             rows = []
             for doc_id, trains, out, text in zip(
@@ -228,9 +256,10 @@ def encode(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                 missing = np.flatnonzero(ids < 0)
                 known = ids[ids >= 0]
                 symbols = symbol[np.maximum(ids, 0)]
-                rare = Counter(words[at] for at in missing)
+                unlisted = [words[at] for at in missing.tolist()]
+                rare = Counter(unlisted)
                 if rare:
-                    symbols[missing] = [1 + SYMBOL_WORDS + word_class(words[at]) for at in missing]
+                    symbols[missing] = [ending[word[-2:]] for word in unlisted]
                 rows.append((
                     doc_id, trains, out, len(ids), len(known) - (held.ends == 0), base[known].sum(), rest[known].sum(),
                     symbols.astype("<u2").tobytes(), list(rare), list(rare.values()),
@@ -247,9 +276,10 @@ def _symbols(batch: pd.DataFrame) -> list[np.ndarray]:
 
 def train(encoded: DataFrame, counts: np.ndarray) -> Model:
     """Baum-Welch over a pinned table of ``slice, symbols``, from the training counts of all symbols; ``slice`` is below ``SLICES``."""
-    model = Model.random(counts)
+    model, partitions = Model.random(counts), encoded.rdd.getNumPartitions()
     for share in SHARES:
-        model = _round(encoded.filter(F.col("slice") < share), model)[0]
+        # a task of a share goes over as many texts as one of a full round, as each walks its longest text and hands on all counts
+        model = _round(encoded.filter(F.col("slice") < share).coalesce(max(1, -(-partitions * share // SLICES))), model)[0]
     before = -np.inf
     for _ in range(FULL_ROUNDS):
         model, likelihood = _round(encoded, model)

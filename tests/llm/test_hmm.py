@@ -102,3 +102,59 @@ def test_empty(documents):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     row = hmm.score_texts(documents((held, "no training at all"))).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == 0 and math.isfinite(row.score)
+
+
+def doubles(model, text_):
+    """Expected counts of one text by both recursions, place by place in double precision."""
+    alphas, scales, beta = [], [], np.ones(len(model.start))
+    for t, s in enumerate(text_):
+        now = (model.start if t == 0 else alphas[-1] @ model.step) * model.emit[:, s]
+        scales.append(now.sum())
+        alphas.append(now / now.sum())
+    step, emit = np.zeros_like(model.step), np.zeros_like(model.emit)
+    for t in range(len(text_) - 1, -1, -1):
+        emit[:, text_[t]] += alphas[t] * beta
+        if t:
+            ahead = model.emit[:, text_[t]] * beta / scales[t]
+            step += np.outer(alphas[t - 1], ahead) * model.step
+            beta = model.step @ ahead
+    return alphas[0] * beta, step, emit, np.log(scales).sum()
+
+
+@pytest.mark.parametrize("tokens", [1, 500, 10**6])
+def test_long_and_short_texts_go_over_their_own_tokens_only(monkeypatch, tokens):
+    """A long text among short ones adds no padding; single precision holds over thousands of places."""
+    monkeypatch.setattr(hmm, "STATES", 3)
+    monkeypatch.setattr(hmm, "SYMBOLS", 5)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", tokens)
+    model, rng = small_model(), np.random.default_rng(4)
+    texts = [rng.integers(0, 5, n).astype(np.uint16) for n in (3, 4000, 1, 250, 3, 249)]
+    packed = list(hmm.chunks(texts, tokens))
+    assert sum(len(symbols) for _, _, symbols in packed) == sum(map(len, texts))
+    for numbers, cuts, symbols in packed:
+        for column, i in enumerate(numbers):
+            assert [symbols[cuts[t] + column] for t in range(len(texts[i]))] == texts[i].tolist()
+    want = [doubles(model, t) for t in texts]
+    assert np.allclose(hmm.log_likelihood(model, texts), [w[3] for w in want], rtol=1e-12)
+    for got, k in zip(hmm.expected_counts(model, texts), range(4), strict=True):
+        assert np.allclose(got, sum(w[k] for w in want), rtol=1e-4)
+
+
+def test_a_round_over_a_share_has_its_share_of_tasks(documents, monkeypatch):
+    seen, real = [], hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda encoded, model: seen.append((encoded.rdd.getNumPartitions(), encoded.count())) or real(encoded, model))
+    rows = [(k, text(k, 20)) for k in range(640)]
+    spark = documents(*rows).sparkSession
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # a task for each file
+        for k in kept:
+            spark.conf.set(k, "1m")
+        assert hmm.score_texts(documents(*rows).repartition(32)).count() == len(rows)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    full = seen[len(hmm.SHARES):]
+    assert full and full[0][0] == 32
+    for share, (tasks, texts) in zip(hmm.SHARES, seen, strict=False):
+        assert tasks == 2 * share and 0 < texts < full[0][1] * share / 8
