@@ -44,3 +44,24 @@ def test_partitions_of_the_fit_follow_from_the_rows(spark, rows, monkeypatch):
     monkeypatch.setattr(model, "PARTITION_ROWS", 400)
     model.fit_risk_model(rows, max_iter=1)
     assert layouts == [1, -(-rows.count() // 400)]
+
+
+def test_cases_alike_are_fitted_as_one_row(spark, rows, monkeypatch):
+    """What the trees read grows with the different cases, not with all of them, and the trees stay those of the single rows."""
+    fitted = []
+    fit = model.Pipeline.fit
+    monkeypatch.setattr(model.Pipeline, "fit", lambda self, frame: fitted.append(frame) or fit(self, frame))
+    copies = rows.withColumn("case_id", F.explode(F.array(*[F.concat("case_id", F.lit(f"~{i}")) for i in range(8)])))
+    model.fit_risk_model(copies, max_iter=3)
+    different = copies.select(*FEATURES, "upstream_error").distinct().count()
+    assert fitted[0].count() <= 2 * different < copies.count()
+    assert fitted[0].agg(F.sum("weight")).first()[0] == copies.count()
+    trees = model.GBTClassifier(
+        featuresCol="vector", labelCol="label", stepSize=0.055, maxIter=3, maxDepth=5, minInstancesPerNode=22, seed=701
+    )
+    whole = model.VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
+    wanted = model.Pipeline(stages=[whole, trees]).fit(rows.withColumn("label", F.col("upstream_error").cast("double")))
+    got = model.fit_risk_model(rows, max_iter=3)
+    score = lambda fitted: model.raw_scores(fitted, rows).select("case_id", "candidate_raw")
+    both = score(got).join(score(wanted).withColumnRenamed("candidate_raw", "wanted"), "case_id")
+    assert both.agg(F.max(F.abs(F.col("candidate_raw") - F.col("wanted")))).first()[0] < 1e-9
