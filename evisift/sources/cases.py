@@ -48,6 +48,34 @@ def _sound_schema(schema: T.StructType, defaults: dict) -> str:
     return rf"^OBJECT<{out}>$"
 
 
+def _plain_schema() -> str:
+    """A pattern of the variant schemas of whole cases with right types throughout and no unknown field in any evidence row.
+
+    A schema shows what an array's elements have in common: one type only where all that are not null have it.
+    """
+
+    def fields(schema: T.StructType, inside: dict[str, str]) -> str:
+        out = ""
+        for field in sorted(schema.fields, key=lambda f: f.name):
+            shown = inside.get(field.name, rf"<{_FLAT}>" if isinstance(field.dataType, T.StructType) else r"(?:\(\d+,\d+\))?")
+            kinds = "|".join([f"(?:{'|'.join(_KINDS[type(field.dataType)])}){shown}", *(["VOID"] if field.name in _NULLABLE else [])])
+            out += rf"(?:(?:, |<){field.name}: (?:{kinds}))?"
+        return out
+
+    row = rf"OBJECT{fields(EVIDENCE, {})}>"
+    return rf"^OBJECT{fields(CASE, {'required_slots': '<(?:STRING|VOID)>', 'evidence': f'<(?:VOID|{row})>'})}>$"
+
+
+def _is_plain(record: Column, typed: Column) -> Column:
+    """Whether a case with all fields that are not optional, in it and in its rows, has no fault in any: seen at one look."""
+    present = lambda of, schema: F.lit(True) if not schema else of[schema[0]].isNotNull() & present(of, schema[1:])
+    needed = lambda schema: [f.name for f in schema.fields if f.name not in _NULLABLE]
+    full = present(typed, needed(CASE)) & F.forall(typed["required_slots"], lambda s: s.isNotNull()) & F.forall(
+        typed["evidence"], lambda e: present(e, needed(EVIDENCE))
+    )
+    return F.coalesce(full & F.schema_of_variant(record).rlike(_plain_schema()), F.lit(False))
+
+
 def _is_sound(record: Column, schema: T.StructType, defaults: dict) -> Column:
     shown = F.regexp_replace(F.schema_of_variant(record), "^OBJECT<", "OBJECT<, ")
     return F.coalesce(shown.rlike(_sound_schema(schema, defaults)), F.lit(False))
@@ -126,11 +154,11 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
             for n in _CASE_FIELDS
         ]
     )
-    # the schema of a sound record settles all its fields at once; only other records are looked at field by field
+    # the schema of a plain case settles it at one look, that of a sound record all its fields; only others are looked at field by field
     sound = _is_sound(F.col("_record"), CASE, _CASE_DEFAULTS) & F.coalesce(F.forall(
         F.try_variant_get("_record", "$.evidence", "array<variant>"), lambda e: _is_sound(e, EVIDENCE, _EVIDENCE_DEFAULTS)
     ), F.lit(False))
-    df = _computed_once(df, {"case": case, "_sound": sound})
+    df = _computed_once(df, {"case": case, "_plain": _is_plain(F.col("_record"), F.col("_case"))})
     items = F.from_json(F.get_json_object(text, "$.evidence"), "array<string>", {"mode": "PERMISSIVE"})
     item_faults = lambda raw_items: F.transform(raw_items, lambda i: F.when(~is_object(i), "wrong_type").otherwise(
         once(F.try_parse_json(i), lambda r: _field_fault(r, EVIDENCE, _EVIDENCE_DEFAULTS))
@@ -140,10 +168,10 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
     )
     slots = F.from_json(F.get_json_object(text, "$.required_slots"), "array<variant>")
     slot_fault = F.when(F.exists(slots, lambda s: F.schema_of_variant(s) != "STRING"), "wrong_type")
-    field_fault = F.when(F.col("_sound"), slot_fault).otherwise(once(items, lambda found: F.coalesce(
+    field_fault = F.when(~F.col("_plain"), F.when(sound, slot_fault).otherwise(once(items, lambda found: F.coalesce(
         F.when(unknown(found), "unknown_field"), _field_fault(F.col("_record"), CASE, _CASE_DEFAULTS), slot_fault,
         F.get(F.array_compact(item_faults(found)), F.lit(0)),
-    )))
+    ))))
     df = _computed_once(df, {"_fault": F.when(F.col("_whole") & F.col("_record").isNotNull(), field_fault).otherwise("malformed")})
     rows = F.col("case.evidence")
     ids = F.transform(rows, lambda e: e["evidence_id"])
@@ -157,7 +185,7 @@ def parse_cases(raw: DataFrame, column: str = "value") -> DataFrame:
         .when(_supersession_fault(rows), "bad_supersession")
         .when(_supersession_cycle(rows), "supersession_cycle")
     )
-    return df.withColumn("reason", reason).drop("_case", "_record", "_whole", "_sound", "_fault")
+    return df.withColumn("reason", reason).drop("_case", "_record", "_whole", "_plain", "_fault")
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

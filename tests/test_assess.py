@@ -284,3 +284,26 @@ def test_rollup_deals_usable_rows_once(spark, monkeypatch):
     monkeypatch.setattr(assess_module, "usable_rows", judged)
     got = queries.slot_rollup(spark, SF)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_plain_cases_are_settled_at_one_look(spark, monkeypatch):
+    """Most cases pass without a look at each row, and no record gets another reason for it."""
+    good = {**case("c", full()), "gold_status": None}
+    first, *rest = full()
+    boxed = {**first, "bbox": {"x1": 0.1, "y1": 0, "x2": 1, "y2": 1.0}}
+    records = [(good, True), ({**good, "evidence": [boxed, *rest]}, True), ({**good, "evidence": []}, True), ({**good, "required_slots": []}, True)]
+    without = lambda record, name: {k: v for k, v in record.items() if k != name}
+    odd = [{**first, name: value} for name in first for value in (None, 1, 1.5, 10**12, "text", True, [1], {"slot": "x"}) if value != first[name]]
+    odd += [without(first, name) for name in first] + [{**first, "surplus": 1}, {**first, "slot: STRING, text": "x"}]
+    whole = [{**good, "evidence": [item, *rest]} for item in odd] + [{**good, "evidence": [first, None]}, {**good, "evidence": [first, 5]}]
+    whole += [{**good, name: value} for name in good for value in (None, 1, 2.5, "text", ["a", None], ["a", 1], [None], {}) if value != good[name]]
+    whole += [without(good, name) for name in good] + [{**good, "surplus": 1}]
+    lines = [json.dumps(r) for r, _ in records] + [json.dumps(r) for r in whole] + [json.dumps(good) + " {}", "{", "[]", "null"]
+    raw = spark.createDataFrame([(n, line) for n, line in enumerate(lines)], "n int, value string").coalesce(1)
+    plain = raw.select("n", cases_source._is_plain(F.try_parse_json("value"), F.from_json("value", CASE)).alias("plain"))
+    flags = {r["n"]: r["plain"] for r in plain.collect()}
+    assert [flags[n] for n in range(len(records))] == [want for _, want in records]
+    reasons = lambda: {r["n"]: r["reason"] for r in parse_cases(raw).select("n", "reason").collect()}
+    got = reasons()
+    monkeypatch.setattr(cases_source, "_is_plain", lambda *_: F.lit(False))
+    assert got == reasons() and len(set(got.values())) > 4
